@@ -132,10 +132,14 @@ def split_list(s: str | Column, sep: str = ";") -> Column:
 
 
 def file_stem(path: str | Column) -> Column:
-    """file name without folder and last extension."""
-    name = F.regexp_extract(_c(path), r"([^/]*)$", 1)
-    return F.when(F.instr(name, ".") > 1,
-                  F.regexp_extract(name, r"^(.*)\.[^.]*$", 1)).otherwise(name)
+    """last path component without trailing slashes and last extension.
+
+    The extension is the text after the last dot, when that dot is neither
+    the first nor the last character of the component.
+    """
+    name = F.regexp_extract(F.regexp_replace(_c(path), "/+$", ""), r"([^/]*)$", 1)
+    return F.when(name.rlike(r"^.+\.[^.]+$"),
+                  F.regexp_extract(name, r"^(.+)\.[^.]+$", 1)).otherwise(name)
 
 
 def warmup_trees(n_trees: str | Column, pct: str | Column, minimum: int = 5) -> Column:
