@@ -38,3 +38,109 @@ def linspace_grid(spark: SparkSession, df: DataFrame, c: str, n: int = 50) -> Da
     return spark.range(n).select(F.col("id").cast("int").alias("grid_ix"),
                                  linspace_value(F.lit(float(lo)), F.lit(float(hi)), F.col("id"), n)
                                  .alias("grid_value"))
+
+
+# ---------------------------------------------------------------- importance
+def gain_importance(model_table: DataFrame, features: list[str], model: str | None = None) -> DataFrame:
+    """A14 + A12 + M25: mean split gain per feature, as a share of the total
+    x 100 (all-zero totals left as they are; unused features 0).
+
+    One row per (model, feature)."""
+    mt = model_table if model is None else model_table.where(F.col("model") == model)
+    gains = (mt.where(~F.col("is_leaf")).groupBy("model", "feature")
+               .agg(F.avg("gain").alias("gain")))
+    # every (model, feature) pair, features listed per model row (no join)
+    grid = mt.select("model").distinct().select(
+        "model", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+    full = grid.join(gains, ["model", "feature"], "left").fillna(0.0, subset=["gain"])
+    from pyspark.sql import Window
+    total = F.sum("gain").over(Window.partitionBy("model"))
+    return full.select("model", "feature", "gain",
+                       F.when(total > 0, F.col("gain") / total * 100).otherwise(F.col("gain")).alias("pct"))
+
+
+# ---------------------------------------------------------------- PDP / ICE
+def _model_closure(result_model, spec):
+    trees, base = result_model.trees, result_model.base_margin
+    return trees, base
+
+
+def partial_dependence(df: DataFrame, spec, trees: list, base_margin: float, objective: str,
+                       feature: str, grid: list[float]) -> DataFrame:
+    """Mean prediction over all rows of ``df`` with ``feature`` set to
+    each grid value.  Each task scores its rows at every grid value and emits
+    one (grid_ix, sum, count) row per value; a ``groupBy`` finishes the mean.
+    No row is replicated through a shuffle."""
+    import numpy as np
+    import pandas as pd
+    from .boost.score import predict_frame
+    names = spec.names
+    fi = names.index(feature)
+    src = df.select(*[col(c).alias(f"f{i}") for i, c in enumerate(names)])
+    cols = [f"f{i}" for i in range(len(names))]
+    g = list(grid)
+
+    def fn(it):
+        sums = np.zeros(len(g))
+        n = 0
+        for pdf in it:
+            if not len(pdf):
+                continue
+            n += len(pdf)
+            for k, v in enumerate(g):
+                pdf[cols[fi]] = v
+                sums[k] += predict_frame(pdf, spec, cols, trees, base_margin, objective).sum()
+        if n:
+            yield pd.DataFrame({"grid_ix": np.arange(len(g), dtype=np.int32), "s": sums,
+                                "n": np.full(len(g), n, np.int64)})
+
+    parts = src.mapInPandas(fn, "grid_ix int, s double, n long")
+    gv = df.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(g)],
+                                         "grid_ix int, grid_value double")
+    agg = parts.groupBy("grid_ix").agg((F.sum("s") / F.sum("n")).alias("pdp"))
+    return agg.join(F.broadcast(gv), "grid_ix").select("grid_ix", "grid_value", "pdp")
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """N rows chosen by md5(seed:key) order (all rows if fewer); exact and
+    repeatable.  A top-n, which Spark runs as a per-task top-n then a merge."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), col(key).cast("string")))
+    return df.withColumn("_h", h).orderBy("_h", col(key)).limit(n).drop("_h")
+
+
+def ice_curves(df: DataFrame, key: str, spec, trees: list, base_margin: float, objective: str,
+               feature: str, grid: list[float], n_lines: int = 50, seed: int = 42) -> DataFrame:
+    """M24 (ICE part): predictions of ``n_lines`` sampled rows at every grid value."""
+    import numpy as np
+    import pandas as pd
+    from .boost.score import predict_frame
+    names = spec.names
+    fi = names.index(feature)
+    rows = sample_rows(df, key, n_lines, seed)
+    src = rows.select(col(key).cast("string").alias("row_key"),
+                      *[col(c).alias(f"f{i}") for i, c in enumerate(names)])
+    cols = [f"f{i}" for i in range(len(names))]
+    g = list(grid)
+
+    def fn(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            out = []
+            for k, v in enumerate(g):
+                pdf[cols[fi]] = v
+                p = predict_frame(pdf, spec, cols, trees, base_margin, objective)
+                out.append(pd.DataFrame({"row_key": pdf["row_key"], "grid_ix": np.int32(k),
+                                         "grid_value": float(v), "pred": p}))
+            yield pd.concat(out, ignore_index=True)
+
+    return src.mapInPandas(fn, "row_key string, grid_ix int, grid_value double, pred double")
+
+
+def monotonicity_violations(ice: DataFrame, direction: int, tol: float = 1e-9) -> DataFrame:
+    """Steps along each ICE curve that move against ``direction`` (5.3 check)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("row_key").orderBy("grid_ix")
+    d = F.col("pred") - F.lag("pred").over(w)
+    return (ice.withColumn("step", d).where(F.col("step").isNotNull())
+               .where(F.lit(float(direction)) * F.col("step") < -tol))

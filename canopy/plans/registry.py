@@ -44,3 +44,4 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     """Import the modules that register further queries."""
     from . import queries_clean  # noqa: F401
+    from . import queries_boost  # noqa: F401
