@@ -358,3 +358,40 @@ def q_f16(spark, sf_dir):
     from ..operators.explain import linspace_grid
     g = linspace_grid(spark, tables.charge_rows(spark, sf_dir), "charge", 50)
     return g.select("grid_ix", F.round("grid_value", 6).alias("grid_value"))
+
+
+# ---------------------------------------------------------------- scans
+def _scratch(spark, name):
+    from ..session import scratch_path
+    return scratch_path(spark, name)
+
+
+@register("s1_csv_scan", f"select cast(p_partkey as bigint) as p_partkey, car_name, horsepower, mpg "
+                         f"from ({L3}) t")
+def q_s1(spark, sf_dir):
+    from ..sources.text import read_csv
+    path = _scratch(spark, "s1")
+    (tables.messy_parts(spark, sf_dir).write.option("header", True)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_csv(spark, path, "p_partkey bigint, car_name string, horsepower string, mpg double")
+
+
+@register("s2_whitespace_scan",
+          "select p_retailprice as mpg, cast(p_size as integer) as cylinders, "
+          "p_retailprice * 2 as displacement, case when p_partkey % 7 = 0 then null "
+          "else cast(p_size as double) end as horsepower, cast(p_partkey as double) as weight, "
+          "p_retailprice / 10 as acceleration, cast(p_size as integer) as model_year, "
+          "cast(p_partkey % 3 as integer) as origin, p_name as car_name from part")
+def q_s2(spark, sf_dir):
+    from ..sources.text import read_whitespace
+    path = _scratch(spark, "s2")
+    p = tables.read(spark, sf_dir, "part")
+    line = F.concat_ws(
+        "   ", F.col("p_retailprice").cast("string"), F.col("p_size").cast("string"),
+        (F.col("p_retailprice") * 2).cast("string"),
+        F.when(F.col("p_partkey") % 7 == 0, F.lit("?")).otherwise(F.col("p_size").cast("string")),
+        F.col("p_partkey").cast("double").cast("string"), (F.col("p_retailprice") / 10).cast("string"),
+        F.col("p_size").cast("string"), (F.col("p_partkey") % 3).cast("string"),
+        F.concat(F.lit('"'), F.col("p_name"), F.lit('"')))
+    p.select(line.alias("value")).write.text(path)
+    return read_whitespace(spark, path).withColumn("horsepower", F.col("horsepower").try_cast("double"))
