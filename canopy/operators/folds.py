@@ -6,11 +6,12 @@ over the strata laid end to end, so every stratum and the whole table are
 balanced to within one row.
 
 Scale: the rank is computed in two levels so that no single task ever holds a
-whole stratum.  The hash prefix (``bucket_bits`` bits) splits every stratum
-into many buckets; rows are ranked inside (stratum, bucket), and the offset of
-each bucket comes from a small table of bucket counts.  A stratum holding a
-third of the table is therefore spread over 2**bucket_bits tasks' worth of
-groups instead of one.
+whole stratum.  The hash prefix (``bucket_bits`` bits, chosen from the row
+count so that a group stays under MAX_GROUP_ROWS even if one stratum held
+every row) splits every stratum into buckets; rows are ranked inside
+(stratum, bucket), and the offset of each bucket comes from a small table of
+bucket counts.  A stratum holding a third of the table is therefore spread
+over 2**bucket_bits groups instead of one window partition.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from ..functions.scalar import col, digitize, strata_bin_count
 # keeps a value->count map in one task) to the approximate sketch.
 EXACT_PERCENTILE_MAX_ROWS = 20_000_000
 APPROX_ACCURACY = 100_000
+# Largest (stratum, hash bucket) group one window task sorts.
+MAX_GROUP_ROWS = 2_000_000
 
 
 def percentiles(df: DataFrame, c: str, probs: list[float], exact: bool | None = None,
@@ -77,23 +80,37 @@ def stratum_column(df: DataFrame, c: str, n_folds: int, exact: bool | None = Non
     return F.coalesce(s, F.lit(-1))
 
 
+def bucket_bits_for(n_rows: int, max_group_rows: int = MAX_GROUP_ROWS) -> int:
+    """Hash-bucket bits so that even a stratum holding every row is split into
+    window groups of at most ``max_group_rows`` rows."""
+    bits = 0
+    while bits < 24 and n_rows > max_group_rows * (1 << bits):
+        bits += 1
+    return bits
+
+
 def assign_folds(df: DataFrame, key: str, n_folds: int = 6, seed: int = 42,
                  stratify_col: str | None = None, stratum: Column | None = None,
-                 bucket_bits: int = 16, out: str = "fold") -> DataFrame:
+                 bucket_bits: int | None = None, out: str = "fold") -> DataFrame:
     """Add an int column ``out`` in 1..n_folds.
 
     ``stratum`` overrides the stratum expression; with neither ``stratum``
-    nor ``stratify_col`` all rows form one stratum (W4).
+    nor ``stratify_col`` all rows form one stratum (W4).  ``bucket_bits``
+    defaults to what the row count needs (``bucket_bits_for``).
     """
     if stratum is None:
         stratum = stratum_column(df, stratify_col, n_folds) if stratify_col else F.lit(0)
+    if bucket_bits is None:
+        bucket_bits = bucket_bits_for(df.count())
     h = F.md5(F.concat(F.lit(f"{seed}:"), col(key).cast("string")))
-    base = (df.withColumn("_s", stratum)
-              .withColumn("_h", h)
-              .withColumn("_b", F.conv(F.substring("_h", 1, (bucket_bits + 3) // 4), 16, 10)
-                          .cast("long")))
-    if bucket_bits % 4:
-        base = base.withColumn("_b", F.shiftright("_b", 4 - bucket_bits % 4))
+    base = df.withColumn("_s", stratum).withColumn("_h", h)
+    if bucket_bits == 0:
+        base = base.withColumn("_b", F.lit(0).cast("long"))
+    else:
+        base = base.withColumn("_b", F.conv(F.substring("_h", 1, (bucket_bits + 3) // 4), 16, 10)
+                               .cast("long"))
+        if bucket_bits % 4:
+            base = base.withColumn("_b", F.shiftright("_b", 4 - bucket_bits % 4))
     # Small table: rows per (stratum, bucket) -> offset of the bucket's first row
     # in the dealt order (strata in sorted order, buckets in hash order).
     counts = base.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
