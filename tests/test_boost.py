@@ -115,3 +115,26 @@ def test_monotone_constraint_holds_on_noise_and_bites_without(spark):
         out[m.spec.name] = monotonicity_violations(ice, 1).count()
     assert out["mono"] == 0
     assert out["free"] > 0
+
+
+def test_categorical_split_and_scorers_agree(spark):
+    base = tables.charge_rows(spark, SF_SMALL)
+    df = assign_folds(base.withColumn(
+        "y", F.col("charge") * F.when(F.col("returnflag") == "R", 3.0)
+        .when(F.col("returnflag") == "N", 1.5).otherwise(1.0)), "row_key", 6, 42, stratify_col="y")
+    p = BoostParams(objective="reg:squarederror", learning_rate=0.5, max_trees=2,
+                    subsample=1.0, colsample_bytree=1.0)
+    m = ModelSpec("c", "c", 6, 2, early_stop=False, n_trees=2)
+    res = Trainer(df, "row_key", "fold", "y", ["returnflag"], [m], p).run()
+    t = res.models[0].trees[0]
+    assert t.is_cat[0] and t.feature[0] == 0
+    cats = res.features.categories[0]
+    left = {cats[c] for c in t.cat_left[0]}
+    assert left in ({"R"}, set(cats) - {"R"})
+    mm = res.models[0]
+    test = df.where("fold = 6")
+    a = predict(test, res.features, mm.trees, mm.base_margin, "reg:squarederror", ["row_key"])
+    b = test.select("row_key", F.expr(case_when_sql(mm.trees, res.features, mm.base_margin,
+                                                    "reg:squarederror")).alias("p2"))
+    d = a.join(b, "row_key").select(F.max(F.abs(F.col("prediction") - F.col("p2")))).first()[0]
+    assert d < 1e-6
