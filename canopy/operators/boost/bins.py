@@ -1,8 +1,8 @@
 """Feature binning (M3) and the cached training state.
 
 Numeric features get up to ``max_bins`` quantile bins from one aggregate over
-all rows (``percentile_approx``; ``exact=True`` for the exact, interpolated
-percentiles).  A value's bin is the number of cut points <= value, so
+all rows (exact interpolated percentiles up to 20M rows, ``percentile_approx``
+above).  A value's bin is the number of cut points <= value, so
 ``bin <= b`` is the same test as ``value < cut[b]``.  String features get a
 dictionary code (sorted distinct values, test rows included).  Missing values
 get bin -1.
@@ -63,12 +63,17 @@ class FeatureSpec:
 
 
 def feature_spec(df: DataFrame, features: list[str], max_bins: int = 256,
-                 exact: bool = False) -> FeatureSpec:
+                 exact: bool | None = None) -> FeatureSpec:
     """Cut points for numeric features and dictionaries for string ones.
 
     One aggregate job for all numeric features; one small distinct job per
     string feature (its cardinality is checked against MAX_CATEGORIES).
+    ``exact=None``: exact percentiles (deterministic for any row order and
+    partitioning) up to EXACT_PERCENTILE_MAX_ROWS rows, the sketch above.
     """
+    if exact is None:
+        from ..folds import EXACT_PERCENTILE_MAX_ROWS
+        exact = df.count() <= EXACT_PERCENTILE_MAX_ROWS
     types = {f.name: f.dataType for f in df.schema.fields}
     is_cat = [not isinstance(types[c], NumericType) for c in features]
     probs = [i / max_bins for i in range(1, max_bins)]

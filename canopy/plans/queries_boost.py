@@ -344,3 +344,11 @@ def q_m22(spark, sf_dir):
         lambda c: BoostParams(objective=c["objective"], learning_rate=c["lr"], max_trees=3,
                               early_stopping_rounds=1))
     return summary.join(status, "dataset", "full_outer")
+
+
+@register("m26_diagnostics_pdp")
+def q_m26(spark, sf_dir):
+    """PDP tables of all winners for every constrained feature."""
+    st = _study(spark, sf_dir)
+    test = _folded(spark, sf_dir).where("fold = 6")
+    return study.diagnostics(spark, test, "row_key", st, 10, 10)["pdp"]

@@ -59,10 +59,17 @@ def cross_validate(df: DataFrame, key: str, target: str, features: list[str], de
 
 def fit_final(df: DataFrame, key: str, target: str, features: list[str], depth: int,
               n_trees: int, params: BoostParams, constraints: dict | None = None,
-              masked: Sequence[str] = (), mask_trees: int = 0) -> BatchResult:
-    """A fixed number of trees on all training rows, scored on test."""
+              masked: Sequence[str] = (), mask_trees: int = 0, init_trees: Sequence = (),
+              train_transform: Callable[[DataFrame], DataFrame] | None = None) -> BatchResult:
+    """A fixed number of trees on all training rows, scored on test.
+
+    ``init_trees`` continues a fitted model (M17, X2); ``train_transform``
+    (X1) is applied to the training rows only, the test rows stay as given."""
+    if train_transform is not None:
+        tf = F.col("fold") == params.test_fold
+        df = train_transform(df.where(~tf)).unionByName(df.where(tf))
     m = ModelSpec("final", "final", params.test_fold, depth, constraints or {}, list(masked),
-                  mask_trees, early_stop=False, n_trees=n_trees)
+                  mask_trees, early_stop=False, n_trees=n_trees, init_trees=list(init_trees))
     return Trainer(df, key, "fold", target, features, [m], params).run()
 
 
@@ -156,6 +163,30 @@ def curves(df_test: DataFrame, key: str, study: StudyResult, approach: str, feat
     return pdp, ice
 
 
+def diagnostics(spark: SparkSession, df_test: DataFrame, key: str, study: StudyResult,
+                grid_size: int = PDP_GRID_SIZE, n_lines: int = ICE_LINES) -> dict:
+    """Every diagnostic table of the three winners - gain importance
+    (long and pivoted) and, for each constrained feature, PDP and ICE curves
+    with their monotonicity violations."""
+    imp = importance_table(spark, study)
+    out = {"importance": imp, "importance_wide": select.pivot_importance(imp), "pdp": [], "ice": [],
+           "violations": []}
+    for approach in study.winners:
+        for f, d in study.constraints.items():
+            if f not in study.features:
+                continue
+            pdp, ice = curves(df_test, key, study, approach, f, grid_size, n_lines)
+            if pdp is None:
+                continue
+            tag = [F.lit(approach).alias("approach"), F.lit(f).alias("feature")]
+            out["pdp"].append(pdp.select(*tag, "*"))
+            out["ice"].append(ice.select(*tag, "*"))
+            out["violations"].append(explain.monotonicity_violations(ice, d).select(*tag, "*"))
+    for k in ("pdp", "ice", "violations"):
+        out[k] = select.union_all(out[k]) if out[k] else None
+    return out
+
+
 def run_all(spark: SparkSession, config: DataFrame, load: Callable[[str], tuple[DataFrame, str]],
             max_depths: Sequence[int] | None = None, params_for: Callable | None = None):
     """Every configured dataset in config order; a failure is recorded,

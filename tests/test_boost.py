@@ -138,3 +138,29 @@ def test_categorical_split_and_scorers_agree(spark):
                                                     "reg:squarederror")).alias("p2"))
     d = a.join(b, "row_key").select(F.max(F.abs(F.col("prediction") - F.col("p2")))).first()[0]
     assert d < 1e-6
+
+
+def test_warm_start_continues_identically(spark):
+    from canopy.plans.study import fit_final
+    df = _charge(spark, SF_SMALL)
+    p = BoostParams(objective="reg:squarederror", learning_rate=0.3, max_trees=10)
+    full = fit_final(df, "row_key", "charge", FEATS, 2, 4, p).models[0]
+    first = fit_final(df, "row_key", "charge", FEATS, 2, 2, p).models[0]
+    cont = fit_final(df, "row_key", "charge", FEATS, 2, 4, p, init_trees=first.trees).models[0]
+    assert len(cont.trees) == 4
+    for a, b in zip(full.trees, cont.trees):
+        assert np.array_equal(a.feature, b.feature) and np.array_equal(a.split_bin, b.split_bin)
+        assert np.allclose(a.value, b.value, rtol=1e-9, atol=1e-9)
+    assert cont.mape_at(4) == pytest.approx(full.mape_at(4), rel=1e-9)
+
+
+def test_train_transform_touches_training_rows_only(spark):
+    from canopy.plans.study import fit_final
+    df = _charge(spark, SF_SMALL)
+    p = BoostParams(objective="reg:squarederror", learning_rate=0.3, max_trees=3)
+    plain = fit_final(df, "row_key", "charge", FEATS, 2, 2, p).models[0]
+    same = fit_final(df, "row_key", "charge", FEATS, 2, 2, p, train_transform=lambda d: d).models[0]
+    assert same.mape_at(2) == pytest.approx(plain.mape_at(2), rel=1e-9)
+    zeroed = fit_final(df, "row_key", "charge", FEATS, 2, 2, p,
+                       train_transform=lambda d: d.withColumn("charge", F.lit(0.0))).models[0]
+    assert zeroed.mape_at(2) != pytest.approx(plain.mape_at(2), rel=1e-6)
