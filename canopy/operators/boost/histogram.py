@@ -26,6 +26,10 @@ from .tree import Tree
 HIST_SCHEMA = ("model int, node int, feature int, bin int, dir int, is_cat boolean, "
                "lower double, upper double, G double, H double, C long")
 
+# Dense per-task histogram arrays up to this many cells per model; above it
+# (deep trees, many features) only the touched cells are kept.
+DENSE_MAX_CELLS = 2_000_000
+
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -70,6 +74,7 @@ class PassPlan:
     pending: dict = field(default_factory=dict)     # model -> list[Tree] not yet in the margins
     metrics: list = field(default_factory=list)     # [(model, holdout)]
     builders: list = field(default_factory=list)    # [Builder]
+    dense_max_cells: int = DENSE_MAX_CELLS
 
 
 def _bins(pdf: pd.DataFrame, nf: int) -> np.ndarray:
@@ -92,6 +97,7 @@ def run_pass(state: DataFrame, plan: PassPlan) -> DataFrame:
 
     def fn(it):
         acc = {}
+        sparse = {}
         tot = {}
         met = {}
         for pdf in it:
@@ -147,16 +153,31 @@ def run_pass(state: DataFrame, plan: PassPlan) -> DataFrame:
                 bf = bins[rows][:, b.features]
                 idx = ((li[:, None] * fa + np.arange(fa)[None, :]) * width + (bf + 1)).ravel()
                 size = k * fa * width
-                a = acc.setdefault(b.model, [np.zeros(size), np.zeros(size), np.zeros(size, np.int64)])
-                a[0] += np.bincount(idx, np.repeat(g, fa), size)
-                a[1] += np.bincount(idx, np.repeat(h, fa), size)
-                a[2] += np.bincount(idx, minlength=size)
+                if size <= plan.dense_max_cells:
+                    a = acc.setdefault(b.model, [np.zeros(size), np.zeros(size), np.zeros(size, np.int64)])
+                    a[0] += np.bincount(idx, np.repeat(g, fa), size)
+                    a[1] += np.bincount(idx, np.repeat(h, fa), size)
+                    a[2] += np.bincount(idx, minlength=size)
+                else:
+                    # deep trees x many models: keep only touched cells
+                    u, inv = np.unique(idx, return_inverse=True)
+                    sp = sparse.setdefault(b.model, [])
+                    sp.append((u, np.bincount(inv, np.repeat(g, fa)), np.bincount(inv, np.repeat(h, fa)),
+                               np.bincount(inv)))
         out = []
+        acc_sparse = {}
         by_model = {b.model: b for b in plan.builders}
+        for mdl, parts in sparse.items():
+            u = np.concatenate([p[0] for p in parts])
+            cells, inv = np.unique(u, return_inverse=True)
+            agg = [np.bincount(inv, np.concatenate([p[i] for p in parts]), len(cells)) for i in (1, 2, 3)]
+            acc_sparse[mdl] = (cells, agg[0], agg[1], agg[2].astype(np.int64))
         for mdl, (G, H, C) in acc.items():
+            nz = np.nonzero(C)[0]
+            acc_sparse[mdl] = (nz, G[nz], H[nz], C[nz])
+        for mdl, (nz, Gs, Hs, Cs) in acc_sparse.items():
             b = by_model[mdl]
             fa = len(b.features)
-            nz = np.nonzero(C)[0]
             cell_node = nz // (fa * width)
             fi = (nz // width) % fa
             out.append(pd.DataFrame({
@@ -167,7 +188,7 @@ def run_pass(state: DataFrame, plan: PassPlan) -> DataFrame:
                 "dir": b.dirs[fi].astype(np.int32),
                 "is_cat": plan.is_cat[b.features[fi]].astype(bool),
                 "lower": b.lower[cell_node], "upper": b.upper[cell_node],
-                "G": G[nz], "H": H[nz], "C": C[nz]}))
+                "G": Gs, "H": Hs, "C": Cs}))
         for mdl, (G, H, C) in tot.items():
             b = by_model[mdl]
             k = len(b.open_nodes)

@@ -117,7 +117,7 @@ def q_m5(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- M6 root histogram
-def _root_hist(spark, sf_dir, dirs=None):
+def _root_hist(spark, sf_dir, dirs=None, dense_max_cells=None):
     """Aggregated root histogram of one squared-error model (all training rows,
     no subsampling, exact 16-bin cut points)."""
     df = _folded(spark, sf_dir)
@@ -132,6 +132,8 @@ def _root_hist(spark, sf_dir, dirs=None):
                 np.arange(len(NUMERIC)), d)
     plan = PassPlan("reg:squarederror", len(NUMERIC), tr.spec.max_bins + 1,
                     np.zeros(len(NUMERIC), bool), 6, 1.0, 42, 0, {}, [], [b])
+    if dense_max_cells is not None:
+        plan.dense_max_cells = dense_max_cells
     return aggregate(run_pass(state, plan))
 
 

@@ -164,3 +164,15 @@ def test_train_transform_touches_training_rows_only(spark):
     zeroed = fit_final(df, "row_key", "charge", FEATS, 2, 2, p,
                        train_transform=lambda d: d.withColumn("charge", F.lit(0.0))).models[0]
     assert zeroed.mape_at(2) != pytest.approx(plain.mape_at(2), rel=1e-6)
+
+
+def test_sparse_histogram_path_equals_dense(spark):
+    from canopy.plans.queries_boost import _root_hist
+    key = ["feature", "bin"]
+    dense = {tuple(r[k] for k in key): (r["G"], r["C"]) for r in _root_hist(spark, SF_SMALL).collect()}
+    sparse = {tuple(r[k] for k in key): (r["G"], r["C"])
+              for r in _root_hist(spark, SF_SMALL, dense_max_cells=0).collect()}
+    assert dense.keys() == sparse.keys()
+    for k in dense:
+        assert dense[k][1] == sparse[k][1]
+        assert dense[k][0] == pytest.approx(sparse[k][0], rel=1e-9, abs=1e-6)
