@@ -1,8 +1,8 @@
 """Feature binning (M3) and the cached training state.
 
 Numeric features get up to ``max_bins`` quantile bins from one aggregate over
-all rows (exact interpolated percentiles up to 20M rows, ``percentile_approx``
-above).  A value's bin is the number of cut points <= value, so
+all rows (``percentile_approx``; ``exact=True`` for exact interpolated
+percentiles).  A value's bin is the number of cut points <= value, so
 ``bin <= b`` is the same test as ``value < cut[b]``.  String features get a
 dictionary code (sorted distinct values, test rows included).  Missing values
 get bin -1.
@@ -63,13 +63,16 @@ class FeatureSpec:
 
 
 def feature_spec(df: DataFrame, features: list[str], max_bins: int = 256,
-                 exact: bool | None = None) -> FeatureSpec:
+                 exact: bool | None = False) -> FeatureSpec:
     """Cut points for numeric features and dictionaries for string ones.
 
     One aggregate job for all numeric features; one small distinct job per
     string feature (its cardinality is checked against MAX_CATEGORIES).
-    ``exact=None``: exact percentiles (deterministic for any row order and
-    partitioning) up to EXACT_PERCENTILE_MAX_ROWS rows, the sketch above.
+    Default: the ``percentile_approx`` sketch (its cut points can move
+    slightly with the input partitioning).  ``exact=True``: exact interpolated
+    percentiles, deterministic but slow with many bins (Spark's exact
+    aggregate takes ~0.2 s per probability on 600k rows); ``exact=None``
+    picks exact up to EXACT_PERCENTILE_MAX_ROWS rows.
     """
     if exact is None:
         from ..folds import EXACT_PERCENTILE_MAX_ROWS

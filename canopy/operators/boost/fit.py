@@ -108,7 +108,7 @@ def _clamp(w, lo, hi):
 class Trainer:
     def __init__(self, df: DataFrame, key: str, fold: str, label: str, features: list[str],
                  models: list[ModelSpec], params: BoostParams, spec: FeatureSpec | None = None,
-                 exact_bins: bool | None = None):
+                 exact_bins: bool | None = False):
         self.spark = df.sparkSession
         self.params = params
         self.obj = objectives.get(params.objective)

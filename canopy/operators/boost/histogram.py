@@ -209,7 +209,10 @@ def run_pass(state: DataFrame, plan: PassPlan) -> DataFrame:
         if out:
             yield pd.concat(out, ignore_index=True)
 
-    return state.mapInPandas(fn, HIST_SCHEMA)
+    needed = sorted({m for m, _ in plan.metrics} | {b.model for b in plan.builders})
+    cols = ["_kh", "_fold", "_y"] + [f"b{i}" for i in range(nf)] + [f"m{j}" for j in needed]
+    # only the margins of models in this pass cross into Python
+    return state.select(*cols).mapInPandas(fn, HIST_SCHEMA)
 
 
 def find_splits(partials: DataFrame, reg_lambda: float, min_child_weight: float) -> DataFrame:
