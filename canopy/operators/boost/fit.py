@@ -109,6 +109,8 @@ class Trainer:
     def __init__(self, df: DataFrame, key: str, fold: str, label: str, features: list[str],
                  models: list[ModelSpec], params: BoostParams, spec: FeatureSpec | None = None,
                  exact_bins: bool | None = False):
+        if spec is None and any(m.init_trees for m in models):
+            raise ValueError("warm start needs the cut points of the continued model (spec=)")
         self.spark = df.sparkSession
         self.params = params
         self.obj = objectives.get(params.objective)

@@ -60,17 +60,22 @@ def cross_validate(df: DataFrame, key: str, target: str, features: list[str], de
 def fit_final(df: DataFrame, key: str, target: str, features: list[str], depth: int,
               n_trees: int, params: BoostParams, constraints: dict | None = None,
               masked: Sequence[str] = (), mask_trees: int = 0, init_trees: Sequence = (),
-              train_transform: Callable[[DataFrame], DataFrame] | None = None) -> BatchResult:
+              train_transform: Callable[[DataFrame], DataFrame] | None = None,
+              spec=None) -> BatchResult:
     """A fixed number of trees on all training rows, scored on test.
 
-    ``init_trees`` continues a fitted model (M17, X2); ``train_transform``
-    (X1) is applied to the training rows only, the test rows stay as given."""
+    ``init_trees`` continues a fitted model (M17, X2); its trees route on bin
+    ids, so pass that model's cut points as ``spec`` (its
+    ``BatchResult.features``).  ``train_transform`` (X1) is applied to the
+    training rows only, the test rows stay as given."""
+    if init_trees and spec is None:
+        raise ValueError("continuing a model needs its feature spec (BatchResult.features)")
     if train_transform is not None:
         tf = F.col("fold") == params.test_fold
         df = train_transform(df.where(~tf)).unionByName(df.where(tf))
     m = ModelSpec("final", "final", params.test_fold, depth, constraints or {}, list(masked),
                   mask_trees, early_stop=False, n_trees=n_trees, init_trees=list(init_trees))
-    return Trainer(df, key, "fold", target, features, [m], params).run()
+    return Trainer(df, key, "fold", target, features, [m], params, spec=spec).run()
 
 
 @dataclass

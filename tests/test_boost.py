@@ -144,9 +144,12 @@ def test_warm_start_continues_identically(spark):
     from canopy.plans.study import fit_final
     df = _charge(spark, SF_SMALL)
     p = BoostParams(objective="reg:squarederror", learning_rate=0.3, max_trees=10)
-    full = fit_final(df, "row_key", "charge", FEATS, 2, 4, p).models[0]
-    first = fit_final(df, "row_key", "charge", FEATS, 2, 2, p).models[0]
-    cont = fit_final(df, "row_key", "charge", FEATS, 2, 4, p, init_trees=first.trees).models[0]
+    first_res = fit_final(df, "row_key", "charge", FEATS, 2, 2, p)
+    spec = first_res.features
+    first = first_res.models[0]
+    full = fit_final(df, "row_key", "charge", FEATS, 2, 4, p, spec=spec).models[0]
+    cont = fit_final(df, "row_key", "charge", FEATS, 2, 4, p, init_trees=first.trees,
+                     spec=spec).models[0]
     assert len(cont.trees) == 4
     for a, b in zip(full.trees, cont.trees):
         assert np.array_equal(a.feature, b.feature) and np.array_equal(a.split_bin, b.split_bin)
