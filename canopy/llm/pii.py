@@ -40,10 +40,10 @@ GENERATORS = {
     "phone": r"(?:\+ ?|00|\()?[0-9](?:[\x20().0-9/-]){6,18}[0-9]",
 }
 #: Words before a span that speak for its kind, and against any.
-FOR = {"email": r"(?i)(?:mail|contact|write|reach|address)", "ip": r"(?i)(?:\bip\b|host|server|addr|from|login|client)",
-       "card": r"(?i)(?:card|visa|master|amex|credit|payment|paid)",
-       "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|whatsapp|ring|contact)"}
-AGAINST = r"(?i)(?:version|\bv\b|isbn|order|invoice|\bid\b|serial|sku|date|page|chapter|section|token|key|hash|commit|release|build|total|sum|ratio)"
+FOR = {"email": r"(?i)\b(?:e?-?mail|contact|write|reach|address)", "ip": r"(?i)\b(?:ip\b|host|server|addr|from|login|client)",
+       "card": r"(?i)\b(?:card|visa|master|amex|credit|payment|paid)",
+       "phone": r"(?i)\b(?:phone|tel|call|mobile|cell|fax|whatsapp|ring|contact)"}
+AGAINST = r"(?i)\b(?:version|v\b|isbn|order|invoice|id\b|serial|sku|date|page|chapter|section|token|key|hash|commit|release|build|total|sum|ratio)"
 
 FEATURES = ("kind", "digits", "separators", "before", "after", "speaks_for", "speaks_against", "regular", "length", "checks")
 
