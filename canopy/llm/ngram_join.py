@@ -270,11 +270,12 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         told = stored(base.mapInArrow(_describe(k), told.schema), "sets")
     classes = stored(told.where("n > 0").groupBy("n", "key_a", "key_b").agg(F.min("id").alias("rep")),
                      "classes")
-    postings = told.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select(
+    # Joins on tables that grow with the input are sort-merge joins at every size.
+    postings = told.hint("merge").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select(
         "id", F.explode("keys").alias("key"))
     first = postings.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("x")).where(
         "m < x").select("key", "m")
-    edges = postings.join(first, "key").where("id != m").select(F.col("id").alias("u"), F.col("m").alias("v"))
+    edges = postings.hint("merge").join(first, "key").where("id != m").select(F.col("id").alias("u"), F.col("m").alias("v"))
     blocks = connected_components(edges).withColumnRenamed("component", "block")
     sized = blocks.join(classes.select(F.col("rep").alias("node"), "n"), "node").select(
         F.col("node").alias("id"), "block", "n")
@@ -298,7 +299,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     def linked(members: DataFrame) -> DataFrame:
         """members: id, node, side, known."""
-        rows = members.join(base, "id").select("node", "id", "side", "known", "text")
+        rows = members.hint("merge").join(base, "id").select("node", "id", "side", "known", "text")
         dealt = rows.repartition(max(partitions(spark), 12), "node").sortWithinPartitions("node")
         return stored(dealt.mapInArrow(_link_nodes(k, percent), "u long, v long"), "links")
 
@@ -325,7 +326,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         labels = links.select(F.col("u").alias("rep"), F.col("v").alias("component"))
     named = classes.join(labels, "rep", "left").select(
         "n", "key_a", "key_b", F.coalesce("component", "rep").alias("component"))
-    out = told.select("id", "n", "key_a", "key_b").join(named, ["n", "key_a", "key_b"], "left")
+    out = told.select("id", "n", "key_a", "key_b").hint("merge").join(named, ["n", "key_a", "key_b"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.coalesce("component", "id").alias("component_id"))
 
