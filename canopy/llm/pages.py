@@ -36,6 +36,8 @@ LABELLED = np.array([
     (20, 0, 40, 0, 35, 5, 0, 0, 0, 1), (33, 9, 12, 0, 21, 0, 0, 0, 0, 1), (120, 0, 9, 0, 80, 0, 0, 0, 0, 1),
     (7, 0, 0, 0, 52, 0, 0, 0, 1, 1), (6, 0, 14, 0, 48, 0, 0, 0, 1, 1), (3, 0, 40, 0, 30, 0, 0, 0, 0, 1),
     (8, 0, 25, 0, 31, 0, 0, 0, 0, 1), (5, 0, 64, 0, 44, 0, 0, 0, 0, 1),
+    (30, 0, 30, 0, 0, 0, 0, 0, 0, 1), (18, 0, 45, 0, 0, 0, 0, 0, 0, 1), (41, 0, 28, 0, 2, 100, 0, 0, 0, 1),
+    (15, 0, 33, 0, 4, 0, 0, 0, 0, 1), (27, 3, 51, 0, 3, 100, 0, 0, 0, 1), (13, 0, 26, 0, 0, 0, 0, 0, 0, 1),
     # furniture by tag or class, also within articles
     (1, 100, 0, 0, 1, 100, 0, 1, 0, 0), (2, 100, 1, 100, 1, 100, 0, 1, 0, 0), (9, 0, 2, 100, 8, 0, 0, 1, 0, 0),
     (14, 0, 55, 0, 0, 0, 0, 1, 0, 0), (35, 0, 9, 0, 20, 0, 0, 1, 0, 0), (28, 0, 60, 0, 12, 0, 1, 1, 0, 0),
