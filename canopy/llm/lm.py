@@ -30,7 +30,7 @@ from .store import partitions, stored
 VOCABULARY, CLASSES, SHAPES = 1536, 24, 32
 SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_PASSES = 1000, 400_000, 2
 SHARE = 8
-BLOCK = 12 << 20
+BLOCK = 5 << 20
 BUCKET_WORDS = 1_000_000
 SMOOTH = 0.1
 
@@ -49,7 +49,8 @@ def tokenise(data: np.ndarray, off: np.ndarray):
     stop[off] = True
     stops = np.flatnonzero(stop)
     end = stops[np.searchsorted(stops, start, side="right")] if len(start) else start
-    wide = np.concatenate([[0], np.cumsum(data >= 0x80)])
+    wide = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(data >= 0x80, dtype=np.int32, out=wide[1:])
     last = data[end - 1] if len(end) else np.zeros(0, np.uint8)
     last = np.where((last >= 65) & (last < 91), 97, last)
     shape = _LAST[last] * 4 + 2 * (wide[end] > wide[start]) + ((end - start) > 6)
