@@ -31,6 +31,8 @@ VOCABULARY, CLASSES, SHAPES = 1536, 24, 32
 SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_PASSES = 1000, 400_000, 2
 SHARE = 8
 BLOCK = 5 << 20
+#: Texts handed to a task at once.
+BATCH_ROWS = 1600
 BUCKET_WORDS = 1_000_000
 SMOOTH = 0.1
 
@@ -275,7 +277,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(text_col).alias("text"))
     blocks = stored(base.mapInArrow(
         _block_batches, "block long, ids array<long>, held array<boolean>, distinct long, first binary, "
-        "index binary, words binary, shapes binary, counts binary"), "blocks")
+        "index binary, words binary, shapes binary, counts binary"), "blocks", BATCH_ROWS)
     traffic, documents = blocks.agg(
         F.sum("distinct"), F.sum(F.size(F.filter("held", lambda x: ~x)).cast("long"))).first()
     documents = int(documents or 0)

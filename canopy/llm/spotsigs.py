@@ -43,25 +43,30 @@ SPOT = f"(?<!{_L})({_STOP}(?=((?:{_STEP}){{{CHAIN}}})))"
 EVERY = f"(?<!{_L}){_L}++(?=((?:{_N}++{_L}++){{{CHAIN}}}))"
 
 
+def _short(h: Column) -> Column:
+    """The last 32 bits, signed."""
+    return F.shiftright(F.shiftleft(h, 32), 32).cast("int")
+
+
 def signatures(text: Column) -> Column:
-    """Sorted distinct 32-bit signatures (as longs) of a text; null and blank texts have none."""
+    """Sorted distinct 32-bit signatures of a text; null and blank texts have none."""
     def hashed(chains: Column) -> Column:
         words = lambda c: F.regexp_replace(F.regexp_replace(c, f"(?<!{_L}){_STOP}", ""), f"{_N}+", " ")
-        return F.transform(chains, lambda c: F.xxhash64(words(c)).bitwiseAND(F.lit(0xFFFFFFFF)))
+        return F.transform(chains, lambda c: _short(F.xxhash64(words(c))))
 
     lower = F.lower(F.coalesce(text, F.lit("")))
 
     def found(t: Column) -> Column:
         return let(F.regexp_extract_all(t, F.lit(SPOT), F.lit(2)), lambda spots: F.when(
-            F.size(spots) > 0, hashed(spots)).when(t.rlike(r"^\s*$"), F.array().cast("array<bigint>")).otherwise(let(
+            F.size(spots) > 0, hashed(spots)).when(t.rlike(r"^\s*$"), F.array().cast("array<int>")).otherwise(let(
                 F.regexp_extract_all(t, F.lit(EVERY), F.lit(1)), lambda every: F.when(F.size(every) > 0, hashed(every)).otherwise(
-                    F.array(F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF)))))))
+                    F.array(_short(F.xxhash64(t)))))))
 
     return F.array_sort(F.array_distinct(let(lower, found)))
 
 
 def as_text(sigs: Column) -> Column:
-    return F.array_join(F.transform(sigs, lambda s: F.lower(F.lpad(F.hex(s), 8, "0"))), "")
+    return F.array_join(F.transform(sigs, lambda s: F.lower(F.lpad(F.hex(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:

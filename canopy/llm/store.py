@@ -7,13 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from canopy.session import scratch_path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
     A lost executor then costs a re-read, not a recomputation; column pruning and filters
-    reach the written files."""
+    reach the written files.  ``batch_rows`` holds for the Arrow batches of this write alone."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_BATCH)
+    try:
+        if batch_rows:
+            conf.set(_BATCH, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
