@@ -21,7 +21,7 @@ from . import text as tx
 from .store import stored
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-MAX_DOCUMENTS, MIN_LEFT_PERCENT = 100, 50
+MAX_DOCUMENTS, MIN_LEFT_PERCENT = 100, 25
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1

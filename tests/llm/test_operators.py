@@ -212,7 +212,7 @@ def test_quality_against_brute_force(spark):
         n, c, sym, dup, rep = base_measures(t)
         gone = sum(len(words_of(x)) for x in (t or "").split("\n") if words_of(x) and (s, norm(x)) in often and i != often[s, norm(x)])
         failed = n < 10 or 100 * rep > 20 * n
-        want.append((i, n, c, sym, dup, rep, failed, not failed and n - gone >= 10 and 100 * (n - gone) >= 50 * n, gone))
+        want.append((i, n, c, sym, dup, rep, failed, not failed and n - gone >= 10 and 100 * (n - gone) >= quality.MIN_LEFT_PERCENT * n, gone))
     df = spark.createDataFrame(rows, DOCS).withColumn("key", F.lit(1)).withColumn("lines", F.lit("x"))
     got = quality.line_frequency(df, max_documents=limit).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed").collect()
