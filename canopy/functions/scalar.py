@@ -23,7 +23,7 @@ def _c(c: str | Column) -> Column:
 
 def first_token_lower(c: str | Column) -> Column:
     """first whitespace-separated token, lower case; no token gives NULL."""
-    tok = F.regexp_extract(F.trim(_c(c)), r"^(\S+)", 1)
+    tok = F.regexp_extract(_c(c), r"(\S+)", 1)
     return F.lower(F.when(tok != "", tok))
 
 

@@ -21,10 +21,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import BooleanType, DoubleType, FloatType, NumericType
 
 from ...functions.scalar import col
 from ...session import checkpoint_dir
+from ..folds import percentiles
 
 MAX_CATEGORIES = 100_000
 
@@ -62,21 +63,33 @@ class FeatureSpec:
         return float(e[split_bin]) if split_bin < len(e) else float("inf")
 
 
+def with_missing(df: DataFrame, features: list[str]) -> DataFrame:
+    """Features in the forms that are binned: NaN is missing, booleans are
+    numbers, and what is neither number nor boolean is text."""
+    out = {}
+    for f in df.schema.fields:
+        if f.name not in features:
+            continue
+        if isinstance(f.dataType, BooleanType):
+            out[f.name] = col(f.name).cast("int")
+        elif isinstance(f.dataType, (DoubleType, FloatType)):
+            out[f.name] = F.nanvl(col(f.name), F.lit(None))
+        elif not isinstance(f.dataType, NumericType):
+            out[f.name] = col(f.name).cast("string")
+    return df.withColumns(out) if out else df
+
+
 def feature_spec(df: DataFrame, features: list[str], max_bins: int = 256,
-                 exact: bool | None = False) -> FeatureSpec:
+                 exact: bool = False) -> FeatureSpec:
     """Cut points for numeric features and dictionaries for string ones.
 
     One aggregate job for all numeric features; one small distinct job per
     string feature (its cardinality is checked against MAX_CATEGORIES).
     Default: the ``percentile_approx`` sketch (its cut points can move
-    slightly with the input partitioning).  ``exact=True``: exact interpolated
-    percentiles, deterministic but slow with many bins (Spark's exact
-    aggregate takes ~0.2 s per probability on 600k rows); ``exact=None``
-    picks exact up to EXACT_PERCENTILE_MAX_ROWS rows.
+    slightly with the input partitioning), at every size.  ``exact=True``:
+    exact interpolated percentiles, the same for any partitioning.
     """
-    if exact is None:
-        from ..folds import EXACT_PERCENTILE_MAX_ROWS
-        exact = df.count() <= EXACT_PERCENTILE_MAX_ROWS
+    df = with_missing(df, features)
     types = {f.name: f.dataType for f in df.schema.fields}
     is_cat = [not isinstance(types[c], NumericType) for c in features]
     probs = [i / max_bins for i in range(1, max_bins)]
@@ -85,9 +98,8 @@ def feature_spec(df: DataFrame, features: list[str], max_bins: int = 256,
     for c, cat in zip(features, is_cat):
         if not cat:
             x = col(c).cast("double")
-            aggs.append((F.percentile(x, arr) if exact else F.percentile_approx(x, arr, 10 * max_bins))
-                        .alias(f"q_{len(aggs)}"))
-    row = df.agg(*aggs).first() if aggs else None
+            aggs.append(F.percentile_approx(x, arr, 10 * max_bins).alias(f"q_{len(aggs)}"))
+    row = df.agg(*aggs).first() if aggs and not exact else None
     edges, cats, k = [], [], 0
     for c, cat in zip(features, is_cat):
         if cat:
@@ -98,7 +110,7 @@ def feature_spec(df: DataFrame, features: list[str], max_bins: int = 256,
             cats.append(sorted(r["v"] for r in vals))
             edges.append(None)
         else:
-            q = row[f"q_{k}"] or []
+            q = (percentiles(df, c, probs) if exact else row[f"q_{k}"]) or []
             k += 1
             e = np.array(sorted({float(v) for v in q if v is not None}), dtype=np.float64)
             edges.append(e)
@@ -119,7 +131,7 @@ def build_state(df: DataFrame, key: str, fold: str, label: str, spec: FeatureSpe
     """Binned rows with one margin column per model, checkpointed."""
     spark = df.sparkSession
     n_parts = partitions or max(spark.sparkContext.defaultParallelism, 1)
-    src = df.select(F.xxhash64(F.lit(seed), col(key).cast("string")).alias("_kh"),
+    src = with_missing(df, spec.names).select(F.xxhash64(F.lit(seed), col(key).cast("string")).alias("_kh"),
                     col(fold).cast("int").alias("_fold"), col(label).cast("double").alias("_y"),
                     *[col(c).alias(f"f{i}") for i, c in enumerate(spec.names)])
     src = src.repartition(n_parts, "_kh")

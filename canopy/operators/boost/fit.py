@@ -65,7 +65,8 @@ class ModelSpec:
     ``early_stop``: a cross-validation fold model (stops on its holdout loss).
     Otherwise the model is a final model: it stops with its group's fold
     models, or after ``n_trees`` trees when that is given.
-    ``masked`` features are not offered for the first ``mask_trees`` trees
+    ``init_trees`` and ``init_base`` (its ``base_margin``) are a model to
+    continue.  ``masked`` features are not offered for the first ``mask_trees`` trees
     (warm-up); early stopping looks only at rounds after them.
     """
     name: str
@@ -78,6 +79,7 @@ class ModelSpec:
     early_stop: bool = True
     n_trees: int | None = None
     init_trees: list = field(default_factory=list)
+    init_base: float | None = None
 
 
 @dataclass
@@ -108,7 +110,9 @@ def _clamp(w, lo, hi):
 class Trainer:
     def __init__(self, df: DataFrame, key: str, fold: str, label: str, features: list[str],
                  models: list[ModelSpec], params: BoostParams, spec: FeatureSpec | None = None,
-                 exact_bins: bool | None = False):
+                 exact_bins: bool = False):
+        if len({len(m.init_trees) for m in models}) > 1:
+            raise ValueError("models of a batch continue from the same number of trees")
         if spec is None and any(m.init_trees for m in models):
             raise ValueError("warm start needs the cut points of the continued model (spec=)")
         self.spark = df.sparkSession
@@ -121,15 +125,21 @@ class Trainer:
         self.spec = spec or feature_spec(df, features, params.max_bins, exact_bins)
         self.nf = len(self.spec.names)
         self.fid = {n: i for i, n in enumerate(self.spec.names)}
-        sums = {r["f"]: (r["s"], r["n"]) for r in
+        y = F.nanvl(col(label).cast("double"), F.lit(None))
+        seen = {r["f"]: r for r in
                 df.groupBy(col(fold).cast("int").alias("f"))
-                  .agg(F.sum(col(label).cast("double")).alias("s"), F.count(col(label)).alias("n"))
+                  .agg(F.sum(y).alias("s"), F.count(y).alias("n"), F.count(F.lit(1)).alias("rows"),
+                       F.min(y).alias("low"))
                   .collect()}
+        self._check_labels(seen)
+        sums = {f: (r["s"], r["n"]) for f, r in seen.items()}
         self.base = []
         for m in models:
             s = sum(v[0] or 0.0 for f, v in sums.items() if f not in (m.holdout, params.test_fold))
             n = sum(v[1] for f, v in sums.items() if f not in (m.holdout, params.test_fold))
-            self.base.append(self.obj.base_margin(s / n if n else 0.0))
+            # A continued model goes on from its own start, whatever the new rows' mean.
+            self.base.append(m.init_base if m.init_trees and m.init_base is not None
+                             else self.obj.base_margin(s / n if n else 0.0))
         checkpoint_dir(self.spark)
         self.state = build_state(df, key, fold, label, self.spec, self.base, params.seed)
         df.unpersist()
@@ -144,6 +154,20 @@ class Trainer:
         self.masked = [np.array([self.fid[c] for c in m.masked if c in self.fid], np.int64)
                        for m in models]
 
+    def _check_labels(self, seen: dict) -> None:
+        """Rows without a fold or label, and labels that the link can't take, are
+        errors: they would give missing sums and a loss of nothing."""
+        if None in seen:
+            raise ValueError(f"{seen[None]['rows']} rows have no fold")
+        bad = sum(r["rows"] - r["n"] for r in seen.values())
+        if bad:
+            raise ValueError(f"{bad} rows have no label (NULL or NaN)")
+        low = min((r["low"] for r in seen.values()), default=None)
+        if low is not None and self.params.objective == "count:poisson" and low < 0:
+            raise ValueError(f"count:poisson needs labels of at least 0, found {low}")
+        if low is not None and self.params.objective == "reg:gamma" and low <= 0:
+            raise ValueError(f"reg:gamma needs labels above 0, found {low}")
+
     # ---------------------------------------------------------------- passes
     def _collect(self, plan: PassPlan, with_cat: bool):
         rows = find_splits(run_pass(self.state, plan), self.params.reg_lambda,

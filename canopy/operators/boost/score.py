@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ...functions.scalar import col
 from . import objectives
-from .bins import FeatureSpec
+from .bins import FeatureSpec, with_missing
 
 MODEL_TABLE_SCHEMA = (
     "model string, tree_id int, node_id int, depth int, feature_id int, feature string, "
@@ -73,8 +73,9 @@ def predict(df: DataFrame, spec: FeatureSpec, trees: list, base_margin: float, o
             keep: list[str], out: str = "prediction", features: list[str] | None = None) -> DataFrame:
     """Score ``df`` (raw feature columns named as in training, or ``features``)."""
     feats = features or spec.names
-    src = df.select(*[col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-                    *[col(c).alias(f"f{i}") for i, c in enumerate(feats)])
+    held = df.withColumns({f"_keep{i}": col(c) for i, c in enumerate(keep)}) if keep else df
+    src = with_missing(held, feats).select(*[col(f"_keep{i}").alias(f"k{i}") for i in range(len(keep))],
+                                           *[col(c).alias(f"f{i}") for i, c in enumerate(feats)])
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
                        + [f"`{out}` double"])
     fcols = [f"f{i}" for i in range(len(feats))]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col, linspace_value
+from .boost.bins import with_missing
 
 
 def min_max(df: DataFrame, c: str) -> tuple[float | None, float | None]:
@@ -45,7 +46,7 @@ def gain_importance(model_table: DataFrame, features: list[str], model: str | No
     """A14 + A12 + M25: mean split gain per feature, as a share of the total
     x 100 (all-zero totals left as they are; unused features 0).
 
-    One row per (model, feature)."""
+    One row per (model, feature), by model and descending share (O2)."""
     mt = model_table if model is None else model_table.where(F.col("model") == model)
     gains = (mt.where(~F.col("is_leaf")).groupBy("model", "feature")
                .agg(F.avg("gain").alias("gain")))
@@ -56,15 +57,11 @@ def gain_importance(model_table: DataFrame, features: list[str], model: str | No
     from pyspark.sql import Window
     total = F.sum("gain").over(Window.partitionBy("model"))
     return full.select("model", "feature", "gain",
-                       F.when(total > 0, F.col("gain") / total * 100).otherwise(F.col("gain")).alias("pct"))
+                       F.when(total > 0, F.col("gain") / total * 100).otherwise(F.col("gain")).alias("pct")
+                       ).orderBy("model", F.desc("pct"), "feature")
 
 
 # ---------------------------------------------------------------- PDP / ICE
-def _model_closure(result_model, spec):
-    trees, base = result_model.trees, result_model.base_margin
-    return trees, base
-
-
 def partial_dependence(df: DataFrame, spec, trees: list, base_margin: float, objective: str,
                        feature: str, grid: list[float]) -> DataFrame:
     """Mean prediction over all rows of ``df`` with ``feature`` set to
@@ -76,7 +73,7 @@ def partial_dependence(df: DataFrame, spec, trees: list, base_margin: float, obj
     from .boost.score import predict_frame
     names = spec.names
     fi = names.index(feature)
-    src = df.select(*[col(c).alias(f"f{i}") for i, c in enumerate(names)])
+    src = with_missing(df, names).select(*[col(c).alias(f"f{i}") for i, c in enumerate(names)])
     cols = [f"f{i}" for i in range(len(names))]
     g = list(grid)
 
@@ -117,8 +114,8 @@ def ice_curves(df: DataFrame, key: str, spec, trees: list, base_margin: float, o
     names = spec.names
     fi = names.index(feature)
     rows = sample_rows(df, key, n_lines, seed)
-    src = rows.select(col(key).cast("string").alias("row_key"),
-                      *[col(c).alias(f"f{i}") for i, c in enumerate(names)])
+    src = with_missing(rows.withColumn("_row", col(key).cast("string")), names).select(
+                      F.col("_row").alias("row_key"), *[col(c).alias(f"f{i}") for i, c in enumerate(names)])
     cols = [f"f{i}" for i in range(len(names))]
     g = list(grid)
 

@@ -21,30 +21,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.scalar import col, digitize, strata_bin_count
+from ..session import scratch_path
 
-# Above this many rows, percentiles switch from the exact aggregate (which
-# keeps a value->count map in one task) to the approximate sketch.
-EXACT_PERCENTILE_MAX_ROWS = 20_000_000
-APPROX_ACCURACY = 100_000
 # Largest (stratum, hash bucket) group one window task sorts.
 MAX_GROUP_ROWS = 2_000_000
 
 
-def percentiles(df: DataFrame, c: str, probs: list[float], exact: bool | None = None,
-                n_rows: int | None = None) -> list[float]:
-    """A4: percentiles with linear interpolation (NumPy's default rule).
-
-    ``exact=None`` picks the exact aggregate up to EXACT_PERCENTILE_MAX_ROWS
-    rows and the approximate one above.  Returns a short list (len(probs)).
-    """
-    if exact is None:
-        n_rows = df.count() if n_rows is None else n_rows
-        exact = n_rows <= EXACT_PERCENTILE_MAX_ROWS
-    x = col(c).cast("double")
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    agg = F.percentile(x, arr) if exact else F.percentile_approx(x, arr, APPROX_ACCURACY)
-    row = df.agg(agg.alias("q")).first()
-    return [float(v) for v in (row["q"] or [])]
+def _value_ranks(df: DataFrame, x: Column, by: list[Column]) -> DataFrame:
+    """Distinct values with their counts, range-partitioned and written once:
+    (by..., x, n, part).  Parts are in value order."""
+    counts = (df.select(*[c.alias(f"g{i}") for i, c in enumerate(by)], F.nanvl(x.cast("double"), F.lit(None)).alias("x"))
+              .where(F.col("x").isNotNull())
+              .groupBy(*[f"g{i}" for i in range(len(by))], "x").agg(F.count(F.lit(1)).alias("n")))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranks")
+    (counts.repartitionByRange(n, *[f"g{i}" for i in range(len(by))], "x")
+     .withColumn("part", F.spark_partition_id()).write.parquet(path))
+    return spark.read.parquet(path)
+
+
+def percentiles_by(df: DataFrame, c: str, probs: list[float], by: list[str]) -> DataFrame:
+    """A4 within groups: (by..., p, value), linear interpolation (NumPy's default rule).
+
+    Exact at every size and for any partitioning, and no task holds all values:
+    values are counted map-side, the distinct ones range-partitioned, the
+    parts' sums give each part's first rank, and the two order statistics
+    around each rank are picked within their part.  The sums are one row per
+    group and part."""
+    names = [f"g{i}" for i in range(len(by))]
+    ranks = _value_ranks(df, col(c), [col(b) for b in by])
+    sums = ranks.groupBy(*names, "part").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn(
+        "total", F.sum("n").over(Window.partitionBy(*names)))
+    want = sums.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
+        "at", (F.col("total") - 1) * F.col("p"))
+    # Parts that hold the lower or the upper order statistic of a rank.
+    want = want.where((F.col("first") <= F.ceil("at")) & (F.floor("at") < F.col("first") + F.col("n"))).drop("n")
+    inner = Window.partitionBy(*names, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranks.withColumn("inner", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    at = F.col("first") + F.col("inner")
+    low, high = F.floor("at"), F.ceil("at")
+    hits = placed.join(want, [*names, "part"]).withColumn("start", at).where(
+        ((F.col("start") <= low) & (low < F.col("start") + F.col("n")))
+        | ((F.col("start") <= high) & (high < F.col("start") + F.col("n"))))
+    got = hits.groupBy(*names, "p", "at").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    # NumPy's lerp: from the nearer end, so that both ends are exact.
+    t, d = F.col("at") - F.floor("at"), F.col("b") - F.col("a")
+    value = F.when(t < 0.5, F.col("a") + d * t).otherwise(F.col("b") - d * (1 - t))
+    return got.select(*[F.col(n).alias(b) for n, b in zip(names, by)], "p", value.alias("value"))
+
+
+def percentiles(df: DataFrame, c: str, probs: list[float]) -> list[float]:
+    """A4: percentiles of the non-missing values (NULL and NaN are missing), in
+    the order of ``probs``; empty without values.  See ``percentiles_by``."""
+    out = {r["p"]: float(r["value"]) for r in percentiles_by(df, c, sorted(set(map(float, probs))), []).collect()}
+    return [out[float(p)] for p in probs] if out else []
 
 
 def distinct_edges(values: list[float]) -> list[float]:
@@ -52,12 +85,12 @@ def distinct_edges(values: list[float]) -> list[float]:
     return sorted(set(values))
 
 
-def median(df: DataFrame, c: str, exact: bool | None = None) -> float:
-    """Median (exact up to EXACT_PERCENTILE_MAX_ROWS rows)."""
-    return percentiles(df, c, [0.5], exact)[0]
+def median(df: DataFrame, c: str) -> float:
+    """Exact median."""
+    return percentiles(df, c, [0.5])[0]
 
 
-def stratum_column(df: DataFrame, c: str, n_folds: int, exact: bool | None = None) -> Column:
+def stratum_column(df: DataFrame, c: str, n_folds: int) -> Column:
     """The stratum of every row, as the reference derives it.
 
     Numeric column: quantile bins (F7 bin count, A4 edges, A5 distinct, F5
@@ -71,9 +104,9 @@ def stratum_column(df: DataFrame, c: str, n_folds: int, exact: bool | None = Non
     stats = df.agg(F.count(col(c)).alias("n")).first()
     n = int(stats["n"])
     n_bins = strata_bin_count(n, n_folds)
-    edges = distinct_edges(percentiles(df, c, [i / n_bins for i in range(n_bins + 1)], exact, n))
+    edges = distinct_edges(percentiles(df, c, [i / n_bins for i in range(n_bins + 1)]))
     if len(edges) <= 2:
-        med = median(df, c, exact)
+        med = median(df, c)
         s = (col(c) > F.lit(med)).cast("int")
     else:
         s = digitize(c, edges[1:-1])

@@ -18,7 +18,7 @@ from ..sources import tables
 from . import datasets
 from .oracle import charge_folds_sql, quantile_stratum_sql
 from .registry import register
-from ..operators.folds import fold_sql
+from ..operators.folds import fold_sql, percentiles_by
 
 L1 = tables.fixture_sql("charge")
 L3 = tables.fixture_sql("messy_part")
@@ -198,17 +198,16 @@ _PROBS = [i / 10 for i in range(11)]
           f"(select quantile_cont(charge, [{', '.join(map(repr, _PROBS))}]) as q from ({L1}) t) s, "
           f"range(1, {len(_PROBS) + 1}) r(i)")
 def q_a4(spark, sf_dir):
-    q = F.percentile("charge", F.array(*[F.lit(p) for p in _PROBS]))
-    return (tables.charge_rows(spark, sf_dir).agg(q.alias("q"))
-            .select(F.posexplode("q").alias("q_ix", "value"))
-            .select(F.col("q_ix").cast("int"), F.round("value", 6).alias("value")))
+    q = percentiles_by(tables.charge_rows(spark, sf_dir), "charge", _PROBS, [])
+    return q.select(F.round(F.col("p") * (len(_PROBS) - 1)).cast("int").alias("q_ix"),
+                    F.round("value", 6).alias("value"))
 
 
 @register("a6_median", f"select returnflag, round(median(charge), 6) as median_charge "
                        f"from ({L1}) t group by returnflag")
 def q_a6(spark, sf_dir):
-    return (tables.charge_rows(spark, sf_dir).groupBy("returnflag")
-            .agg(F.round(F.median("charge"), 6).alias("median_charge")))
+    return percentiles_by(tables.charge_rows(spark, sf_dir), "charge", [0.5], ["returnflag"]).select(
+        "returnflag", F.round("value", 6).alias("median_charge"))
 
 
 def _strata_sql() -> str:

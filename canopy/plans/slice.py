@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import ape
-from ..operators.folds import assign_folds
+from ..operators.folds import assign_folds, percentiles_by
 from ..sources.tables import charge_rows
 
 N_FOLDS = 6  # fold 6 is the hold-out test fold
@@ -28,12 +28,8 @@ def train_fold_models(df: DataFrame, n_folds: int = N_FOLDS, fold_col: str = "fo
 
 def median_predictor_cv(df: DataFrame, y: str = "charge", n_folds: int = N_FOLDS) -> DataFrame:
     """A7 + A8: per-fold MAPE of the median of the other training folds."""
-    from ..operators.folds import EXACT_PERCENTILE_MAX_ROWS, APPROX_ACCURACY
-    # exact median (NumPy rule) up to the exact-percentile limit, sketch above
-    exact = df.count() <= EXACT_PERCENTILE_MAX_ROWS
-    agg = F.median(y) if exact else F.percentile_approx(y, 0.5, APPROX_ACCURACY)
-    med = (train_fold_models(df.select("fold", y), n_folds)
-           .groupBy("k").agg(agg.alias("median_pred")))
+    med = percentiles_by(train_fold_models(df.select("fold", y), n_folds), y, [0.5], ["k"]).select(
+        "k", F.col("value").alias("median_pred"))
     val = df.where(F.col("fold") != n_folds).select(F.col("fold").alias("k"), y)
     per_fold = (val.join(F.broadcast(med), "k")
                    .groupBy("k").agg(F.count(F.lit(1)).alias("n_val"),

@@ -59,7 +59,7 @@ def cross_validate(df: DataFrame, key: str, target: str, features: list[str], de
 
 def fit_final(df: DataFrame, key: str, target: str, features: list[str], depth: int,
               n_trees: int, params: BoostParams, constraints: dict | None = None,
-              masked: Sequence[str] = (), mask_trees: int = 0, init_trees: Sequence = (),
+              masked: Sequence[str] = (), mask_trees: int = 0, init_trees: Sequence = (), init_base: float | None = None,
               train_transform: Callable[[DataFrame], DataFrame] | None = None,
               spec=None) -> BatchResult:
     """A fixed number of trees on all training rows, scored on test.
@@ -74,7 +74,7 @@ def fit_final(df: DataFrame, key: str, target: str, features: list[str], depth:
         tf = F.col("fold") == params.test_fold
         df = train_transform(df.where(~tf)).unionByName(df.where(tf))
     m = ModelSpec("final", "final", params.test_fold, depth, constraints or {}, list(masked),
-                  mask_trees, early_stop=False, n_trees=n_trees, init_trees=list(init_trees))
+                  mask_trees, early_stop=False, n_trees=n_trees, init_trees=list(init_trees), init_base=init_base)
     return Trainer(df, key, "fold", target, features, [m], params, spec=spec).run()
 
 

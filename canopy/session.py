@@ -38,14 +38,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir).  Only when neither is set (local tests) is a folder
-    under the system temp dir created and registered.
+    checkpoint dir).  Only when neither is set and the master is local (tests)
+    is a folder under the system temp dir created and registered; a cluster
+    without one is an error, as executors can't share a machine's folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="canopy-ckpt-")
     sc.setCheckpointDir(d)

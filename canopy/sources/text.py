@@ -39,12 +39,12 @@ def read_whitespace(spark: SparkSession, path: str,
                     columns: Sequence[tuple[str, str]] = AUTO_MPG_COLUMNS) -> DataFrame:
     """Whitespace-separated fields; a double-quoted field may hold blanks.
     Every line splits into tokens with one regex; tokens are typed by name
-    (``try_cast``, so '?' becomes NULL for numbers)."""
+    (``try_cast``, so '?' becomes NULL for numbers).  Fields that a short line lacks are NULL."""
     toks = F.regexp_extract_all(F.col("value"), F.lit(r'("[^"]*"|\S+)'), 1)
     lines = spark.read.text(path).where(F.trim("value") != "").select(toks.alias("t"))
     out = []
     for i, (name, typ) in enumerate(columns):
-        raw = F.regexp_replace(F.element_at("t", i + 1), r'^"|"$', "")
+        raw = F.regexp_replace(F.try_element_at("t", F.lit(i + 1)), r'^"|"$', "")
         out.append((raw if typ == "string" else raw.try_cast(typ)).alias(name))
     return lines.select(*out)
 
