@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import connected_components
-from .store import partitions, stored
+from .store import partitions, perhaps_in, stored
 
 BANDS, ROWS = 60, 4
 NODE_SETS, NODE_SHINGLES = 2000, 3_000_000
@@ -271,11 +271,13 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     classes = stored(told.where("n > 0").groupBy("n", "key_a", "key_b").agg(F.min("id").alias("rep")),
                      "classes")
     # Joins on tables that grow with the input are sort-merge joins at every size.
-    postings = told.hint("merge").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select(
-        "id", F.explode("keys").alias("key"))
-    first = postings.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("x")).where(
-        "m < x").select("key", "m")
-    edges = postings.hint("merge").join(first, "key").where("id != m").select(F.col("id").alias("u"), F.col("m").alias("v"))
+    reps = stored(told.select("id", "keys").hint("merge").join(
+        classes.select(F.col("rep").alias("id")), "id", "left_semi"), "reps")
+    postings = reps.select("id", F.explode("keys").alias("key"))
+    first = stored(postings.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("x")).where(
+        "m < x").select("key", "m"), "keys")
+    edges = perhaps_in(postings, "key", first).hint("merge").join(first, "key").where("id != m").select(
+        F.col("id").alias("u"), F.col("m").alias("v"))
     blocks = connected_components(edges).withColumnRenamed("component", "block")
     sized = blocks.join(classes.select(F.col("rep").alias("node"), "n"), "node").select(
         F.col("node").alias("id"), "block", "n")
@@ -299,7 +301,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     def linked(members: DataFrame) -> DataFrame:
         """members: id, node, side, known."""
-        rows = members.hint("merge").join(base, "id").select("node", "id", "side", "known", "text")
+        rows = members.hint("merge").join(perhaps_in(base, "id", members), "id").select("node", "id", "side", "known", "text")
         dealt = rows.repartition(max(partitions(spark), 12), "node").sortWithinPartitions("node")
         return stored(dealt.mapInArrow(_link_nodes(k, percent), "u long, v long"), "links")
 

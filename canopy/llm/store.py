@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from canopy.session import scratch_path
 
@@ -37,3 +38,20 @@ def with_columns_free(df: DataFrame, *names: str) -> str:
     while any(c.lower().startswith(prefix + n) for c in df.columns for n in names):
         prefix += "_"
     return prefix
+
+
+#: Bits of the filter of ``perhaps_in``: 524,288 words of 64 at most, so 8 MB.
+FILTER_BITS = 1 << 25
+
+
+def perhaps_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among the same column of ``keys``: all that are, and a
+    share of the others that grows with the number of keys.  A join then shuffles few rows that find
+    no partner.  The keys' bits are OR-ed into words, which are few enough to broadcast at any size."""
+    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    words = keys.select(slot.alias("_slot")).select(
+        F.expr("_slot div 64").alias("_word"), F.expr("shiftleft(1L, cast(_slot % 64 as int))").alias("_bit")
+    ).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return df.withColumn("_slot", slot).withColumn("_word", F.expr("_slot div 64")).join(
+        F.broadcast(words), "_word").where("shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1 = 1").select(
+        df.columns)
