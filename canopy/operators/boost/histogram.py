@@ -216,16 +216,24 @@ def run_pass(state: DataFrame, plan: PassPlan) -> DataFrame:
 
 
 def find_splits(partials: DataFrame, reg_lambda: float, min_child_weight: float) -> DataFrame:
-    """One shuffle: partial histograms grouped per (model, node), summed and
-    searched in ``applyInPandas``; one output row per open node plus one per
-    model with metric sums."""
+    """One output row per open node plus one per model with metric sums.
+
+    The tasks' histograms are shuffled once, by (model, node, feature), summed per
+    cell in the JVM as they stream in, and searched per feature; of the features'
+    best splits (one row each) the greatest gain wins, ties to the lower feature."""
     from .node_split import OUT_SCHEMA, make_split_fn
-    return partials.groupBy("model", "node").applyInPandas(
+    cells = aggregate(partials.repartition("model", "node", "feature"))
+    found = cells.groupBy("model", "node", "feature").applyInPandas(
         make_split_fn(reg_lambda, min_child_weight), OUT_SCHEMA)
+    split = [c for c in found.columns if c not in ("model", "node", "kind", "Gt", "Ht", "Ct")]
+    rank = F.when(F.col("feature").isNotNull(), F.struct("loss_chg", -F.col("feature")))
+    totals = [F.max(F.when(F.col("feature").isNull(), F.col(c))).alias(c) for c in ("kind", "Gt", "Ht", "Ct")]
+    return found.groupBy("model", "node").agg(*totals, F.max_by(F.struct(*split), rank).alias("_best")).select(
+        "model", "node", "kind", "Gt", "Ht", "Ct", "_best.*")
 
 
 def aggregate(partials: DataFrame) -> DataFrame:
-    """Sum partial histograms per cell (map-side combine, then one shuffle)."""
+    """Sum partial histograms per cell."""
     return partials.groupBy("model", "node", "feature", "bin", "dir", "is_cat", "lower", "upper").agg(
         F.sum("G").alias("G"), F.sum("H").alias("H"), F.sum("C").alias("C"))
 

@@ -1,13 +1,15 @@
-"""Per-node split search for the training loop.
+"""Split search for the training loop.
 
-Runs as ``groupBy("model", "node").applyInPandas``: a group holds one node's
-partial histogram rows from every task (bounded by tasks x features x bins,
-independent of the row count).  It sums them, then scores every prefix split
-exactly like the window SQL in ``split.py`` (which is the DuckDB-checked form
-of the same rule): prefix sums in bin order (categorical: by G / (H + lambda)),
-missing bin sent left or right, child weights clamped to the node's bounds,
-monotone direction enforced, ties to the lower feature, earlier position,
-missing-right.  Group ``node = -1`` carries the validation metric sums.
+Runs as ``groupBy("model", "node", "feature").applyInPandas`` over cells summed
+over the tasks, so a group holds one feature's bins at one node, whatever the
+number of rows and tasks (given more features of a node, it picks the best).  It
+scores every prefix split exactly like the window SQL in ``split.py`` (which is
+the DuckDB-checked form of the same rule): prefix sums in bin order (categorical:
+by G / (H + lambda)), missing bin sent left or right, child weights clamped to
+the node's bounds, monotone direction enforced, ties to the lower feature,
+earlier position, missing-right.  A feature's bins add up to the node's totals;
+feature -1 gives them for nodes without features.  Node -1 carries the validation
+metric sums.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def make_split_fn(reg_lambda: float, min_child_weight: float):
             return pd.DataFrame([out], columns=_COLS)
         agg = pdf.groupby(["feature", "bin", "dir", "is_cat", "lower", "upper"], sort=True,
                           as_index=False)[["G", "H", "C"]].sum()
-        tot = agg[agg["feature"] == -1]
+        tot = agg[agg["feature"] == agg["feature"].iat[0]]     # -1, or one feature's bins
         Gt, Ht, Ct = float(tot["G"].sum()), float(tot["H"].sum()), int(tot["C"].sum())
         best = None
         lo = float(agg["lower"].iat[0]) if len(agg) else -np.inf
@@ -85,6 +87,8 @@ def make_split_fn(reg_lambda: float, min_child_weight: float):
                         GR=float(GR[i]), HR=float(HR[i]), CR=int(CR[i]), wl=float(wl[i]),
                         wr=float(wr[i]),
                         left_bins=[int(b) for b in bins[: i + 1]] if is_cat else None))
+        if best is None and agg["feature"].iat[0] >= 0:     # the totals come with feature -1
+            return pd.DataFrame([], columns=_COLS)
         out = dict(base, kind=0, Gt=Gt, Ht=Ht, Ct=Ct)
         if best is not None:
             out.update(best[1])

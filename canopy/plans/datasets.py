@@ -8,7 +8,7 @@ stand-in tables.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,3 +96,17 @@ def prepare_california(df: DataFrame, key: str, target: str = "median_house_valu
                        seed: int = FOLD_SEED) -> DataFrame:
     """Drop censored targets (P5: keep target <= cap), then folds."""
     return assign_folds(df.where(col(target) <= F.lit(cap)), key, n_folds, seed, stratify_col=target)
+
+
+def prepare_all(loaders: Mapping[str, Callable[[], DataFrame]],
+                write: Callable[[str, DataFrame], None]) -> list[tuple[str, str, str | None]]:
+    """Prepares and writes every dataset in the order given; one that fails is
+    recorded, not raised.  Returns (dataset, status, error)."""
+    status = []
+    for name, load in loaders.items():
+        try:
+            write(name, load())
+            status.append((name, "ok", None))
+        except Exception as e:  # noqa: BLE001 - isolate one dataset's failure
+            status.append((name, "failed", f"{type(e).__name__}: {e}"[:500]))
+    return status
