@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .store import stored
 
+#: Tasks a hub's edges are dealt over.
+SALTS = 16
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` has two long columns ``u`` and ``v``.  Returns (node, component), component
@@ -15,11 +18,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round points every node's larger neighbours, then its smaller ones, at the smallest;
     rounds are logarithmic in practice.  ``now`` holds each edge once, the larger end first, so a
     node's smallest neighbour is a minimum over its own rows, aggregated map-side, and a hub is
-    met as ``v`` alone, in a join that AQE can split.  Nothing is collected but a flag."""
+    met as ``v`` alone, in a join whose keys are salted.  Nothing is collected but a flag."""
     now = stored(_oriented(edges), "edges")
     while not _stars(now):
         low = now.groupBy("u").agg(F.min("v").alias("m"))
-        large = now.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select(
+        low = low.select(F.col("u").alias("v"), "m", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+        salted = now.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+        large = salted.join(low, ["v", "salt"], "left").select(
             "u", F.coalesce("m", "v").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
