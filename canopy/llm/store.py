@@ -48,10 +48,10 @@ def perhaps_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``column`` may be among the same column of ``keys``: all that are, and a
     share of the others that grows with the number of keys.  A join then shuffles few rows that find
     no partner.  The keys' bits are OR-ed into words, which are few enough to broadcast at any size."""
+    p = with_columns_free(df, "slot", "word", "bits")
     slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    words = keys.select(slot.alias("_slot")).select(
-        F.expr("_slot div 64").alias("_word"), F.expr("shiftleft(1L, cast(_slot % 64 as int))").alias("_bit")
-    ).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    return df.withColumn("_slot", slot).withColumn("_word", F.expr("_slot div 64")).join(
-        F.broadcast(words), "_word").where("shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1 = 1").select(
-        df.columns)
+    words = keys.select(slot.alias(p + "slot")).groupBy(F.expr(f"{p}slot div 64").alias(p + "word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast({p}slot % 64 as int)))").alias(p + "bits"))
+    return df.withColumn(p + "slot", slot).withColumn(p + "word", F.expr(f"{p}slot div 64")).join(
+        F.broadcast(words), p + "word").where(
+        f"shiftrightunsigned({p}bits, cast({p}slot % 64 as int)) & 1 = 1").select(df.columns)
