@@ -45,3 +45,4 @@ def _load_all() -> None:
     """Import the modules that register further queries."""
     from . import queries_clean  # noqa: F401
     from . import queries_boost  # noqa: F401
+    from . import queries_select  # noqa: F401

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import constraint_direction, constraint_feature, file_stem, split_list
+from ..functions.scalar import constraint_direction, constraint_feature, file_stem, fold_from_label, split_list
 
 # The config defaults.
 DEFAULT_MONOTONIC = ""
@@ -74,3 +74,12 @@ def read_results(spark: SparkSession, path: str, datasets: Sequence[str] | None
     pruning; absent partitions give no rows)."""
     df = spark.read.parquet(path)
     return df.where(F.col("dataset").isin(list(datasets))) if datasets else df
+
+
+def read_processed(spark: SparkSession, path: str, n_folds: int = 6) -> DataFrame:
+    """A table written by ``write_processed``, with ``fold`` as a number.  The
+    label 'test' is the last fold; a label that is neither it nor a number gives
+    NULL, which training refuses."""
+    df = spark.read.option("basePath", path).parquet(path)
+    label = F.col("fold").cast("string")
+    return df.withColumn("fold", F.when(label == "test", F.lit(n_folds)).otherwise(fold_from_label(label)))
