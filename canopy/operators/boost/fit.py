@@ -169,7 +169,7 @@ class Trainer:
             raise ValueError(f"reg:gamma needs labels above 0, found {low}")
 
     # ---------------------------------------------------------------- passes
-    def _collect(self, plan: PassPlan, with_cat: bool):
+    def _collect(self, plan: PassPlan):
         rows = find_splits(run_pass(self.state, plan), self.params.reg_lambda,
                            self.params.min_child_weight).collect()
         rows_tot = [r for r in rows if r["kind"] == 0]
@@ -269,8 +269,7 @@ class Trainer:
                                 tree_index=t, pending=self.pending,
                                 metrics=[(j, self.models[j].holdout) for j in metric_models] if first else [],
                                 builders=builders)
-                with_cat = bool(any(self.is_cat[b.features].any() for b in builders if len(b.features)))
-                rows, mets = self._collect(plan, with_cat)
+                rows, mets = self._collect(plan)
                 if first:
                     for r in mets:
                         self.curves[r["model"]][t] = (r["G"], r["H"], r["C"])
@@ -373,7 +372,3 @@ class Trainer:
                     "test_mape": finals[0].mape_at(finals[0].best_trees) if finals else None}
             groups[g] = info
         return BatchResult(self.spec, self.params, res, groups)
-
-
-def base_margin_for(obj_name: str, mean_y: float) -> float:
-    return objectives.get(obj_name).base_margin(mean_y)

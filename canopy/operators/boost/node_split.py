@@ -3,8 +3,7 @@
 Runs as ``groupBy("model", "node", "feature").applyInPandas`` over cells summed
 over the tasks, so a group holds one feature's bins at one node, whatever the
 number of rows and tasks (given more features of a node, it picks the best).  It
-scores every prefix split exactly like the window SQL in ``split.py`` (which is
-the DuckDB-checked form of the same rule): prefix sums in bin order (categorical:
+scores every prefix split (queries m7, m8 and the stumps check it against DuckDB): prefix sums in bin order (categorical:
 by G / (H + lambda)), missing bin sent left or right, child weights clamped to
 the node's bounds, monotone direction enforced, ties to the lower feature,
 earlier position, missing-right.  A feature's bins add up to the node's totals;
@@ -17,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from .split import K_RT_EPS
+K_RT_EPS = 1e-6  # a split must reduce the loss by more than this
 
 OUT_SCHEMA = ("model int, node int, kind int, Gt double, Ht double, Ct long, feature int, "
               "bin int, is_cat boolean, dl boolean, pos int, loss_chg double, GL double, "

@@ -1,7 +1,6 @@
 """Objectives: link, initial score, gradient, hessian, stopping loss.
 
-Each objective exists twice: as NumPy functions for the per-partition
-histogram pass, and as Spark Column expressions for SQL use (M5).
+NumPy functions for the per-partition histogram pass (M5).
 """
 
 from __future__ import annotations
@@ -10,8 +9,6 @@ from dataclasses import dataclass
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 # Fixed value: the Poisson objective's hessian offset (its max_delta_step).
 POISSON_MAX_DELTA_STEP = 0.7
@@ -74,20 +71,3 @@ def get(name: str) -> Objective:
         return OBJECTIVES[name]
     except KeyError:
         raise ValueError(f"unknown objective {name!r}; known: {sorted(OBJECTIVES)}") from None
-
-
-def grad_hess_columns(name: str, margin: Column, y: Column) -> tuple[Column, Column]:
-    """M5 as Column expressions (same formulas as the NumPy side)."""
-    if name == "reg:squarederror":
-        return margin - y, F.lit(1.0)
-    if name == "count:poisson":
-        return F.exp(margin) - y, F.exp(margin + F.lit(POISSON_MAX_DELTA_STEP))
-    if name == "reg:gamma":
-        e = y * F.exp(-margin)
-        return F.lit(1.0) - e, e
-    raise ValueError(name)
-
-
-def base_margin_column(name: str, mean_y: Column) -> Column:
-    """M4: initial margin from the mean target."""
-    return F.log(mean_y) if get(name).log_link else mean_y

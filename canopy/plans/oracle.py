@@ -32,10 +32,11 @@ _q as (select list_sort(list_distinct(m[(select nb from _nb)])) as e, med from _
     return cte, stratum
 
 
-def charge_folds_sql(n_folds: int = 6, seed: int = 42, cols: str = ", charge") -> str:
-    """Folds on the L1 fixture stratified by the charge quantiles."""
-    src = fixture_sql("charge")
-    cte, stratum = quantile_stratum_sql(src, "charge", n_folds)
+def charge_folds_sql(n_folds: int = 6, seed: int = 42, cols: str = ", charge", fixture: str = "charge",
+                     y: str = "charge") -> str:
+    """Folds on the L1 fixture (or another one) stratified by the quantiles of its target."""
+    src = fixture_sql(fixture)
+    cte, stratum = quantile_stratum_sql(src, y, n_folds)
     body = fold_sql(f"select *, {stratum} as _strat from ({src}) s2", "row_key", "_strat",
                     n_folds, seed, extra_cols=cols)
     return "with " + cte.strip() + ",\n_folded as (" + body + ")\n"

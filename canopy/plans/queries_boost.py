@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import explain, select
+from ..operators.boost import objectives
 from ..operators.boost.bins import feature_spec
-from ..operators.boost.fit import BoostParams, Trainer
+from ..operators.boost.fit import BoostParams, ModelSpec, Trainer
 from ..operators.boost.histogram import Builder, PassPlan, aggregate, run_pass
-from ..operators.boost.split import best_splits
+from ..operators.boost.node_split import OUT_SCHEMA, make_split_fn
 from ..operators.boost.tree import Tree
 from ..operators.boost.score import predict
 from ..operators.folds import assign_folds
@@ -25,6 +26,7 @@ from .oracle import charge_folds_sql
 from .registry import register
 
 import numpy as np
+import pandas as pd
 
 NUMERIC = ["price", "discount", "tax", "quantity"]
 ALL_FEATURES = NUMERIC + ["returnflag", "linestatus"]
@@ -80,12 +82,12 @@ select cast(k as integer) as holdout, round(ln(avg(charge)), 9) as base_margin
 from _folded, (select unnest(range(1, 7)) as k) ks
 where fold <> 6 and fold <> k group by k""")
 def q_m4(spark, sf_dir):
-    from ..operators.boost.objectives import base_margin_column
-    df = _folded(spark, sf_dir).where("fold <> 6")
-    ks = F.array(*[F.lit(k) for k in range(1, 7)])
-    per = df.select("charge", F.explode(F.filter(ks, lambda k: k != F.col("fold"))).alias("holdout"))
-    return per.groupBy(F.col("holdout").cast("int").alias("holdout")).agg(
-        F.round(base_margin_column("reg:gamma", F.avg("charge")), 9).alias("base_margin"))
+    """The start margins that ``Trainer`` gives the six models."""
+    p = BoostParams(objective="reg:gamma")
+    specs = [ModelSpec(f"h{k}", "h", k, 1, early_stop=False, n_trees=1) for k in range(1, 7)]
+    tr = Trainer(_folded(spark, sf_dir), "row_key", "fold", "charge", [], specs, p)
+    return spark.createDataFrame([(m.holdout, round(b, 9)) for m, b in zip(specs, tr.base)],
+                                 "holdout int, base_margin double")
 
 
 # ---------------------------------------------------------------- M5 gradients
@@ -103,17 +105,24 @@ select * from _folded), b as (select avg(charge) as mu from t where fold <> 6)
     f"from (select t.*, {'ln(mu)' if o != 'reg:squarederror' else 'mu'} as m from t, b "
     f"where fold <> 6) x group by returnflag" for o, (g, h) in _GH.items()))
 def q_m5(spark, sf_dir):
-    from ..operators.boost.objectives import base_margin_column, grad_hess_columns
-    df = _folded(spark, sf_dir).where("fold <> 6")
+    """The objectives' gradients, as a training pass computes them, summed per return flag in one scan."""
+    df = _folded(spark, sf_dir).where("fold <> 6").select("charge", "returnflag")
     mu = df.agg(F.avg("charge")).first()[0]          # one scalar
-    out = []
-    for o in _GH:
-        m = base_margin_column(o, F.lit(mu))
-        g, h = grad_hess_columns(o, m, F.col("charge"))
-        out.append(df.groupBy("returnflag").agg(
-            F.round(F.sum(g), 3).alias("sum_g"), F.round(F.sum(h), 3).alias("sum_h"))
-            .select(F.lit(o).alias("objective"), "returnflag", "sum_g", "sum_h"))
-    return select.union_all(out)
+    schema = "objective string, returnflag string, g double, h double"
+
+    def sums(batches):
+        for pdf in batches:
+            for o in _GH:
+                obj = objectives.get(o)
+                y = pdf["charge"].to_numpy(np.float64)
+                g, h = obj.grad_hess(np.full(len(y), obj.base_margin(mu)), y)
+                part = pd.DataFrame({"returnflag": pdf["returnflag"], "g": g, "h": h}).groupby(
+                    "returnflag", as_index=False, dropna=False).sum()
+                part.insert(0, "objective", o)
+                yield part
+
+    return df.mapInPandas(sums, schema).groupBy("objective", "returnflag").agg(
+        F.round(F.sum("g"), 3).alias("sum_g"), F.round(F.sum("h"), 3).alias("sum_h"))
 
 
 # ---------------------------------------------------------------- M6 root histogram
@@ -191,13 +200,11 @@ select cast(feature as integer) as feature, cast(bin as integer) as bin, dl,
 
 
 def _best_per_feature(spark, sf_dir, dirs):
-    from ..operators.boost.split import candidates
-    c = candidates(_root_hist(spark, sf_dir, dirs))
-    from pyspark.sql import Window
-    w = Window.partitionBy("feature").orderBy(F.col("loss_chg").desc(), "pos", "dl")
-    return (c.withColumn("rk", F.row_number().over(w)).where("rk = 1")
-             .select("feature", "bin", "dl", F.round(F.col("loss_chg") / 1e6, 3).alias("loss_chg_m"),
-                     F.round("wl", 3).alias("wl"), F.round("wr", 3).alias("wr"), "CL", "CR"))
+    """The training loop's own search, one group per feature, before the features are compared."""
+    cells = _root_hist(spark, sf_dir, dirs).where("feature >= 0")
+    found = cells.groupBy("model", "node", "feature").applyInPandas(make_split_fn(1.0, 1.0), OUT_SCHEMA)
+    return found.select("feature", "bin", "dl", F.round(F.col("loss_chg") / 1e6, 3).alias("loss_chg_m"),
+                        F.round("wl", 3).alias("wl"), F.round("wr", 3).alias("wr"), "CL", "CR")
 
 
 @register("m7_best_split", _split_sql({}))

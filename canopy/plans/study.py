@@ -13,11 +13,13 @@ from __future__ import annotations
 import traceback
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from statistics import mean, median
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import explain, select
+from ..operators.boost.bins import feature_spec
 from ..operators.boost.fit import BatchResult, BoostParams, ModelSpec, Trainer
 from ..operators.boost.score import model_table
 
@@ -51,10 +53,30 @@ def config_models(group: str, depth: int, constraints: dict, masked: Sequence[st
 
 def cross_validate(df: DataFrame, key: str, target: str, features: list[str], depth: int,
                    params: BoostParams, constraints: dict | None = None,
-                   masked: Sequence[str] = (), mask_trees: int = 0) -> BatchResult:
-    """M2 (+ M1 for the final model, M19 when ``mask_trees`` > 0)."""
+                   masked: Sequence[str] = (), mask_trees: int = 0,
+                   train_transform: Callable[[DataFrame], DataFrame] | None = None, spec=None) -> BatchResult:
+    """M2 (+ M1 for the final model, M19 when ``mask_trees`` > 0).
+
+    ``train_transform`` (X1) is applied to the training rows of each fold
+    model and of the final model only.  A row then differs from model to model,
+    so the models train one after another instead of sharing passes; all use
+    the cut points of the table as given."""
     models = config_models("cv", depth, constraints or {}, masked, mask_trees)
-    return Trainer(df, key, "fold", target, features, models, params).run()
+    if train_transform is None:
+        return Trainer(df, key, "fold", target, features, models, params, spec=spec).run()
+    spec = spec or feature_spec(df, features, params.max_bins)
+    done = []
+    for m in models[:-1]:
+        seen = F.col("fold").isin(m.holdout, params.test_fold)
+        part = train_transform(df.where(~seen)).unionByName(df.where(F.col("fold") == m.holdout))
+        done += Trainer(part, key, "fold", target, features, [m], params, spec=spec).run().models
+    n_trees = int(median(m.best_trees for m in done))
+    final = fit_final(df, key, target, features, depth, n_trees, params, constraints, masked, mask_trees,
+                      train_transform=train_transform, spec=spec).models[0]
+    mapes = [m.mape_at(m.best_trees) for m in done]
+    info = {"cv_mapes": mapes, "cv_trees": [m.best_trees for m in done], "cv_mape": mean(mapes),
+            "n_trees": n_trees, "test_mape": final.mape_at(n_trees)}
+    return BatchResult(spec, params, [*done, final], {"cv": info})
 
 
 def fit_final(df: DataFrame, key: str, target: str, features: list[str], depth: int,

@@ -28,20 +28,6 @@ def test_histogram_bins_sum_to_node_totals(spark):
         assert sum(r["G"] for r in cells) == pytest.approx(tot["G"], rel=1e-9, abs=1e-6)
 
 
-def test_numpy_split_equals_sql_split(spark):
-    import pandas as pd
-    from canopy.operators.boost.node_split import make_split_fn
-    from canopy.operators.boost.split import best_splits
-    from canopy.plans.queries_boost import _root_hist, CONSTRAINTS, NUMERIC
-    h = _root_hist(spark, SF_SMALL, CONSTRAINTS)
-    sql = best_splits(h).first()
-    pdf = h.toPandas()
-    got = make_split_fn(1.0, 1.0)(pdf)
-    assert int(got["feature"].iat[0]) == sql["feature"] and int(got["bin"].iat[0]) == sql["bin"]
-    assert bool(got["dl"].iat[0]) == sql["dl"]
-    assert got["loss_chg"].iat[0] == pytest.approx(sql["loss_chg"], rel=1e-9)
-
-
 @pytest.fixture(scope="module")
 def small_model(spark):
     df = _charge(spark, SF_SMALL)
