@@ -54,6 +54,13 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def in_report_order(results: DataFrame, datasets: Sequence[str]) -> DataFrame:
+    """Rows by the datasets' place in the config, then by approach (report order)."""
+    def place(c, names):
+        return F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col(c))
+    return results.orderBy(place("dataset", datasets), place("approach", APPROACHES), "run_ix")
+
+
 def deltas(results: DataFrame, reference: str = "baseline") -> DataFrame:
     """Chosen test error of each approach against the reference approach,
     absolute and in percent, with '%+.1f%%' text."""

@@ -22,6 +22,8 @@ from ..operators import explain, select
 from ..operators.boost.bins import feature_spec
 from ..operators.boost.fit import BatchResult, BoostParams, ModelSpec, Trainer
 from ..operators.boost.score import model_table
+from ..sources.sinks import write_importances, write_results
+from ..sources.text import read_results
 
 # ---- Fixed values (must equal the reference's) ------------------------------
 SEED = 42
@@ -215,10 +217,16 @@ def diagnostics(spark: SparkSession, df_test: DataFrame, key: str, study: StudyR
 
 
 def run_all(spark: SparkSession, config: DataFrame, load: Callable[[str], tuple[DataFrame, str]],
-            max_depths: Sequence[int] | None = None, params_for: Callable | None = None):
+            max_depths: Sequence[int] | None = None, params_for: Callable | None = None,
+            out_path: str | None = None):
     """Every configured dataset in config order; a failure is recorded,
     not raised.  Returns (status rows, summary of chosen rows).
 
+    With ``out_path`` each dataset's result rows are written below
+    ``out_path/results`` (K2) and its importances below ``out_path/importance``
+    (K3) as soon as it is done; the summary is then made of the rows read back, in config
+    and report order, and written to ``out_path/summary`` (K4).
+
     ``config`` columns: dataset, target, monotonic (map feature -> direction),
     objective, lr.  ``load(dataset)`` gives (prepared DataFrame, key column).
     """
@@ -231,11 +239,21 @@ def run_all(spark: SparkSession, config: DataFrame, load: Callable[[str], tuple[
                  BoostParams(objective=c["objective"], learning_rate=c["lr"]))
             st = run_grid_search(df, key, c["target"], name, dict(c["monotonic"] or {}),
                                  max_depths, p)
-            chosen.append(select.chosen(st.results))
+            if out_path:
+                write_results(st.results, f"{out_path}/results")
+                write_importances(select.pivot_importance(importance_table(spark, st)), f"{out_path}/importance/{name}")
+            else:
+                chosen.append(select.chosen(st.results))
             status.append((name, "ok", None))
         except Exception as e:  # noqa: BLE001 - isolate one dataset's failure
             status.append((name, "failed", f"{type(e).__name__}: {e}"[:500]))
             traceback.print_exc()
     st_df = spark.createDataFrame(status, "dataset string, status string, error string")
+    done = [name for name, state, _ in status if state == "ok"]
+    if out_path and done:
+        summary = select.in_report_order(select.chosen(read_results(spark, f"{out_path}/results", done)), done)
+        # a few rows per dataset, in order, as one file
+        summary.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/summary")
+        return st_df, spark.read.parquet(f"{out_path}/summary")
     summary = select.union_all(chosen) if chosen else spark.createDataFrame([], select.RESULT_SCHEMA)
-    return st_df, summary
+    return st_df, select.in_report_order(summary, done)

@@ -18,3 +18,55 @@ def test_importance_is_sorted_within_a_model(spark):
         "model string, feature string, is_leaf boolean, gain double")
     got = [(r["model"], r["feature"], r["pct"]) for r in gain_importance(table, ["a", "b", "c"]).collect()]
     assert got == [("k", "c", 100.0), ("k", "a", 0.0), ("k", "b", 0.0), ("m", "a", 75.0), ("m", "b", 25.0), ("m", "c", 0.0)]
+
+
+def _rows(spark, n=240):
+    return spark.range(n).selectExpr("id as key", "cast(id % 6 + 1 as int) as fold", "cast(id % 7 as double) as x",
+                                     "cast(10 + id % 7 + (id * 37 % 11) / 10.0 as double) as y")
+
+
+def test_run_all_writes_results_and_a_summary_in_config_order(spark, tmp_path):
+    from canopy.operators.boost.fit import BoostParams
+    from canopy.plans.study import run_all
+    cfg = spark.createDataFrame(
+        [("zeta", "y", {"x": 1}, "reg:squarederror", 0.3), ("bad", "y", {}, "no:such", 0.1),
+         ("alpha", "y", {"x": 1}, "reg:squarederror", 0.3)],
+        "dataset string, target string, monotonic map<string,int>, objective string, lr double").coalesce(1)
+    status, summary = run_all(
+        spark, cfg, lambda name: (_rows(spark), "key"), [1],
+        lambda c: BoostParams(objective=c["objective"], learning_rate=c["lr"], max_trees=2, early_stopping_rounds=1),
+        out_path=str(tmp_path))
+    assert [r["status"] for r in status.collect()] == ["ok", "failed", "ok"]
+    got = [(r["dataset"], r["approach"]) for r in spark.read.parquet(f"{tmp_path}/summary").collect()]
+    assert got == [(d, a) for d in ("zeta", "alpha") for a in ("baseline", "monotonic", "progressive")]
+    assert summary.count() == 6 and (tmp_path / "importance" / "zeta").is_dir()
+
+
+def test_cross_validation_hook_sees_training_rows_only(spark):
+    from pyspark.sql import functions as F
+
+    from canopy.operators.boost.fit import BoostParams
+    from canopy.plans.study import cross_validate
+    p = BoostParams(objective="reg:squarederror", learning_rate=0.5, max_trees=2, subsample=1.0, colsample_bytree=1.0)
+    rows = _rows(spark)
+    plain = cross_validate(rows, "key", "y", ["x"], 1, p).groups["cv"]
+    same = cross_validate(rows, "key", "y", ["x"], 1, p, train_transform=lambda d: d).groups["cv"]
+    assert same["cv_trees"] == plain["cv_trees"] and abs(same["cv_mape"] - plain["cv_mape"]) < 1e-9
+    assert abs(same["test_mape"] - plain["test_mape"]) < 1e-9
+    seen = []
+    def shifted(d):
+        seen.append({r[0] for r in d.select("fold").distinct().collect()})
+        return d.withColumn("y", F.col("y") + 100.0)
+    worse = cross_validate(rows, "key", "y", ["x"], 1, p, train_transform=shifted).groups["cv"]
+    assert worse["cv_mape"] > 1.0
+    assert [sorted(s) for s in seen] == [sorted({1, 2, 3, 4, 5} - {k}) for k in range(1, 6)] + [[1, 2, 3, 4, 5]]
+
+
+def test_processed_table_with_test_label_loads(spark, tmp_path):
+    from canopy.functions.scalar import fold_label
+    from canopy.sources.sinks import write_processed
+    from canopy.sources.text import read_processed
+    write_processed(_rows(spark).withColumn("fold", fold_label("fold", 6)), str(tmp_path / "p"))
+    got = read_processed(spark, str(tmp_path / "p"))
+    assert sorted(r[0] for r in got.select("fold").distinct().collect()) == [1, 2, 3, 4, 5, 6]
+    assert got.count() == 240
