@@ -1,6 +1,6 @@
 """Registered queries: boosting pieces (M3-M8, M10, M14 with DuckDB SQL) and
 the iterative study (M1, M2, M18-M26, W1, W2, W5, U1, U2, P9, P10, J7 -
-rows-only checks; their invariants are in tests/).
+rows-only checks; queries_stumps.py and queries_select.py have SQL for the same operators).
 
 Routine settings keep the trees few and shallow so a correctness run stays
 short; every query still reads the whole table.
@@ -297,10 +297,10 @@ def q_m24(spark, sf_dir):
     return _curves(spark, sf_dir, "monotonic")[1]
 
 
-@register("m24_monotonicity_check", "select 'mono' as model, true as monotone union all select 'free', false")
+@register("m24_monotonicity_check")
 def q_m24c(spark, sf_dir):
-    """On noise a free model has ICE steps against the direction of quantity, a constrained one has none.
-    (The SQL side states that expectation; it can't grow the trees.)"""
+    """On noise a free model has ICE steps against the direction of quantity, a constrained one has none
+    (tests/test_boost.py asserts both)."""
     df = assign_folds(tables.noise_rows(spark, sf_dir), "row_key", 6, 42, stratify_col="target")
     feats = ["discount", "tax", "quantity", "returnflag", "linestatus"]
     p = BoostParams(objective="reg:squarederror", learning_rate=0.3, subsample=1.0, colsample_bytree=1.0)
