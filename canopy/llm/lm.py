@@ -7,10 +7,9 @@
    The number of buckets follows the traffic.
 3. The model (``gru``): the ``VOCABULARY`` most frequent words are symbols, the others are classes by
    shape, in which a word has its smoothed corpus count's share.  Class and word biases start from
-   whole-corpus counts.  Recurrent weights are fitted on a bounded sample (``SAMPLE_DOCS``
-   training documents by hash, up to ``SAMPLE_WORDS`` words, whole texts), then every task goes on
-   over its blocks' training documents (one document in ``SHARE``, by hash), and the tasks'
-   weights are averaged by tokens.
+   whole-corpus counts.  Recurrent weights start from one block's training documents (whole texts, up to
+   ``START_WORDS`` words, fitted in a task), then every task learns from all training documents of all
+   its blocks, and the tasks' weights are averaged by tokens.
 4. Each block is scored with its counts; a document's state is carried over all its windows.
 """
 
@@ -28,8 +27,7 @@ from . import text as tx
 from .store import partitions, stored
 
 VOCABULARY, CLASSES, SHAPES = 1536, 24, 32
-SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_PASSES = 1000, 400_000, 2
-SHARE = 8
+START_WORDS, START_PASSES = 400_000, 2
 BLOCK = 5 << 20
 #: Texts handed to a task at once.
 BATCH_ROWS = 1600
@@ -189,7 +187,36 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
-def _train_blocks(model: Model, share: int, rate: float):
+def _training_symbols(model: Model, row: dict, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and offsets of a block's training documents; with ``limit`` the first of them, whole,
+    until they have that many words."""
+    first, index = np.frombuffer(row["first"], np.int64), np.frombuffer(row["index"], np.uint32)
+    use = np.flatnonzero(~np.array(row["held"], dtype=bool))
+    if limit is not None:
+        sizes = np.diff(first)[use]
+        use = use[np.cumsum(sizes) - sizes < limit]
+    by_word = model.symbols(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["shapes"], np.uint8))
+    part = [by_word[index[first[d]:first[d + 1]]] for d in use]
+    return model.with_ends(np.concatenate([np.zeros(0, np.int64), *part]),
+                           np.concatenate([[0], np.cumsum(np.diff(first)[use])]).astype(np.int64))
+
+
+def _fit_start(model: Model):
+    """The start weights, from the one block that is given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                weights, opt = {k: v.copy() for k, v in model.weights.items()}, None
+                symbols, off = _training_symbols(model, row, START_WORDS)
+                for k in range(START_PASSES):
+                    opt = gru.train(weights, model.layout, symbols, off, 0.006 / (1 + 2 * k), lanes=128, opt=opt)
+                yield pa.RecordBatch.from_arrays([pa.array([_flat(weights).tobytes()], pa.binary())], ["weights"])
+
+    return run
+
+
+def _train_blocks(model: Model, rate: float):
     """One row per task: its tokens and its weights times its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,16 +224,7 @@ def _train_blocks(model: Model, share: int, rate: float):
         opt, seen = None, 0
         for batch in batches:
             for row in _rows(batch):
-                first = np.frombuffer(row["first"], np.int64)
-                ids = np.array([i or 0 for i in row["ids"]], np.int64).view(np.uint64)
-                use = np.flatnonzero(~np.array(row["held"], dtype=bool) & (tx.mix(ids) % np.uint64(share) == 0))
-                by_word = model.symbols(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["shapes"], np.uint8))
-                index = np.frombuffer(row["index"], np.uint32)
-                if not len(use):
-                    continue
-                part = np.concatenate([by_word[index[first[d]:first[d + 1]]] for d in use])
-                sizes = (first[1:] - first[:-1])[use]
-                symbols, off = model.with_ends(part, np.concatenate([[0], np.cumsum(sizes)]))
+                symbols, off = _training_symbols(model, row)
                 opt = gru.train(weights, model.layout, symbols, off, rate, opt=opt)
                 seen += len(symbols)
         if seen:
@@ -262,7 +280,7 @@ def _score_blocks(model: Model, types: int, train_tokens: int):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
     (log10 probabilities of the whole text).
 
@@ -297,31 +315,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = totals.select(F.inline("top")).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     model = Model([(r["word"], r["n"], r["shape"]) for r in top], shape_tokens, shape_types, documents)
 
-    sample = base.where("not held and text is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).select(
-        "text").toArrow()
-    parts_s, sizes, words = [], [], 0
-    for batch in sample.to_batches():
-        for piece in tx.slices(batch, "text", 1 << 20):
-            h, shape, first = tokenise(*tx.buffers(piece.column("text")))
-            if words < SAMPLE_WORDS:
-                parts_s.append(model.symbols(h, shape))
-                sizes += np.diff(first).tolist()
-                words += len(h)
-    if sizes:
-        symbols, off = model.with_ends(np.concatenate(parts_s), np.concatenate([[0], np.cumsum(sizes)]))
-        opt = None
-        for k in range(SAMPLE_PASSES):
-            opt = gru.train(model.weights, model.layout, symbols, off, 0.006 / (1 + 2 * k), lanes=128, opt=opt)
-        opt = None
     if documents:
-        learned = (blocks.select("ids", "held", "first", "index", "words", "shapes")
-                   .mapInArrow(_train_blocks(model, share, 0.001), "tokens long, weights binary")
+        texts = blocks.select("block", "held", "first", "index", "words", "shapes")
+        start = blocks.where(F.exists("held", lambda x: ~x)).agg(F.min_by("block", F.xxhash64("block"))).first()[0]
+        model.weights = _shaped(np.frombuffer(texts.where(F.col("block") == start).drop("block").mapInArrow(
+            _fit_start(model), "weights binary").first()[0], np.float32), model.weights)
+        learned = (texts.drop("block").mapInArrow(_train_blocks(model, 0.001), "tokens long, weights binary")
                    .repartition(max(4, int(partitions(spark) ** 0.5)))
                    .mapInArrow(_add_weights, "tokens long, weights binary").collect())
         seen = sum(r["tokens"] for r in learned)
-        if seen:
-            flat = sum(np.frombuffer(r["weights"], np.float64) for r in learned) / seen
-            model.weights = _shaped(flat, model.weights)
+        if seen != train_tokens:
+            raise RuntimeError(f"learned from {seen} tokens of {train_tokens}")
+        model.weights = _shaped(sum(np.frombuffer(r["weights"], np.float64) for r in learned) / seen, model.weights)
     reply = answers.where("block is not null").groupBy("block").agg(
         F.collect_list(F.struct("bucket", "counts")).alias("answers"))
     full = blocks.drop("counts", "distinct").join(reply, "block", "left").withColumn(

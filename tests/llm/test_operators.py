@@ -249,6 +249,29 @@ def test_lm_counts_and_held_out_gain(spark):
     assert lm.score_documents(df.limit(0)).count() == 0
 
 
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    """Every token of every training row reaches the recurrent model, and no text the driver."""
+    df, collected = documents(spark), []
+    whole = type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: collected.append(self.columns) or whole(self))
+    learnt, trained = [], lm._train_blocks
+
+    def counted(*args):
+        run, into = trained(*args), spark.sparkContext.accumulator(0)
+        learnt.append(into)
+
+        def each(batches):
+            for out in run(batches):
+                into.add(sum(out.column("tokens").to_pylist()))
+                yield out
+        return each
+
+    monkeypatch.setattr(lm, "_train_blocks", counted)
+    out = lm.score_documents(df).first()
+    assert [a.value for a in learnt] == [out.train_tokens]
+    assert not collected
+
+
 def test_gru_gradient_and_carried_state():
     layout = gru.Layout(np.array([50, 30, 20, 10, 5, 5, 9]), 3, 2)
     p = {k: v.astype(np.float64) for k, v in gru.initial(layout).items()}
