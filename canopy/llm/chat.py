@@ -63,16 +63,27 @@ CONTROL = r"([<\[])(\\*)(\|[a-z_]{1,32}\|>|/?s>|</?SYS>>|/?INST\])"
 ESCAPED = r"([<\[])\\(\\*)(\|[a-z_]{1,32}\|>|/?s>|</?SYS>>|/?INST\])"
 
 
+#: Spark's JSON functions give null for a string above this many characters; ``from_json`` alone can be told another limit.
+JSON_STRING = 20_000_000
+_ANY_LENGTH = {"maxStringLen": "2147483647"}
+
+
 def field_paths(record: Column) -> Column:
     """Sorted known field paths of a JSON object; empty for what is none."""
     known = sorted({p for m in MAPPINGS for p in m.paths})
     lists = sorted({m.list_of[0] for m in MAPPINGS if m.list_of})
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    inner = [F.transform(F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{n}[0]")), F.array().cast("array<string>")),
-                         _prefixed(n)) for n in lists]
+    inner = [F.transform(F.coalesce(_names_in_first(record, n), F.array().cast("array<string>")), _prefixed(n)) for n in lists]
     return F.array_sort(F.array_intersect(F.concat(top, *inner), F.array(*[F.lit(p) for p in known])))
 
 
+def _names_in_first(record: Column, name: str) -> Column:
+    """Names within the first element of a list, also where its texts are above ``JSON_STRING``."""
+    found = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
+    long = F.from_json(record, f"struct<`{name}`: array<map<string,string>>>", _ANY_LENGTH)[name]
+    return F.coalesce(found, F.when(F.length(record) > JSON_STRING, F.map_keys(F.get(long, F.lit(0)))))
+
+
 def _prefixed(name: str):
     return lambda k: F.concat(F.lit(name + "[]."), k)
 
@@ -86,7 +97,7 @@ def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame
     (array<struct<role, text>>, empty if none fits).
 
     Null texts within records are empty texts; null roles are empty roles; a null or broken record has no
-    turns.  Repeated rows are as any; an empty table gives no rows; input columns of these three names
+    turns.  Texts are read whole at any length that a string can have.  Repeated rows are as any; an empty table gives no rows; input columns of these three names
     are replaced."""
     lists = sorted({m.list_of for m in MAPPINGS if m.list_of})
     plain = sorted({f for m in MAPPINGS for _, names in m.fields for f in names} | {"system"})
@@ -97,7 +108,8 @@ def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame
     for m in MAPPINGS:
         layout = F.when(F.col("schema_fingerprint") == F.xxhash64(seen(F.array(*[F.lit(p) for p in m.paths]), "\n")),
                         m.name).otherwise(layout)
-    out = out.withColumn("layout", layout).withColumn("turns", F.from_json(F.col(record_col), f"struct<{schema}>"))
+    out = out.withColumn("layout", layout).withColumn("turns", F.from_json(
+        F.col(record_col), f"struct<{schema}>", _ANY_LENGTH))
     none = F.array().cast("array<struct<role:string,text:string>>")
     role = lambda c: let(F.coalesce(c, F.lit("")), lambda r: F.coalesce(
         F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), r), r))

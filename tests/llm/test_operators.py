@@ -517,6 +517,21 @@ def test_chat_query_on_awkward_rows(spark, tmp_path):
     assert out[-1].loss_sha256 == sha("</s>[INST] ok [/INST]") and out[-1].n_turns == 2
 
 
+def test_chat_texts_above_the_json_string_limit(spark):
+    """Texts above 20 million characters stay, in the pair layout and in messages (also as the first)."""
+    turns = [(1, 0, "user", True), (1, 1, "assistant", False), (2, 0, "system", False), (2, 1, "user", True),
+             (2, 2, "assistant", False), (3, 0, "system", True), (3, 1, "user", False)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, long boolean").selectExpr(
+        "conv_id", "turn", "role", "if(long, repeat('ab ', 7000001), 'yes') as text")
+    out = chat.canonical_turns(chat.records_of(rows)).select("conv_id", "layout", F.transform(
+        "turns", lambda t: F.struct(t["role"], F.length(t["text"]), F.md5(t["text"]))).alias("told"))
+    said = {True: "ab " * 7_000_001, False: "yes"}
+    for r in out.collect():
+        assert r.layout == ("prompt_completion" if r.conv_id == 1 else "messages")
+        assert [tuple(t) for t in r.told] == [
+            (role, len(said[long]), hashlib.md5(said[long].encode()).hexdigest()) for i, _, role, long in turns if i == r.conv_id]
+
+
 # ---- 10 n-gram join -------------------------------------------------------------------------
 
 def shingles(t):
