@@ -364,8 +364,8 @@ def q_m22(spark, sf_dir):
         "dataset string, target string, monotonic map<string,int>, objective string, lr double")
     status, summary = study.run_all(
         spark, cfg, load, [1], out_path=scratch_path(spark, "study"), params_for=
-        lambda c: BoostParams(objective=c["objective"], learning_rate=c["lr"], max_trees=3,
-                              early_stopping_rounds=1))
+        lambda c: BoostParams(objective=c["objective"], learning_rate=c["lr"], max_trees=10,
+                              early_stopping_rounds=10), phase1_pcts=[0.5, 0.6, 0.7, 0.8])
     return summary.join(status, "dataset", "full_outer")
 
 

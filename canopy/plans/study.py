@@ -218,7 +218,7 @@ def diagnostics(spark: SparkSession, df_test: DataFrame, key: str, study: StudyR
 
 def run_all(spark: SparkSession, config: DataFrame, load: Callable[[str], tuple[DataFrame, str]],
             max_depths: Sequence[int] | None = None, params_for: Callable | None = None,
-            out_path: str | None = None):
+            out_path: str | None = None, phase1_pcts: Sequence[float] = PHASE1_PERCENTAGES):
     """Every configured dataset in config order; a failure is recorded,
     not raised.  Returns (status rows, summary of chosen rows).
 
@@ -238,7 +238,7 @@ def run_all(spark: SparkSession, config: DataFrame, load: Callable[[str], tuple[
             p = (params_for(c) if params_for else
                  BoostParams(objective=c["objective"], learning_rate=c["lr"]))
             st = run_grid_search(df, key, c["target"], name, dict(c["monotonic"] or {}),
-                                 max_depths, p)
+                                 max_depths, p, phase1_pcts=phase1_pcts)
             if out_path:
                 write_results(st.results, f"{out_path}/results")
                 write_importances(select.pivot_importance(importance_table(spark, st)), f"{out_path}/importance/{name}")

@@ -70,3 +70,20 @@ def test_processed_table_with_test_label_loads(spark, tmp_path):
     got = read_processed(spark, str(tmp_path / "p"))
     assert sorted(r[0] for r in got.select("fold").distinct().collect()) == [1, 2, 3, 4, 5, 6]
     assert got.count() == 240
+
+
+def test_run_all_query_trains_past_its_warm_up(spark, monkeypatch):
+    """m22: several warm-up sizes, each with trees left that may use the constrained features."""
+    from canopy.plans import queries_boost, study
+
+    sizes = []
+
+    def asked(df, key, target, dataset, constraints, max_depths, params, phase1_pcts=study.PHASE1_PERCENTAGES):
+        sizes.append((params.max_trees, [study.phase1_trees(params.max_trees, p) for p in phase1_pcts]))
+        raise ValueError("asked is enough")
+
+    monkeypatch.setattr(study, "run_grid_search", asked)
+    queries_boost.q_m22(spark, "/root/testdata/sf0.001").collect()
+    assert len(sizes) == 3
+    for trees, warm in sizes:
+        assert len(set(warm)) > 1 and max(warm) < trees
