@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, mixing, ngram_join, packing, pages, pii, quality, spotsigs, token_counts
+from . import (alignment, chat, lm, mixing, ngram_join, packing, pages, pii, quality, simhash, spotsigs, token_counts,
+               whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +82,18 @@ def op10_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op11_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_read(spark, sf_dir, "documents"))
+
+
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +102,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_best_fit_packing, op2_pii_boosting, op3_line_frequency, op4_gated_lm, op5_trie_token_counts, op6_curriculum_mix,
-    op7_spot_signatures, op8_text_blocks, op9_chat_schema, op10_signature_tree_join, pipeline)}
+    op7_spot_signatures, op8_text_blocks, op9_chat_schema, op10_signature_tree_join, op11_ball_hashing, op12_lanczos_whitening,
+    op13_tokenizer_alignment, pipeline)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
