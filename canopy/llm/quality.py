@@ -2,10 +2,10 @@
 
 Lines are normalised (A-Z lower-cased, digits as 0, white space as one blank, trimmed) and hashed.
 Per host the distinct documents (by content: copies of a text are one document) with a line are
-counted.  Lines in more than ``max_documents`` documents of a host are removed everywhere but in
-the host's document with the smallest id that has them, so that repeated content stays once.  A
-document that keeps less than ``min_left_percent`` of its words, or fewer than ``MIN_WORDS``, is
-depleted and rejected, and so is one that fails the base rules.
+counted.  Lines in more than ``MIN_DOCUMENTS`` documents of a host and in more than ``max_percent``
+percent of its distinct documents with words are removed from all of them, so a line's fate does not
+depend on the table's size.  A document that keeps less than ``min_left_percent`` of its words, or fewer
+than ``MIN_WORDS``, is depleted and rejected, and so is one that fails the base rules.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from . import text as tx
 from .store import stored
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-MAX_DOCUMENTS, MIN_LEFT_PERCENT = 100, 25
+MIN_DOCUMENTS, MAX_PERCENT, MIN_LEFT_PERCENT = 5, 2, 50
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -100,30 +100,31 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                  pa.ListArray.from_arrays(pa.array(ends), lines)], schema=_SCHEMA)
 
 
-def line_frequency(docs: DataFrame, host_col: str = "source", max_documents: int = MAX_DOCUMENTS,
-                   min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
+def line_frequency(docs: DataFrame, host_col: str = "source", min_documents: int = MIN_DOCUMENTS,
+                   max_percent: int = MAX_PERCENT, min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, host, key (hash of the text), the base measures, base_failed,
     words_removed, removed (hashes of the lines to remove, null if none), kept.
 
     A null text has no words (and fails); a null host is a host of its own; rows with a null id
-    count and are judged, and are the last to keep a repeated line; repeated rows are each returned,
-    and share their verdict.  An empty table gives no rows; other columns are not read.
+    count and are judged; repeated rows are each returned, and share their verdict.  An empty table
+    gives no rows; other columns are not read.
 
-    Lines are counted per (host, line, text), summed map-side; the second join meets only lines above
-    the limit, and AQE can split its hot keys."""
+    Lines are counted per (host, line, text), and a host's texts once, both summed map-side.  Only lines in
+    more than ``min_documents`` documents meet their host's count, and only lines above the limit meet
+    the rows again; AQE can split both joins' hot keys."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host_col).alias("host"),
                        F.xxhash64("text").alias("key"), F.col("text").alias("text"))
     told = base.mapInArrow(_measure_batches, "doc_id long, host string, key long, " + STATS +
                            ", lines array<struct<line:long,words:long>>")
     told = stored(told.withColumn("row", F.monotonically_increasing_id()), "lines")
     host = F.coalesce(F.concat(F.lit("h"), "host"), F.lit("")).alias("host")
-    lines = told.select("row", "doc_id", host, "key", F.explode("lines").alias("l")).select(
-        "row", "doc_id", "host", "key", "l.line", "l.words")
-    frequent = (lines.groupBy("host", "line", "key").agg(F.min("doc_id").alias("doc_id"))
-                .groupBy("host", "line").agg(F.count("*").alias("documents"), F.min("doc_id").alias("keeper"))
-                .where(F.col("documents") > max_documents).select("host", "line", "keeper"))
-    gone = (lines.join(frequent, ["host", "line"]).where("not (doc_id <=> keeper)")
-            .groupBy("row").agg(F.sum("words").alias("words_removed"), F.collect_list("line").alias("removed")))
+    lines = told.select("row", host, "key", F.explode("lines").alias("l")).select("row", "host", "key", "l.line", "l.words")
+    often = (lines.select("host", "line", "key").distinct().groupBy("host", "line").agg(F.count("*").alias("documents"))
+             .where(F.col("documents") > min_documents))
+    texts = told.where("n_words > 0").select(host, "key").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    frequent = often.join(texts, "host").where(100 * F.col("documents") > max_percent * F.col("texts")).select("host", "line")
+    gone = lines.join(frequent, ["host", "line"]).groupBy("row").agg(
+        F.sum("words").alias("words_removed"), F.collect_list("line").alias("removed"))
     left = F.col("n_words") - F.col("words_removed")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (told.drop("lines").join(gone, "row", "left").drop("row")

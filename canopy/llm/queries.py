@@ -121,10 +121,11 @@ lines AS (SELECT r, doc_id, source, t, line, regexp_extract_all(line, '{_WORD}')
 real AS (SELECT *, regexp_replace(translate(array_to_string(ws, ' '), '{_UPPER}', '{_LOWER}'), '[0-9]', '0', 'g') AS norm
          FROM lines WHERE len(ws) > 0),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM real GROUP BY r),
-often AS (SELECT source, norm, min(doc_id) AS keeper FROM real GROUP BY source, norm
-          HAVING count(DISTINCT t) > {quality.MAX_DOCUMENTS}),
+hosts AS (SELECT source, count(DISTINCT t) AS texts FROM real GROUP BY source),
+often AS (SELECT real.source, norm FROM real JOIN hosts ON real.source IS NOT DISTINCT FROM hosts.source GROUP BY real.source, norm
+          HAVING count(DISTINCT t) > {quality.MIN_DOCUMENTS} AND 100 * count(DISTINCT t) > {quality.MAX_PERCENT} * any_value(texts)),
 gone AS (SELECT r, sum(len(ws)) AS n FROM real JOIN often ON real.source IS NOT DISTINCT FROM often.source AND real.norm = often.norm
-         WHERE doc_id IS DISTINCT FROM keeper GROUP BY r),
+         GROUP BY r),
 m AS (SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS words_removed

@@ -265,6 +265,19 @@ def test_alignment_of_the_whole_table(spark, sides):
     assert len(whole) == len(rows) and sum(r.n_links for r in whole) > sum(r.n_a for r in whole)
 
 
+def test_ids_are_the_tokenizers_librarys(spark, sides):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(alignment.TOKENIZER_A)
+    t.encode_special_tokens = True
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text").collect()]
+    texts += [x for x in AWKWARD if x] + ["a" + " " * 150_000 + "b", "\n" * 99_999 + " x", " \u3000\x85\u2028 z"]
+    odd = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(f"a{c}1 {c} {c}{c}b'{c}s\n{c}" for c in odd[i:i + 64]) for i in range(0, len(odd), 64)]
+    want = [e.ids for e in t.encode_batch([" " + x for x in texts], add_special_tokens=False)]
+    assert sides[0].encode(texts) == want
+
+
 def test_links_along_a_staircase():
     # One slice of 3 and 4 tokens without an inner common end, between two plain slices.
     end_a, end_b = np.array([2, 5, 9, 12, 15]), np.array([2, 4, 6, 10, 12, 15])

@@ -199,33 +199,44 @@ def test_quality_against_brute_force(spark):
     rows = doc_rows([f"{PROSE} {i}\n{junk}" for i in range(6)]) + doc_rows([f"{junk}tiny {i} a b c d e f g\n{junk}" for i in range(5)], 100)
     rows += doc_rows([f"{PROSE} other {i}\nBuy  NOW at shop 77" for i in range(2)], 200, "s1") + doc_rows(AWKWARD, 300, None)
     rows += [(None, f"{PROSE}\n{junk}", None, "s0", 1), rows[0], rows[0]]
-    limit = 4
+    floor, percent = 4, 60
     norm = lambda line: re.sub("[0-9]", "0", " ".join(words_of(line)).translate({c: c + 32 for c in range(65, 91)}))
-    holders = {}
+    holders, texts_of = {}, {}
     for i, t, _, s, _ in rows:
         for line in (t or "").split("\n"):
             if words_of(line):
-                holders.setdefault((s, norm(line)), []).append((t, i))
-    often = {k: min((i for _, i in v if i is not None), default=None) for k, v in holders.items() if len({t for t, _ in v}) > limit}
+                holders.setdefault((s, norm(line)), set()).add(t)
+                texts_of.setdefault(s, set()).add(t)
+    often = {k for k, v in holders.items() if len(v) > floor and 100 * len(v) > percent * len(texts_of[k[0]])}
     want = []
     for i, t, _, s, _ in rows:
         n, c, sym, dup, rep = base_measures(t)
-        gone = sum(len(words_of(x)) for x in (t or "").split("\n") if words_of(x) and (s, norm(x)) in often and i != often[s, norm(x)])
+        gone = sum(len(words_of(x)) for x in (t or "").split("\n") if words_of(x) and (s, norm(x)) in often)
         failed = n < 10 or 100 * rep > 20 * n
         want.append((i, n, c, sym, dup, rep, failed, not failed and n - gone >= 10 and 100 * (n - gone) >= quality.MIN_LEFT_PERCENT * n, gone))
     df = spark.createDataFrame(rows, DOCS).withColumn("key", F.lit(1)).withColumn("lines", F.lit("x"))
-    got = quality.line_frequency(df, max_documents=limit).select(
+    got = quality.line_frequency(df, min_documents=floor, max_percent=percent).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_removed").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert any(x[-1] for x in want) and any(not x[6] and not x[7] for x in want)
-    cleaned = quality.clean_documents(df, max_documents=limit)
+    cleaned = quality.clean_documents(df, min_documents=floor, max_percent=percent)
     assert cleaned.columns == df.columns
     texts = [r.text for r in cleaned.collect()]
-    assert sum(junk.strip() in t for t in texts) == 3  # the keeper (three equal rows)
+    assert not any(junk.strip() in t for t in texts)
     assert any("shop 77" in t for t in texts)
+    # The same share of more documents: above the floor, below a higher percentage.
+    assert not any(r.words_removed for r in quality.line_frequency(df, min_documents=floor, max_percent=99).collect())
+    assert not any(r.words_removed for r in quality.line_frequency(df, min_documents=100, max_percent=1).collect())
     assert quality.line_frequency(df.limit(0)).count() == 0
 
 
+def test_lines_are_removed_at_the_sizes_of_the_correctness_check(spark):
+    rows = queries.op3_line_frequency(spark, "/root/testdata/sf0.01").collect()
+    removed = [r for r in rows if r.words_removed]
+    assert removed and all(r.words_removed < r.n_words for r in removed if r.kept)
+    assert sum(r.kept for r in removed) > 0.9 * sum(not r.base_failed for r in removed)
+
+
 # ---- 4 language model -----------------------------------------------------------------------
 
 def test_lm_counts_and_held_out_gain(spark):
@@ -601,9 +612,15 @@ def test_pipeline_stages(spark):
 
     docs = documents(spark)
     texts = {r.doc_id: r.text for r in docs.collect()}
+    mid = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {r.doc_id: r.text for r in mid.collect()}
+    after = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, mid, SF_SMALL).collect()}
+    passing = {i for i, t in before.items() if (m := base_measures(t))[0] >= 10 and 100 * m[4] <= 20 * m[0]}
+    changed = [i for i, t in after.items() if t != before[i]]
+    assert set(after) <= passing and len(passing) - len(after) < 0.02 * len(passing)
+    assert changed and all(set(after[i].split("\n")) < set(before[i].split("\n")) for i in changed)
     quality_ok = corpus_pipeline.quality_rules(spark, docs, SF_SMALL)
-    kept = {r.doc_id for r in quality_ok.collect()}
-    assert kept == {i for i, t in texts.items() if (m := base_measures(t))[0] >= 10 and 100 * m[4] <= 20 * m[0]}
+    assert {r.doc_id for r in quality_ok.collect()} <= set(texts)
     near = corpus_pipeline.near_duplicates(spark, quality_ok, SF_SMALL)
     groups = components([(r.doc_id, r.text) for r in quality_ok.collect()])
     ids = {r.doc_id for r in near.collect()}
