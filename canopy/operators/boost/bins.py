@@ -1,16 +1,9 @@
-"""Feature binning (M3) and the cached training state.
-
-Numeric features get up to ``max_bins`` quantile bins from one aggregate over
-all rows (``percentile_approx``; ``exact=True`` for exact interpolated
-percentiles).  A value's bin is the number of cut points <= value, so
-``bin <= b`` is the same test as ``value < cut[b]``.  String features get a
-dictionary code (sorted distinct values, test rows included).  Missing values
-get bin -1.
-
-The state table holds, per row: a key hash (for repeatable subsampling), the
-fold, the label, the bin of every feature and one margin column per model
-trained together.  It is hash-partitioned on the key hash and checkpointed
-to the session's checkpoint folder, so executor loss never replays the scan.
+"""Feature binning (M3).
+
+Numeric features get up to ``max_bins`` quantile bins from exact interpolated percentiles over all
+rows.  A value's bin is the number of cut points <= value, so ``bin <= b`` is the same test
+as ``value < cut[b]``.  String features get a dictionary code (sorted distinct values, test rows
+included).  Missing values get bin -1.
 """
 
 from __future__ import annotations
@@ -24,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, FloatType, NumericType
 
 from ...functions.scalar import col
-from ...session import checkpoint_dir
-from ..folds import percentiles
+from ..folds import percentiles_by
 
 MAX_CATEGORIES = 100_000
 
@@ -79,75 +71,36 @@ def with_missing(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def feature_spec(df: DataFrame, features: list[str], max_bins: int = 256,
-                 exact: bool = False) -> FeatureSpec:
+def feature_spec(df: DataFrame, features: list[str], max_bins: int = 256) -> FeatureSpec:
     """Cut points for numeric features and dictionaries for string ones.
 
-    One aggregate job for all numeric features; one small distinct job per
-    string feature (its cardinality is checked against MAX_CATEGORIES).
-    Default: the ``percentile_approx`` sketch (its cut points can move
-    slightly with the input partitioning), at every size.  ``exact=True``:
-    exact interpolated percentiles, the same for any partitioning.
+    Exact interpolated percentiles of all numeric features in one go: a row gives one (feature, value) pair per
+    feature, pairs are counted map-side, and one table of distinct pairs, range-partitioned by feature and value, is
+    searched for all ranks.  The result is the same for any partitioning.  Dictionaries of all text
+    features come from one distinct job; their sizes are checked first.
     """
     df = with_missing(df, features)
     types = {f.name: f.dataType for f in df.schema.fields}
     is_cat = [not isinstance(types[c], NumericType) for c in features]
     probs = [i / max_bins for i in range(1, max_bins)]
-    arr = F.array(*[F.lit(p) for p in probs])
-    aggs = []
-    for c, cat in zip(features, is_cat):
-        if not cat:
-            x = col(c).cast("double")
-            aggs.append(F.percentile_approx(x, arr, 10 * max_bins).alias(f"q_{len(aggs)}"))
-    row = df.agg(*aggs).first() if aggs and not exact else None
-    edges, cats, k = [], [], 0
-    for c, cat in zip(features, is_cat):
-        if cat:
-            vals = (df.select(col(c).cast("string").alias("v")).where(F.col("v").isNotNull())
-                    .distinct().limit(MAX_CATEGORIES + 1).collect())
-            if len(vals) > MAX_CATEGORIES:
-                raise ValueError(f"feature {c!r} has more than {MAX_CATEGORIES} categories")
-            cats.append(sorted(r["v"] for r in vals))
-            edges.append(None)
-        else:
-            q = (percentiles(df, c, probs) if exact else row[f"q_{k}"]) or []
-            k += 1
-            e = np.array(sorted({float(v) for v in q if v is not None}), dtype=np.float64)
-            edges.append(e)
-            cats.append(None)
-    return FeatureSpec(list(features), is_cat, edges, cats)
-
-
-def state_schema(n_features: int, n_models: int) -> str:
-    cols = ["_kh long", "_fold int", "_y double"]
-    cols += [f"b{i} int" for i in range(n_features)]
-    cols += [f"m{j} double" for j in range(n_models)]
-    return ", ".join(cols)
-
-
-def build_state(df: DataFrame, key: str, fold: str, label: str, spec: FeatureSpec,
-                base_margins: list[float], seed: int = 42, partitions: int | None = None,
-                checkpoint: bool = True) -> DataFrame:
-    """Binned rows with one margin column per model, checkpointed."""
-    spark = df.sparkSession
-    n_parts = partitions or max(spark.sparkContext.defaultParallelism, 1)
-    src = with_missing(df, spec.names).select(F.xxhash64(F.lit(seed), col(key).cast("string")).alias("_kh"),
-                    col(fold).cast("int").alias("_fold"), col(label).cast("double").alias("_y"),
-                    *[col(c).alias(f"f{i}") for i, c in enumerate(spec.names)])
-    src = src.repartition(n_parts, "_kh")
-    nf, margins = len(spec.names), list(base_margins)
-
-    def binner(it):
-        for pdf in it:
-            out = {"_kh": pdf["_kh"], "_fold": pdf["_fold"], "_y": pdf["_y"]}
-            for i in range(nf):
-                out[f"b{i}"] = spec.bin_values(i, pdf[f"f{i}"].to_numpy())
-            for j, m in enumerate(margins):
-                out[f"m{j}"] = np.full(len(pdf), m)
-            yield pd.DataFrame(out)
-
-    state = src.mapInPandas(binner, state_schema(nf, len(margins)))
-    if checkpoint:
-        checkpoint_dir(spark)
-        state = state.checkpoint(eager=True)
-    return state
+    edges: list[np.ndarray | None] = [None if cat else np.zeros(0) for cat in is_cat]
+    cats: list[list[str] | None] = [[] if cat else None for cat in is_cat]
+
+    def pairs(kind: str, of: bool) -> DataFrame:
+        some = [F.struct(F.lit(i).alias("f"), col(c).cast(kind).alias("x")) for i, c in enumerate(features) if is_cat[i] == of]
+        return df.select(F.explode(F.array(*some)).alias("p")).select("p.f", "p.x")
+
+    if not all(is_cat):
+        found: dict[int, set] = {}
+        for r in percentiles_by(pairs("double", False), "x", probs, ["f"]).collect():
+            found.setdefault(r["f"], set()).add(float(r["value"]))
+        for i, values in found.items():
+            edges[i] = np.array(sorted(values), dtype=np.float64)
+    if any(is_cat):
+        texts = pairs("string", True).where(F.col("x").isNotNull()).distinct()
+        for r in texts.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect():
+            if r["n"] > MAX_CATEGORIES:
+                raise ValueError(f"feature {features[r['f']]!r} has more than {MAX_CATEGORIES} categories")
+        for r in texts.collect():
+            cats[r["f"]].append(r["x"])
+    return FeatureSpec(list(features), is_cat, edges, [None if c is None else sorted(c) for c in cats])

@@ -6,11 +6,16 @@ models (holdout 1..k) and the final model (holdout = test fold, so it trains
 on every training row and is scored on the test rows) of one configuration
 share each pass; so can many configurations.
 
-Per tree: one pass per level.  A pass is a single Spark job - histogram
-``mapInPandas`` -> ``groupBy`` sum -> window split search -> collect of one
+Per tree: one pass per level.  A pass is a Spark job - histogram
+``mapInArrow`` -> ``groupBy`` sum -> window split search -> collect of one
 row per open node.  The driver only ever sees those per-node rows and the
 per-model metric sums, never data rows.  Leaves under the last level take
 their weights from the parent's split sums, so a depth-D tree costs D passes.
+Below the root only the smaller child of a split is built from rows; a level's cells are kept
+until the next level has taken the larger child's from them.
+
+All sums are order-free (``exact``, ``histogram``): the trees are bit-equal for any
+partitioning of the input and any order of tasks.
 
 Early stopping: the first level of tree t also sums each model's validation
 loss after t trees.  A cross-validation model stops ``early_stopping_rounds``
@@ -19,26 +24,27 @@ all its fold models have, and keeps int(median(best rounds)) trees.  The
 validation and test errors at the kept round come from the same sums, so CV
 and the final test score cost no extra pass.
 
-Margins live in the state table; trees built since the last refresh are
-applied on the fly.  Every ``refresh_every`` trees the margins are folded in
-and the state is checkpointed to the session's checkpoint folder, which cuts
-the lineage and makes executor loss cheap to recover.
+Margins live in a table of their own (``state``); trees built since the last refresh are
+applied on the fly.  Every ``refresh_every`` trees the margins alone are written anew in the
+session's checkpoint folder, which cuts the lineage and makes executor loss cheap to recover.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.scalar import col
-from ...session import checkpoint_dir
-from . import objectives
-from .bins import FeatureSpec, build_state, feature_spec
-from .histogram import Builder, PassPlan, find_splits, refresh_margins, run_pass
+from . import exact, objectives
+from .bins import FeatureSpec, feature_spec
+from .histogram import APE, LOSS, ROWS, TOP, Builder, PassPlan, level_cells, margin_of, run_pass
+from .node_split import best_splits, left_categories, metric_rows
+from .state import NO_FOLD, State
 from .tree import Tree
 
 
@@ -107,10 +113,38 @@ def _clamp(w, lo, hi):
     return min(max(w, lo), hi)
 
 
+def label_sums(state: State) -> dict[int, dict]:
+    """Per fold: rows, labels that are numbers (n), their least and greatest, and their exact sum."""
+    def run(blocks):
+        for b in blocks:
+            for fold in np.unique(b.fold):
+                y = b.y[b.fold == fold]
+                v = y[~np.isnan(y)]
+                parts = [(exact.NOT_FINITE, 0, 0), *exact.split_sums(v)]
+                k = len(parts)
+                counts = np.zeros((2, k), np.int64)
+                counts[:, 0] = len(y), len(v)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(k, fold, np.int32)), *[pa.array(np.array(c, t)) for c, t in zip(zip(*parts), (np.int32, np.int64, np.int64))],
+                     pa.array(counts[0]), pa.array(counts[1]), pa.array(np.full(k, v.min() if len(v) else np.inf)),
+                     pa.array(np.full(k, v.max() if len(v) else -np.inf))],
+                    ["fold", "e", "high_part", "low_part", "rows", "n", "low", "high"])
+
+    told = state.mapped(run, "fold int, e int, high_part long, low_part long, rows long, n long, low double, high double", "fold", "y")
+    out: dict[int, dict] = {}
+    for r in told.groupBy("fold", "e").agg(*[F.sum(c).alias(c) for c in ("high_part", "low_part", "rows", "n")],
+                                           F.min("low").alias("low"), F.max("high").alias("high")).collect():
+        f = out.setdefault(None if r["fold"] == NO_FOLD else r["fold"],
+                           {"rows": 0, "n": 0, "low": math.inf, "high": -math.inf, "parts": []})
+        f["rows"], f["n"] = f["rows"] + r["rows"], f["n"] + r["n"]
+        f["low"], f["high"] = min(f["low"], r["low"]), max(f["high"], r["high"])
+        f["parts"].append((r["e"], r["high_part"], r["low_part"]))
+    return out
+
+
 class Trainer:
     def __init__(self, df: DataFrame, key: str, fold: str, label: str, features: list[str],
-                 models: list[ModelSpec], params: BoostParams, spec: FeatureSpec | None = None,
-                 exact_bins: bool = False):
+                 models: list[ModelSpec], params: BoostParams, spec: FeatureSpec | None = None):
         if len({len(m.init_trees) for m in models}) > 1:
             raise ValueError("models of a batch continue from the same number of trees")
         if spec is None and any(m.init_trees for m in models):
@@ -119,36 +153,35 @@ class Trainer:
         self.params = params
         self.obj = objectives.get(params.objective)
         self.models = models
-        df = df.select(col(key).alias(key), col(fold).alias(fold), col(label).alias(label),
-                       *[col(c).alias(c) for c in features if c not in (key, fold, label)])
-        df = df.persist()
-        self.spec = spec or feature_spec(df, features, params.max_bins, exact_bins)
+        self.spec = spec or feature_spec(df, features, params.max_bins)
         self.nf = len(self.spec.names)
         self.fid = {n: i for i, n in enumerate(self.spec.names)}
-        y = F.nanvl(col(label).cast("double"), F.lit(None))
-        seen = {r["f"]: r for r in
-                df.groupBy(col(fold).cast("int").alias("f"))
-                  .agg(F.sum(y).alias("s"), F.count(y).alias("n"), F.count(F.lit(1)).alias("rows"),
-                       F.min(y).alias("low"))
-                  .collect()}
-        self._check_labels(seen)
-        sums = {f: (r["s"], r["n"]) for f, r in seen.items()}
+        self.state = State(df, key, fold, label, self.spec, len(models), params.seed)
+        try:
+            seen = label_sums(self.state)
+            self._check_labels(seen)
+        except Exception:
+            self.state.close()
+            raise
+        self.rows = sum(v["rows"] for v in seen.values())
+        self.low = min((v["low"] for v in seen.values()), default=0.0)
+        self.high = max((v["high"] for v in seen.values()), default=0.0)
         self.base = []
         for m in models:
-            s = sum(v[0] or 0.0 for f, v in sums.items() if f not in (m.holdout, params.test_fold))
-            n = sum(v[1] for f, v in sums.items() if f not in (m.holdout, params.test_fold))
+            own = [v for f, v in seen.items() if f not in (m.holdout, params.test_fold)]
+            n = sum(v["n"] for v in own)
+            s = exact.total(p for v in own for p in v["parts"])
             # A continued model goes on from its own start, whatever the new rows' mean.
             self.base.append(m.init_base if m.init_trees and m.init_base is not None
                              else self.obj.base_margin(s / n if n else 0.0))
-        checkpoint_dir(self.spark)
-        self.state = build_state(df, key, fold, label, self.spec, self.base, params.seed)
-        df.unpersist()
         self.trees = {j: list(m.init_trees) for j, m in enumerate(models)}
         self.pending = {j: list(m.init_trees) for j, m in enumerate(models)}
+        # Per model what bounds the next tree's gradients and hessians.
+        self.top = {j: self.obj.bounds(self.base[j], self.low, self.high) if self.rows else (0.0, 0.0) for j in range(len(models))}
         self.curves = {j: {} for j in range(len(models))}
         self.best = {}
         self.active = set(range(len(models)))
-        self.is_cat = np.array(self.spec.is_cat, bool)
+        self.categorical = [i for i, cat in enumerate(self.spec.is_cat) if cat]
         self.dirs = [np.array([m.constraints.get(n, 0) for n in self.spec.names], np.int32)
                      for m in models]
         self.masked = [np.array([self.fid[c] for c in m.masked if c in self.fid], np.int64)
@@ -169,29 +202,71 @@ class Trainer:
             raise ValueError(f"reg:gamma needs labels above 0, found {low}")
 
     # ---------------------------------------------------------------- passes
-    def _collect(self, plan: PassPlan):
-        rows = find_splits(run_pass(self.state, plan), self.params.reg_lambda,
-                           self.params.min_child_weight).collect()
-        rows_tot = [r for r in rows if r["kind"] == 0]
-        rows_met = [{"model": r["model"], "G": r["Gt"], "H": r["Ht"], "C": r["Ct"]}
-                    for r in rows if r["kind"] == 1]
-        return rows_tot, rows_met
+    def plan(self, t: int, **more) -> PassPlan:
+        p = self.params
+        return PassPlan(objective=p.objective, width=self.spec.max_bins + 1, test_fold=p.test_fold, subsample=p.subsample,
+                        seed=p.seed, tree_index=t, bases=self.base, pending=self.pending, **more)
+
+    def bits(self) -> list[tuple[int, int]]:
+        return [tuple(exact.scale_bits(v, self.rows) for v in self.top[j]) for j in range(len(self.models))]
+
+    def root_cells(self, dense_max_cells: int | None = None) -> DataFrame:
+        """The summed root histograms of all models, before the first tree."""
+        every, bits = np.arange(self.nf), self.bits()
+        builders = []
+        for j, m in enumerate(self.models):
+            tree = Tree.empty(m.depth)
+            builders.append(Builder(model=j, holdout=m.holdout, tree=tree, level=0, nodes=np.array([0]), siblings=np.array([-1]),
+                                    lower=tree.lower, upper=tree.upper, features=every, dirs=self.dirs[j], bits=bits[j]))
+        plan = self.plan(0, builders=builders)
+        if dense_max_cells is not None:
+            plan.dense_max_cells = dense_max_cells
+        return level_cells(run_pass(self.state, plan))
+
+    def _search(self, cells: DataFrame, bits) -> list[dict]:
+        """One row per open node: totals and the best split."""
+        p = self.params
+        rows = [r.asDict() for r in best_splits(cells, bits, self.categorical, p.reg_lambda, p.min_child_weight).collect()]
+        chosen = [(r["model"], r["node"], r["feature"], r["pos"]) for r in rows if r["feature"] in self.categorical]
+        left = {(r["model"], r["node"]): r["left"] for r in left_categories(
+            cells, bits, self.categorical, p.reg_lambda, chosen).collect()} if chosen else {}
+        for r in rows:
+            r["left_bins"] = left.get((r["model"], r["node"]))
+        return rows
+
+    def _read_metrics(self, cells: DataFrame, t: int) -> None:
+        """Validation sums after ``t`` trees, and the largest gradients and hessians at them."""
+        parts, counts = {}, {}
+        for r in metric_rows(cells).collect():
+            if r["node"] == TOP:
+                self.top[r["model"]] = (r["lower"], r["upper"])
+            elif r["node"] == ROWS:
+                counts[r["model"]] = r["C"]
+            else:
+                parts.setdefault((r["model"], r["node"]), []).append((r["bin"], r["G"], r["H"]))
+        for j, n in counts.items():
+            self.curves[j][t] = (*[exact.total(parts.get((j, kind), ())) for kind in (LOSS, APE)], n)
+
+    def _measure(self) -> None:
+        """The bounds of a continued model, from its own margins."""
+        tops = [(j, m.holdout) for j, m in enumerate(self.models)]
+        self._read_metrics(level_cells(run_pass(self.state, self.plan(0, tops=tops))), 0)
 
     def _colsample(self, t: int) -> np.ndarray:
+        """The features that come first by md5("seed:tree:name")."""
         p = self.params
         if p.colsample_bytree >= 1.0 or self.nf == 0:
             return np.arange(self.nf)
-        rng = np.random.default_rng([p.seed, t])
         k = max(1, int(math.floor(p.colsample_bytree * self.nf)))
-        return np.sort(rng.choice(self.nf, k, replace=False))
+        rank = sorted(range(self.nf), key=lambda i: (hashlib.md5(f"{p.seed}:{t}:{self.spec.names[i]}".encode()).hexdigest(), i))
+        return np.sort(np.array(rank[:k]))
 
     def _refresh(self):
         if not any(self.pending[j] for j in self.active):
             return
-        pend = {j: self.pending[j] for j in self.active if self.pending[j]}
-        self.state = refresh_margins(self.state, pend, self.nf).checkpoint(eager=True)
-        for j in range(len(self.models)):
-            self.pending[j] = []
+        bases, pending = self.base, self.pending
+        self.state.refresh(lambda block, j: margin_of(block, j, bases, pending))
+        self.pending = {j: [] for j in range(len(self.models))}
 
     # ---------------------------------------------------------------- stopping
     def _first_eligible(self, j: int) -> int:
@@ -228,9 +303,18 @@ class Trainer:
 
     # ---------------------------------------------------------------- training
     def run(self) -> BatchResult:
+        try:
+            return self._run()
+        finally:
+            self.state.close()
+
+    def _run(self) -> BatchResult:
         p = self.params
         lam, lr = p.reg_lambda, p.learning_rate
         t = max((len(m.init_trees) for m in self.models), default=0)
+        if t and self.rows:
+            self._refresh()
+            self._measure()
         while True:
             at_cap = t >= p.max_trees
             builders_models = [] if at_cap else sorted(self.active)
@@ -238,53 +322,58 @@ class Trainer:
             if not builders_models and not metric_models:
                 break
             allowed_all = self._colsample(t)
-            cur = {j: Tree.empty(self.models[j].depth) for j in builders_models}
-            open_ = {j: {0: (-math.inf, math.inf)} for j in builders_models}
-            allowed = {}
+            cur, open_, allowed = {}, {}, {}
+            bits = self.bits()
             for j in builders_models:
                 m = self.models[j]
                 a = allowed_all
                 if len(self.masked[j]) and t - len(m.init_trees) < m.mask_trees:
                     a = np.setdiff1d(a, self.masked[j])
                 allowed[j] = a
-            d = 0
-            first = True
+                cur[j] = Tree.empty(m.depth)
+                cur[j].lower[0], cur[j].upper[0] = -math.inf, math.inf
+                open_[j] = [(0, -1)]            # (built node, sibling derived from it)
+            d, above, derived = 0, None, []
             while True:
                 level_models = [j for j in builders_models
                                 if j in cur and d < self.models[j].depth and open_[j]]
-                if not level_models and not (first and metric_models):
+                if not level_models and not (d == 0 and metric_models):
                     break
                 builders = []
                 for j in level_models:
-                    nodes = np.array(sorted(open_[j]), np.int64)
+                    nodes = np.array(open_[j], np.int64)
                     builders.append(Builder(
-                        model=j, holdout=self.models[j].holdout, tree=cur[j], level=d,
-                        open_nodes=nodes,
-                        lower=np.array([open_[j][n][0] for n in nodes], np.float64),
-                        upper=np.array([open_[j][n][1] for n in nodes], np.float64),
-                        features=allowed[j], dirs=self.dirs[j][allowed[j]]))
-                plan = PassPlan(objective=p.objective, n_features=self.nf,
-                                width=self.spec.max_bins + 1, is_cat=self.is_cat,
-                                test_fold=p.test_fold, subsample=p.subsample, seed=p.seed,
-                                tree_index=t, pending=self.pending,
-                                metrics=[(j, self.models[j].holdout) for j in metric_models] if first else [],
-                                builders=builders)
-                rows, mets = self._collect(plan)
-                if first:
-                    for r in mets:
-                        self.curves[r["model"]][t] = (r["G"], r["H"], r["C"])
-                    self._update_stopping(t)
-                    first = False
-                    for j in list(cur):
-                        if j not in self.active:
-                            cur.pop(j)
-                    if at_cap:
-                        break
-                self._apply_level(rows, cur, open_, d, lam, lr)
+                        model=j, holdout=self.models[j].holdout, tree=cur[j], level=d, nodes=nodes[:, 0],
+                        siblings=nodes[:, 1], lower=cur[j].lower, upper=cur[j].upper, features=allowed[j],
+                        dirs=self.dirs[j][allowed[j]], bits=bits[j]))
+                held = [(j, self.models[j].holdout) for j in metric_models] if d == 0 else []
+                tops = [(j, self.models[j].holdout) for j in builders_models] if d == 0 else []
+                cells = level_cells(run_pass(self.state, self.plan(t, metrics=held, tops=tops, builders=builders)),
+                                    above, derived).persist()
+                try:
+                    rows = self._search(cells, bits)
+                    if d == 0:
+                        self._read_metrics(cells, t)
+                        self._update_stopping(t)
+                        for j in list(cur):
+                            if j not in self.active:
+                                cur.pop(j)
+                finally:
+                    if above is not None:
+                        above.unpersist()
+                above = cells
+                if d == 0 and at_cap:
+                    break
+                derived = self._apply_level(rows, cur, open_, d, lam, lr)
                 d += 1
+            if above is not None:
+                above.unpersist()
             if at_cap or not cur:
                 if not self.active or at_cap:
                     break
+            for j, tree in cur.items():
+                used = tree.value[tree.used]
+                self.top[j] = self.obj.bounds_after(self.top[j], self.high, float(used.min()), float(used.max()))
             for j, tree in cur.items():
                 self.trees[j].append(tree)
                 self.pending[j].append(tree)
@@ -306,19 +395,23 @@ class Trainer:
                     self.best[j] = len(self.trees[j])
         return self._result()
 
-    def _apply_level(self, rows, cur, open_, d, lam, lr):
+    def _apply_level(self, rows, cur, open_, d, lam, lr) -> list[tuple[int, int, int]]:
+        """Writes a level's splits and leaves, and opens their children: the smaller is to be built.  Returns
+        (model, parent, child) of the others."""
         by = {(r["model"], r["node"]): r for r in rows}
-        nxt = {j: {} for j in cur}
+        derived = []
         for j, tree in cur.items():
             if d >= self.models[j].depth:
                 continue
-            for node, (lo, hi) in open_[j].items():
+            nodes = [n for pair in open_[j] for n in pair if n >= 0]
+            open_[j] = []
+            for node in sorted(nodes):
+                lo, hi = float(tree.lower[node]), float(tree.upper[node])
                 r = by.get((j, node))
-                G, H, C = (r["Gt"], r["Ht"], r["Ct"]) if r is not None else (0.0, 0.0, 0)
+                G, H, C = (r["Gn"], r["Hn"], r["Ct"]) if r is not None else (0.0, 0.0, 0)
                 w = _clamp(-G / (H + lam), lo, hi)
                 tree.used[node] = True
                 tree.weight[node], tree.cover[node], tree.count[node] = w, H, C
-                tree.lower[node], tree.upper[node] = lo, hi
                 if r is None or r["feature"] is None:
                     tree.value[node] = lr * w
                     continue
@@ -326,10 +419,9 @@ class Trainer:
                 tree.feature[node] = f
                 tree.gain[node] = r["loss_chg"]
                 tree.default_left[node] = bool(r["dl"])
-                if r["is_cat"]:
+                if self.spec.is_cat[f]:
                     tree.is_cat[node] = True
-                    tree.cat_left[node] = np.array(sorted(int(b) for b in (r["left_bins"] or [])
-                                                          if b is not None), np.int64)
+                    tree.cat_left[node] = np.array(sorted(r["left_bins"]), np.int64)
                     tree._cat_matrix = None
                 else:
                     tree.split_bin[node] = int(r["bin"])
@@ -342,19 +434,19 @@ class Trainer:
                         lhi, rlo = mid, mid
                     else:
                         llo, rhi = mid, mid
-                kids = [(2 * node + 1, r["GL"], r["HL"], r["CL"], llo, lhi),
-                        (2 * node + 2, r["GR"], r["HR"], r["CR"], rlo, rhi)]
-                for cn, cg, ch, cc, clo, chi in kids:
-                    if d + 1 < self.models[j].depth:
-                        nxt[j][cn] = (clo, chi)
-                    else:
-                        cw = _clamp(-cg / (ch + lam), clo, chi)
-                        tree.used[cn] = True
-                        tree.weight[cn], tree.cover[cn], tree.count[cn] = cw, ch, cc
-                        tree.lower[cn], tree.upper[cn] = clo, chi
-                        tree.value[cn] = lr * cw
-        for j in cur:
-            open_[j] = nxt[j]
+                left, right = 2 * node + 1, 2 * node + 2
+                tree.lower[left], tree.upper[left], tree.lower[right], tree.upper[right] = llo, lhi, rlo, rhi
+                if d + 1 < self.models[j].depth:
+                    small, large = (left, right) if r["CL"] <= r["CR"] else (right, left)
+                    open_[j].append((small, large))
+                    derived.append((j, node, large))
+                    continue
+                for cn, cg, ch, cc in ((left, r["GL"], r["HL"], r["CL"]), (right, r["GR"], r["HR"], r["CR"])):
+                    cw = _clamp(-cg / (ch + lam), float(tree.lower[cn]), float(tree.upper[cn]))
+                    tree.used[cn] = True
+                    tree.weight[cn], tree.cover[cn], tree.count[cn] = cw, ch, cc
+                    tree.value[cn] = lr * cw
+        return derived
 
     def _result(self) -> BatchResult:
         res = []

@@ -1,50 +1,63 @@
-"""The per-partition histogram pass (M6) and margin refresh.
-
-A pass is one ``mapInPandas`` over the state table.  Each task routes its rows
-through the partial tree of every model being built, computes gradients and
-hessians from the row's margin, and adds them into a dense
-(open node, allowed feature, bin) array with ``np.bincount``; only non-empty
-cells leave the task.  The Spark ``groupBy`` that follows sums the partials
-(its shuffle is bounded by tasks x cells, never by rows).  On a tree's first
-level the same pass also sums each model's validation loss and percentage
-error, which drive early stopping.
+"""The histogram pass (M6), subsampling (M12) and what rides on it.
+
+A pass is one ``mapInArrow`` over the state's blocks.  Each task routes its rows through the partial
+tree of every model being built, turns gradients and hessians into integers (one power of two per
+model and tree, from a bound of the values), and adds them per (open node, allowed feature, bin).
+Integer sums are exact, so cells and all that follows from them are bit-equal for any
+partitioning.  Only non-empty cells leave a task.
+
+Of two sibling nodes only the smaller is built.  A task hands each of its cells on twice, to its
+node and, negated, to the sibling; the parent's cells, kept from the level before, are added to the sibling (M7).
+What the JVM sums up is then the sibling's own histogram, exactly.
+
+On a tree's first level the pass also sums each model's validation loss and percentage error (exactly,
+too) and takes the largest gradient and hessian, which bound those of the next tree.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.metrics import MAPE_EPS
 from . import objectives
+from .exact import as_integers, split_sums
+from .state import Block, State
 from .tree import Tree
 
-HIST_SCHEMA = ("model int, node int, feature int, bin int, dir int, is_cat boolean, "
-               "lower double, upper double, G double, H double, C long")
+#: ``feature`` of rows that are not a feature's cells: a node's totals, sums of metrics.
+TOTALS, METRICS = -1, -2
+LOSS, APE, ROWS, TOP = range(4)
+
+CELLS = "model int, node int, feature int, bin int, dir int, lower double, upper double, G long, H long, C long"
+_NAMES = [c.split()[0] for c in CELLS.split(", ")]
+_KINDS = {"int": pa.int32(), "double": pa.float64(), "long": pa.int64()}
+_ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in CELLS.split(", ")])
+
+#: Cells of dense histograms in a task, over all models; beyond it a model keeps only the touched ones.
+DENSE_MAX_CELLS = 8_000_000
+#: Touched cells gathered before they are merged.
+SPARSE_MERGE = 1_000_000
 
-# Dense per-task histogram arrays up to this many cells per model; above it
-# (deep trees, many features) only the touched cells are kept.
-DENSE_MAX_CELLS = 2_000_000
 
-_M1 = np.uint64(0xBF58476D1CE4E5B9)
-_M2 = np.uint64(0x94D049BB133111EB)
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
+def sample_constants(seed: int, tree: int) -> tuple[int, int]:
+    """Multiplier (odd) and offset of a tree's row sample."""
+    h = hashlib.md5(f"{seed}:{tree}".encode()).hexdigest()
+    return int(h[:15], 16) | 1, int(h[15:30], 16)
 
 
-def uniform(kh: np.ndarray, seed: int, tree: int) -> np.ndarray:
-    """Repeatable U[0,1) per (row key hash, seed, tree): splitmix64 finaliser."""
-    salt = (seed * 0x9E3779B97F4A7C15 + (tree + 1) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-    x = kh.astype(np.int64).view(np.uint64) ^ np.uint64(salt)
+def sampled(kh: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
+    """Rows in a tree's sample: (hash * a + b) mod 2**64 below the share of 2**64."""
+    a, b = sample_constants(seed, tree)
     with np.errstate(over="ignore"):
-        x = x + _GOLD
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-        x = x ^ (x >> np.uint64(31))
-    return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+        u = kh.astype(np.uint64) * np.uint64(a) + np.uint64(b)
+    return u < np.uint64(min(int(share * 2.0**64), 2**64 - 1))
 
 
 @dataclass
@@ -54,201 +67,197 @@ class Builder:
     holdout: int
     tree: Tree
     level: int
-    open_nodes: np.ndarray          # heap ids of nodes to split at this level
-    lower: np.ndarray               # bounds per open node
+    nodes: np.ndarray               # nodes whose histograms are built from rows
+    siblings: np.ndarray            # per node the sibling derived from it, -1: none
+    lower: np.ndarray               # bounds per node of the heap
     upper: np.ndarray
     features: np.ndarray            # allowed feature ids
     dirs: np.ndarray                # monotone direction per allowed feature
+    bits: tuple[int, int]           # scales of gradient and hessian
 
 
 @dataclass
 class PassPlan:
     objective: str
-    n_features: int
     width: int                      # max bins + 1 (slot 0 is the missing bin)
-    is_cat: np.ndarray
     test_fold: int
     subsample: float
     seed: int
     tree_index: int
+    bases: list                     # start margin per model
     pending: dict = field(default_factory=dict)     # model -> list[Tree] not yet in the margins
-    metrics: list = field(default_factory=list)     # [(model, holdout)]
+    metrics: list = field(default_factory=list)     # [(model, holdout)]: validation sums
+    tops: list = field(default_factory=list)        # [(model, holdout)]: largest gradient and hessian
     builders: list = field(default_factory=list)    # [Builder]
     dense_max_cells: int = DENSE_MAX_CELLS
 
 
-def _bins(pdf: pd.DataFrame, nf: int) -> np.ndarray:
-    if nf == 0:
-        return np.zeros((len(pdf), 0), np.int32)
-    return np.column_stack([pdf[f"b{i}"].to_numpy(np.int32) for i in range(nf)])
-
-
-def margin_of(pdf: pd.DataFrame, bins: np.ndarray, model: int, pending: dict) -> np.ndarray:
-    m = pdf[f"m{model}"].to_numpy(np.float64).copy()
+def margin_of(block: Block, model: int, bases: list, pending: dict) -> np.ndarray:
+    m = np.full(len(block.bins), bases[model]) if block.margins is None else block.margins[model].copy()
     for t in pending.get(model, ()):
-        m += t.predict(bins)
+        m += t.predict(block.bins)
     return m
 
 
-def run_pass(state: DataFrame, plan: PassPlan) -> DataFrame:
-    """Partial histograms (and metrics) of one level; not yet aggregated."""
+class _Cells:
+    """One model's histogram in a task: dense, or the touched cells, merged as they pile up."""
+
+    def __init__(self, size: int, dense: bool):
+        self.dense = dense
+        self.sums = [np.zeros(size if dense else 0, np.int64) for _ in range(3)]
+        self.at, self.more, self.held = np.zeros(0, np.int64), [], 0
+
+    def add(self, start: int, size: int, cell: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+        """Adds to ``size`` cells from ``start`` on.  ``g`` and ``h`` hold integers; a block's sums are exact in doubles."""
+        if self.dense:
+            for s, w in zip(self.sums, (g, h, None)):
+                s[start:start + size] += np.bincount(cell, w, size).astype(np.int64)
+            return
+        u, inv = np.unique(cell, return_inverse=True)
+        self.more.append((u + start, *[np.bincount(inv, w, len(u)).astype(np.int64) for w in (g, h, None)]))
+        self.held += len(u)
+        if self.held > max(SPARSE_MERGE, len(self.at)):
+            self._merge()
+
+    def _merge(self) -> None:
+        parts = [(self.at, *self.sums), *self.more]
+        u, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        sums = []
+        for k in (1, 2, 3):
+            s = np.zeros(len(u), np.int64)
+            np.add.at(s, inv, np.concatenate([p[k] for p in parts]))
+            sums.append(s)
+        self.at, self.sums, self.more, self.held = u, sums, [], 0
+
+    def touched(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        if self.dense:
+            at = np.flatnonzero(self.sums[2])
+            return at, [s[at] for s in self.sums]
+        if self.more:
+            self._merge()
+        return self.at, self.sums
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    n = max(len(v) for v in columns.values() if not np.isscalar(v))
+    full = {c: np.full(n, v) if np.isscalar(v) else v for c, v in columns.items()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.asarray(full[f.name]), f.type) if f.name in full else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW)
+
+
+def _accumulate(b: Builder, block: Block, rows: np.ndarray, g: np.ndarray, h: np.ndarray, width: int, cells: _Cells) -> None:
+    """Adds a block's rows (with scaled ``g`` and ``h``) to the builder's nodes: cells by feature, node and bin,
+    then one per node for its totals."""
+    bins = block.bins[rows]
+    lookup = np.full(len(b.tree.feature), -1, np.int64)
+    lookup[b.nodes] = np.arange(len(b.nodes))
+    at = lookup[b.tree.route(bins, b.level)]
+    some = at >= 0
+    if not some.any():
+        return
+    at, g, h, bins = at[some], g[some], h[some], bins[some]
+    k = len(b.nodes)
+    for i, f in enumerate(b.features.tolist()):
+        cells.add(i * k * width, k * width, at * width + bins[:, f] + 1, g, h)
+    cells.add(len(b.features) * k * width, k, at, g, h)
+
+
+def _cell_rows(b: Builder, cells: _Cells, width: int) -> Iterator[pa.RecordBatch]:
+    at, (G, H, C) = cells.touched()
+    if not len(at):
+        return
+    fa, k = len(b.features), len(b.nodes)
+    own = at < fa * k * width
+    i = np.where(own, at // (k * width), 0)
+    node = np.where(own, at // width % k, at - fa * k * width)
+    feature = np.where(own, b.features[i] if fa else 0, TOTALS)
+    bin_ = np.where(own, at % width - 1, 0)
+    dir_ = np.where(own, b.dirs[i] if fa else 0, 0)
+    for nodes, sign in ((b.nodes[node], 1), (b.siblings[node], -1)):
+        real = nodes >= 0
+        if real.any():
+            k = nodes[real]
+            yield _batch(model=b.model, node=k, feature=feature[real], bin=bin_[real], dir=dir_[real], lower=b.lower[k],
+                         upper=b.upper[k], G=sign * G[real], H=sign * H[real], C=sign * C[real])
+
+
+def run_pass(state: State, plan: PassPlan) -> DataFrame:
+    """The tasks' cells and metric sums of one level, not yet summed."""
     obj = objectives.get(plan.objective)
-    nf, width = plan.n_features, plan.width
-
-    def fn(it):
-        acc = {}
-        sparse = {}
-        tot = {}
-        met = {}
-        for pdf in it:
-            n = len(pdf)
-            if n == 0:
-                continue
-            bins = _bins(pdf, nf)
-            y = pdf["_y"].to_numpy(np.float64)
-            fold = pdf["_fold"].to_numpy()
-            if plan.subsample < 1.0:
-                sample = uniform(pdf["_kh"].to_numpy(), plan.seed, plan.tree_index) < plan.subsample
-            else:
-                sample = np.ones(n, bool)
-            cache = {}
-
-            def margin(mdl):
-                if mdl not in cache:
-                    cache[mdl] = margin_of(pdf, bins, mdl, plan.pending)
-                return cache[mdl]
-
-            for mdl, holdout in plan.metrics:
-                v = fold == holdout
-                if not v.any():
-                    continue
-                mv, yv = margin(mdl)[v], y[v]
-                pred = obj.predict(mv)
-                row = met.setdefault(mdl, np.zeros(3))
-                row[0] += obj.loss(mv, yv).sum()
-                row[1] += (np.abs(yv - pred) / np.maximum(np.abs(yv), MAPE_EPS)).sum()
-                row[2] += v.sum()
+    width, share = plan.width, max(plan.dense_max_cells // max(len(plan.builders), 1), 0)
+
+    def run(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, _Cells] = {}
+        sums: dict[tuple, list[int]] = {}
+        tops: dict[int, list[float]] = {}
+        for block in blocks:
+            margins: dict[int, np.ndarray] = {}
+
+            def margin(model: int) -> np.ndarray:
+                if model not in margins:
+                    margins[model] = margin_of(block, model, plan.bases, plan.pending)
+                return margins[model]
+
+            for model, holdout in plan.metrics:
+                v = block.fold == holdout
+                if v.any():
+                    m, y = margin(model)[v], block.y[v]
+                    ape = np.abs(y - obj.predict(m)) / np.maximum(np.abs(y), MAPE_EPS)
+                    for kind, values in ((LOSS, obj.loss(m, y)), (APE, ape)):
+                        for e, hi, lo in split_sums(values):
+                            s = sums.setdefault((model, kind, e), [0, 0, 0])
+                            s[0], s[1] = s[0] + hi, s[1] + lo
+                    sums.setdefault((model, ROWS, 0), [0, 0, 0])[2] += int(v.sum())
+            keep = sampled(block.kh, plan.seed, plan.tree_index, plan.subsample) if plan.subsample < 1 else None
+            grads: dict[int, tuple] = {}
+
+            def gradients(model: int, holdout: int) -> tuple:
+                if model not in grads:
+                    rows = np.flatnonzero((block.fold != holdout) & (block.fold != plan.test_fold))
+                    grads[model] = (rows, *obj.grad_hess(margin(model)[rows], block.y[rows]))
+                return grads[model]
+
+            for model, holdout in plan.tops:
+                rows, g, h = gradients(model, holdout)
+                if len(rows):
+                    top = tops.setdefault(model, [0.0, 0.0])
+                    top[0], top[1] = max(top[0], float(np.abs(g).max())), max(top[1], float(h.max()))
             for b in plan.builders:
-                rows = np.nonzero((fold != b.holdout) & (fold != plan.test_fold) & sample)[0]
-                if len(rows) == 0:
-                    continue
-                br = bins[rows]
-                node = b.tree.route(br, b.level)
-                lookup = np.full(len(b.tree.feature), -1, np.int64)
-                lookup[b.open_nodes] = np.arange(len(b.open_nodes))
-                li = lookup[node]
-                sel = li >= 0
-                if not sel.any():
-                    continue
-                rows, li = rows[sel], li[sel]
-                g, h = obj.grad_hess(margin(b.model)[rows], y[rows])
-                k = len(b.open_nodes)
-                t = tot.setdefault(b.model, [np.zeros(k), np.zeros(k), np.zeros(k, np.int64)])
-                t[0] += np.bincount(li, g, k)
-                t[1] += np.bincount(li, h, k)
-                t[2] += np.bincount(li, minlength=k)
-                fa = len(b.features)
-                if fa == 0:
+                rows, g, h = gradients(b.model, b.holdout)
+                if keep is not None:
+                    k = keep[rows]
+                    rows, g, h = rows[k], g[k], h[k]
+                if not len(rows):
                     continue
-                bf = bins[rows][:, b.features]
-                idx = ((li[:, None] * fa + np.arange(fa)[None, :]) * width + (bf + 1)).ravel()
-                size = k * fa * width
-                if size <= plan.dense_max_cells:
-                    a = acc.setdefault(b.model, [np.zeros(size), np.zeros(size), np.zeros(size, np.int64)])
-                    a[0] += np.bincount(idx, np.repeat(g, fa), size)
-                    a[1] += np.bincount(idx, np.repeat(h, fa), size)
-                    a[2] += np.bincount(idx, minlength=size)
-                else:
-                    # deep trees x many models: keep only touched cells
-                    u, inv = np.unique(idx, return_inverse=True)
-                    sp = sparse.setdefault(b.model, [])
-                    sp.append((u, np.bincount(inv, np.repeat(g, fa)), np.bincount(inv, np.repeat(h, fa)),
-                               np.bincount(inv)))
-        out = []
-        acc_sparse = {}
-        by_model = {b.model: b for b in plan.builders}
-        for mdl, parts in sparse.items():
-            u = np.concatenate([p[0] for p in parts])
-            cells, inv = np.unique(u, return_inverse=True)
-            agg = [np.bincount(inv, np.concatenate([p[i] for p in parts]), len(cells)) for i in (1, 2, 3)]
-            acc_sparse[mdl] = (cells, agg[0], agg[1], agg[2].astype(np.int64))
-        for mdl, (G, H, C) in acc.items():
-            nz = np.nonzero(C)[0]
-            acc_sparse[mdl] = (nz, G[nz], H[nz], C[nz])
-        for mdl, (nz, Gs, Hs, Cs) in acc_sparse.items():
-            b = by_model[mdl]
-            fa = len(b.features)
-            cell_node = nz // (fa * width)
-            fi = (nz // width) % fa
-            out.append(pd.DataFrame({
-                "model": np.full(len(nz), mdl, np.int32),
-                "node": b.open_nodes[cell_node].astype(np.int32),
-                "feature": b.features[fi].astype(np.int32),
-                "bin": (nz % width - 1).astype(np.int32),
-                "dir": b.dirs[fi].astype(np.int32),
-                "is_cat": plan.is_cat[b.features[fi]].astype(bool),
-                "lower": b.lower[cell_node], "upper": b.upper[cell_node],
-                "G": Gs, "H": Hs, "C": Cs}))
-        for mdl, (G, H, C) in tot.items():
-            b = by_model[mdl]
-            k = len(b.open_nodes)
-            out.append(pd.DataFrame({
-                "model": np.full(k, mdl, np.int32), "node": b.open_nodes.astype(np.int32),
-                "feature": np.full(k, -1, np.int32), "bin": np.zeros(k, np.int32),
-                "dir": np.zeros(k, np.int32), "is_cat": np.zeros(k, bool),
-                "lower": b.lower, "upper": b.upper, "G": G, "H": H, "C": C}))
-        if met:
-            ms = sorted(met)
-            out.append(pd.DataFrame({
-                "model": np.array(ms, np.int32), "node": np.full(len(ms), -1, np.int32),
-                "feature": np.full(len(ms), -2, np.int32), "bin": np.zeros(len(ms), np.int32),
-                "dir": np.zeros(len(ms), np.int32), "is_cat": np.zeros(len(ms), bool),
-                "lower": np.zeros(len(ms)), "upper": np.zeros(len(ms)),
-                "G": [met[m][0] for m in ms], "H": [met[m][1] for m in ms],
-                "C": np.array([met[m][2] for m in ms], np.int64)}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
-
-    needed = sorted({m for m, _ in plan.metrics} | {b.model for b in plan.builders})
-    cols = ["_kh", "_fold", "_y"] + [f"b{i}" for i in range(nf)] + [f"m{j}" for j in needed]
-    # only the margins of models in this pass cross into Python
-    return state.select(*cols).mapInPandas(fn, HIST_SCHEMA)
-
-
-def find_splits(partials: DataFrame, reg_lambda: float, min_child_weight: float) -> DataFrame:
-    """One output row per open node plus one per model with metric sums.
-
-    The tasks' histograms are shuffled once, by (model, node, feature), summed per
-    cell in the JVM as they stream in, and searched per feature; of the features'
-    best splits (one row each) the greatest gain wins, ties to the lower feature."""
-    from .node_split import OUT_SCHEMA, make_split_fn
-    cells = aggregate(partials.repartition("model", "node", "feature"))
-    found = cells.groupBy("model", "node", "feature").applyInPandas(
-        make_split_fn(reg_lambda, min_child_weight), OUT_SCHEMA)
-    split = [c for c in found.columns if c not in ("model", "node", "kind", "Gt", "Ht", "Ct")]
-    rank = F.when(F.col("feature").isNotNull(), F.struct("loss_chg", -F.col("feature")))
-    totals = [F.max(F.when(F.col("feature").isNull(), F.col(c))).alias(c) for c in ("kind", "Gt", "Ht", "Ct")]
-    return found.groupBy("model", "node").agg(*totals, F.max_by(F.struct(*split), rank).alias("_best")).select(
-        "model", "node", "kind", "Gt", "Ht", "Ct", "_best.*")
-
-
-def aggregate(partials: DataFrame) -> DataFrame:
-    """Sum partial histograms per cell."""
-    return partials.groupBy("model", "node", "feature", "bin", "dir", "is_cat", "lower", "upper").agg(
-        F.sum("G").alias("G"), F.sum("H").alias("H"), F.sum("C").alias("C"))
-
-
-def refresh_margins(state: DataFrame, pending: dict, n_features: int) -> DataFrame:
-    """Fold pending trees into the margin columns (one pass, same schema)."""
-    schema = state.schema
-    models = sorted(m for m, ts in pending.items() if ts)
-
-    def fn(it):
-        for pdf in it:
-            if len(pdf) and models:
-                bins = _bins(pdf, n_features)
-                for m in models:
-                    pdf[f"m{m}"] = margin_of(pdf, bins, m, pending)
-            yield pdf
-
-    return state.mapInPandas(fn, schema)
+                if b.model not in made:
+                    size = len(b.nodes) * (len(b.features) * width + 1)
+                    made[b.model] = _Cells(size, size <= share)
+                _accumulate(b, block, rows, as_integers(g, b.bits[0]), as_integers(h, b.bits[1]), width, made[b.model])
+        for b in plan.builders:
+            if b.model in made:
+                yield from _cell_rows(b, made[b.model], width)
+        if sums:
+            keys = np.array(list(sums), np.int64)
+            v = np.array(list(sums.values()), np.int64)
+            yield _batch(model=keys[:, 0], node=keys[:, 1], feature=METRICS, bin=keys[:, 2], G=v[:, 0], H=v[:, 1], C=v[:, 2])
+        if tops:
+            v = np.array(list(tops.values()))
+            yield _batch(model=np.array(list(tops)), node=TOP, feature=METRICS, bin=0, lower=v[:, 0], upper=v[:, 1],
+                         G=np.zeros(len(v)), H=np.zeros(len(v)), C=np.zeros(len(v)))
+
+    columns = ["fold", "y", "bins"] + (["kh"] if plan.subsample < 1 else [])
+    return state.mapped(run, CELLS, *columns)
+
+
+def level_cells(partials: DataFrame, parents: DataFrame | None = None, derived: list[tuple[int, int, int]] = ()) -> DataFrame:
+    """Cells (and metrics) of a level, summed.  ``parents``: the cells of the level before; ``derived``:
+    (model, parent node, child node) of the nodes that are a parent less its other child."""
+    if derived:
+        told = partials.sparkSession.createDataFrame(list(derived), "model int, node int, child int")
+        above = parents.where(F.col("feature") > METRICS).join(F.broadcast(told), ["model", "node"])  # a row per open node
+        nothing = {c: F.lit(None).cast(t) for c, t in (("dir", "int"), ("lower", "double"), ("upper", "double"))}
+        partials = partials.unionByName(above.drop("node").withColumnRenamed("child", "node").withColumns(nothing).select(_NAMES))
+    summed = partials.repartition("model", "node", "feature").groupBy("model", "node", "feature", "bin").agg(
+        *[F.max(c).alias(c) for c in ("dir", "lower", "upper")], *[F.sum(c).alias(c) for c in "GHC"])
+    # Cells that came out empty are kept where they tell a node's bounds and a feature's direction.
+    return summed.where((F.col("C") != 0) | F.col("lower").isNotNull() | (F.col("feature") == METRICS))

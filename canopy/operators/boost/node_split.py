@@ -1,96 +1,100 @@
-"""Split search for the training loop.
-
-Runs as ``groupBy("model", "node", "feature").applyInPandas`` over cells summed
-over the tasks, so a group holds one feature's bins at one node, whatever the
-number of rows and tasks (given more features of a node, it picks the best).  It
-scores every prefix split (queries m7, m8 and the stumps check it against DuckDB): prefix sums in bin order (categorical:
-by G / (H + lambda)), missing bin sent left or right, child weights clamped to
-the node's bounds, monotone direction enforced, ties to the lower feature,
-earlier position, missing-right.  A feature's bins add up to the node's totals;
-feature -1 gives them for nodes without features.  Node -1 carries the validation
-metric sums.
+"""Split search over a level's cells (M7-M10, M14, M15), in the JVM.
+
+Windows over (model, node, feature) give the totals, the missing bin and the sums up to each cell, in bin order
+or, for categories, by G / (H + lambda).  Every prefix is a candidate, with the missing bin sent right or
+left; child weights are clamped to the node's bounds, and the monotone direction is enforced.
+The greatest loss change wins, ties go to the lower feature, the earlier position, missing right.
+Sums are integers until a candidate is weighed, so the result is the same for any partitioning.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-K_RT_EPS = 1e-6  # a split must reduce the loss by more than this
+from .histogram import METRICS, TOTALS
 
-OUT_SCHEMA = ("model int, node int, kind int, Gt double, Ht double, Ct long, feature int, "
-              "bin int, is_cat boolean, dl boolean, pos int, loss_chg double, GL double, "
-              "HL double, CL long, GR double, HR double, CR long, wl double, wr double, "
-              "left_bins array<int>")
+K_RT_EPS = 1e-6  # a split must reduce the loss by more than this
 
-_COLS = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
+_BEST = ["feature", "bin", "pos", "dl", "loss_chg", "GL", "HL", "CL", "GR", "HR", "CR", "wl", "wr"]
 
 
-def _gain_w(g, h, w, lam):
+def _gain(g: Column, h: Column, w: Column, lam: float) -> Column:
     return -(2.0 * g * w + (h + lam) * w * w)
 
 
-def make_split_fn(reg_lambda: float, min_child_weight: float):
-    lam, mcw = float(reg_lambda), float(min_child_weight)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, node = int(pdf["model"].iat[0]), int(pdf["node"].iat[0])
-        base = {c: None for c in _COLS}
-        base.update(model=model, node=node)
-        if node < 0:     # metric sums
-            out = dict(base, kind=1, Gt=float(pdf["G"].sum()), Ht=float(pdf["H"].sum()),
-                       Ct=int(pdf["C"].sum()))
-            return pd.DataFrame([out], columns=_COLS)
-        agg = pdf.groupby(["feature", "bin", "dir", "is_cat", "lower", "upper"], sort=True,
-                          as_index=False)[["G", "H", "C"]].sum()
-        tot = agg[agg["feature"] == agg["feature"].iat[0]]     # -1, or one feature's bins
-        Gt, Ht, Ct = float(tot["G"].sum()), float(tot["H"].sum()), int(tot["C"].sum())
-        best = None
-        lo = float(agg["lower"].iat[0]) if len(agg) else -np.inf
-        hi = float(agg["upper"].iat[0]) if len(agg) else np.inf
-        wp = min(max(-Gt / (Ht + lam), lo), hi)
-        parent = _gain_w(Gt, Ht, wp, lam)
-        for f, fr in agg[agg["feature"] >= 0].groupby("feature", sort=True):
-            miss = fr[fr["bin"] < 0]
-            Gm, Hm, Cm = float(miss["G"].sum()), float(miss["H"].sum()), int(miss["C"].sum())
-            v = fr[fr["bin"] >= 0]
-            if v.empty:
-                continue
-            bins = v["bin"].to_numpy()
-            g, h, c = v["G"].to_numpy(), v["H"].to_numpy(), v["C"].to_numpy()
-            is_cat = bool(v["is_cat"].iat[0])
-            d = int(v["dir"].iat[0])
-            order = np.lexsort((bins, g / (h + lam))) if is_cat else np.argsort(bins, kind="stable")
-            bins, g, h, c = bins[order], g[order], h[order], c[order]
-            GL0, HL0, CL0 = np.cumsum(g), np.cumsum(h), np.cumsum(c)
-            for dl in ((False, True) if Cm > 0 else (False,)):
-                GL = GL0 + (Gm if dl else 0.0)
-                HL = HL0 + (Hm if dl else 0.0)
-                CL = CL0 + (Cm if dl else 0)
-                GR, HR, CR = Gt - GL, Ht - HL, Ct - CL
-                wl = np.clip(-GL / (HL + lam), lo, hi)
-                wr = np.clip(-GR / (HR + lam), lo, hi)
-                loss = _gain_w(GL, HL, wl, lam) + _gain_w(GR, HR, wr, lam) - parent
-                ok = (HL >= mcw) & (HR >= mcw) & (CL > 0) & (CR > 0) & (loss > K_RT_EPS)
-                if d != 0:
-                    ok &= d * (wr - wl) >= 0
-                if not ok.any():
-                    continue
-                lc = np.where(ok, loss, -np.inf)
-                i = int(np.argmax(lc))      # first maximum = earliest position
-                cand = (lc[i], -int(f), -i, not dl)
-                if best is None or cand > best[0]:
-                    best = (cand, dict(
-                        feature=int(f), bin=int(bins[i]), is_cat=is_cat, dl=bool(dl), pos=i + 1,
-                        loss_chg=float(lc[i]), GL=float(GL[i]), HL=float(HL[i]), CL=int(CL[i]),
-                        GR=float(GR[i]), HR=float(HR[i]), CR=int(CR[i]), wl=float(wl[i]),
-                        wr=float(wr[i]),
-                        left_bins=[int(b) for b in bins[: i + 1]] if is_cat else None))
-        if best is None and agg["feature"].iat[0] >= 0:     # the totals come with feature -1
-            return pd.DataFrame([], columns=_COLS)
-        out = dict(base, kind=0, Gt=Gt, Ht=Ht, Ct=Ct)
-        if best is not None:
-            out.update(best[1])
-        return pd.DataFrame([out], columns=_COLS)
-
-    return fn
+def _clamp(w: Column) -> Column:
+    return F.greatest(F.least(w, "upper"), "lower")
+
+
+def _filled() -> Column:
+    return (F.col("bin") >= 0) & (F.col("C") > 0)
+
+
+def _scaled(cells: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
+    """With each model's unit of G and H."""
+    units = [F.element_at(F.array(*[F.lit(2.0 ** -b[k]) for b in bits]), F.col("model") + 1) for k in (0, 1)]
+    return cells.withColumns({"unit_g": units[0], "unit_h": units[1]})
+
+
+def placed(cells: DataFrame, bits: list[tuple[int, int]], categorical: list[int], reg_lambda: float) -> DataFrame:
+    """Cells of a level with totals, missing sums, place in the candidates' order and sums up to there."""
+    own = _scaled(cells.where(F.col("feature") >= TOTALS), bits)
+    ratio = F.col("G") * F.col("unit_g") / (F.col("H") * F.col("unit_h") + reg_lambda)
+    order = F.when(F.col("bin") < 0, float("-inf")).when(F.col("feature").isin(categorical), ratio).otherwise(F.col("bin"))
+    group = Window.partitionBy("model", "node", "feature")
+    run = group.orderBy(order, "bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    missing = F.col("bin") < 0
+    return own.select(
+        "*", F.sum(F.when(_filled(), 1).otherwise(0)).over(run).cast("int").alias("pos"),
+        *[F.sum(c).over(group).alias(f"{c}t") for c in "GHC"],
+        *[F.sum(F.when(missing, F.col(c)).otherwise(0)).over(group).alias(f"{c}m") for c in "GHC"],
+        *[F.sum(F.when(missing, 0).otherwise(F.col(c))).over(run).alias(f"{c}0") for c in "GHC"],
+        *[F.max(c).over(group).alias(f"{c}_") for c in ("dir", "lower", "upper")]).drop("dir", "lower", "upper").withColumnsRenamed(
+            {"dir_": "dir", "lower_": "lower", "upper_": "upper"})
+
+
+def candidates(spots: DataFrame, reg_lambda: float, min_child_weight: float) -> DataFrame:
+    """Every prefix split, ``ok`` if it may be taken."""
+    lam = float(reg_lambda)
+    both = spots.withColumn("dl", F.explode(F.array(F.lit(False), F.lit(True)))).where(
+        (F.col("feature") < 0) & ~F.col("dl") | (F.col("feature") >= 0) & _filled() & (~F.col("dl") | (F.col("Cm") > 0)))
+    left = {f"{c}l": F.col(f"{c}0") + F.when(F.col("dl"), F.col(f"{c}m")).otherwise(0) for c in "GHC"}
+    units = {"G": F.col("unit_g"), "H": F.col("unit_h")}
+    both = both.withColumns(left).select(
+        "model", "node", "feature", "bin", "pos", "dl", "dir", "lower", "upper", "Gt", "Ht", "Ct",
+        *[(F.col(f"{c}l") * units[c]).alias(f"{c}L") for c in "GH"], F.col("Cl").alias("CL"),
+        *[((F.col(f"{c}t") - F.col(f"{c}l")) * units[c]).alias(f"{c}R") for c in "GH"], (F.col("Ct") - F.col("Cl")).alias("CR"),
+        (F.col("Gt") * units["G"]).alias("Gn"), (F.col("Ht") * units["H"]).alias("Hn"))
+    weighed = both.withColumns({
+        "wl": _clamp(-F.col("GL") / (F.col("HL") + lam)), "wr": _clamp(-F.col("GR") / (F.col("HR") + lam)),
+        "wp": _clamp(-F.col("Gn") / (F.col("Hn") + lam))})
+    loss = (_gain(F.col("GL"), F.col("HL"), F.col("wl"), lam) + _gain(F.col("GR"), F.col("HR"), F.col("wr"), lam)
+            - _gain(F.col("Gn"), F.col("Hn"), F.col("wp"), lam))
+    ok = ((F.col("feature") >= 0) & (F.col("HL") >= min_child_weight) & (F.col("HR") >= min_child_weight) & (F.col("CL") > 0)
+          & (F.col("CR") > 0) & (F.col("loss_chg") > K_RT_EPS) & (F.col("dir") * (F.col("wr") - F.col("wl")) >= 0))
+    return weighed.withColumn("loss_chg", loss).withColumn("ok", ok)
+
+
+def best_splits(cells: DataFrame, bits: list[tuple[int, int]], categorical: list[int], reg_lambda: float,
+                min_child_weight: float, by: tuple[str, ...] = ("model", "node")) -> DataFrame:
+    """Per group: the totals Gn, Hn, Ct and the best split's columns (null: none)."""
+    found = candidates(placed(cells, bits, categorical, reg_lambda), reg_lambda, min_child_weight)
+    rank = F.when(F.col("ok"), F.struct("loss_chg", -F.col("feature"), -F.col("pos"), ~F.col("dl")))
+    inner = [c for c in _BEST if c not in by]
+    return found.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("Gn", "Hn", "Ct")],
+                                  F.max_by(F.struct(*inner), rank).alias("_best")).select(*by, "Gn", "Hn", "Ct", "_best.*")
+
+
+def left_categories(cells: DataFrame, bits: list[tuple[int, int]], categorical: list[int], reg_lambda: float,
+                    chosen: list[tuple[int, int, int, int]]) -> DataFrame:
+    """(model, node, left): the category codes up to the chosen place of (model, node, feature, pos) rows."""
+    want = cells.sparkSession.createDataFrame(chosen, "model int, node int, feature int, last int")
+    some = cells.join(F.broadcast(want), ["model", "node", "feature"])  # a row per open node
+    spots = placed(some, bits, categorical, reg_lambda)
+    return spots.where(_filled() & (F.col("pos") <= F.col("last"))).groupBy("model", "node").agg(
+        F.collect_list("bin").alias("left"))
+
+
+def metric_rows(cells: DataFrame) -> DataFrame:
+    return cells.where(F.col("feature") == METRICS).select("model", "node", "bin", "lower", "upper", "G", "H", "C")

@@ -27,6 +27,23 @@ class Objective:
             return float(np.log(max(mean_y, 1e-16)))
         return float(mean_y)
 
+    def bounds(self, margin: float, low: float, high: float) -> tuple[float, float]:
+        """Largest gradient and hessian of labels in low..high at one margin."""
+        g, h = self.grad_hess(np.full(2, margin), np.array([low, high]))
+        return float(np.abs(g).max()), float(h.max())
+
+    def bounds_after(self, top: tuple[float, float], high: float, least: float, most: float) -> tuple[float, float]:
+        """Bounds of gradient and hessian after a tree with values in least..most is added to margins whose
+        bounds are ``top``; ``high`` is the largest label."""
+        g, h = top
+        if not self.log_link:
+            return g + max(abs(least), abs(most)), h
+        if self.name == "count:poisson":
+            mean = h * np.exp(max(most, 0.0) - POISSON_MAX_DELTA_STEP)
+            return float(max(mean, high)), float(h * np.exp(max(most, 0.0)))
+        ratio = float(h * np.exp(max(-least, 0.0)))
+        return max(1.0, ratio), ratio
+
     def predict(self, margin: np.ndarray) -> np.ndarray:
         return np.exp(np.clip(margin, -MARGIN_CLIP, MARGIN_CLIP)) if self.log_link else margin
 

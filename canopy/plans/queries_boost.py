@@ -15,11 +15,10 @@ from ..operators import explain, select
 from ..operators.boost import objectives
 from ..operators.boost.bins import feature_spec
 from ..operators.boost.fit import BoostParams, ModelSpec, Trainer
-from ..operators.boost.histogram import Builder, PassPlan, aggregate, run_pass
-from ..operators.boost.node_split import OUT_SCHEMA, make_split_fn
-from ..operators.boost.tree import Tree
+from ..operators.boost.node_split import best_splits
 from ..operators.boost.score import predict
 from ..operators.folds import assign_folds
+from ..session import checkpoint_dir, scratch_path
 from ..sources import tables
 from . import study
 from .oracle import charge_folds_sql
@@ -42,7 +41,6 @@ def _folded(spark, sf_dir):
     """The prepared charge table (fixture L1 + folds), written once per session
     as parquet in the checkpoint folder and read back by every study query -
     the preprocess -> experiment hand-off of the original, as a shared table."""
-    from ..session import scratch_path
     from ..sources.sinks import write_processed
     k = (id(spark.sparkContext), sf_dir)
     if k not in _PREPARED:
@@ -57,25 +55,40 @@ def _probs(n):
     return [i / n for i in range(1, n)]
 
 
-def _edges_sql(feature: str) -> str:
-    q = ", ".join(repr(p) for p in _probs(SQL_BINS))
+def _edges_sql(feature: str, bins: int = SQL_BINS) -> str:
+    q = ", ".join(repr(p) for p in _probs(bins))
     return (f"(select list_sort(list_distinct(quantile_cont({feature}, [{q}]))) "
             f"from _folded)")
 
 
 # ---------------------------------------------------------------- M3 bins
-@register("m3_feature_bins", charge_folds_sql(cols=", " + ", ".join(NUMERIC)) + "".join(
-    [f", e_{f} as (select '{f}' as feature, {_edges_sql(f)} as e)" for f in NUMERIC]) + """
+def _bins_sql(bins: int) -> str:
+    return charge_folds_sql(cols=", " + ", ".join(NUMERIC)) + "".join(
+        [f", e_{f} as (select '{f}' as feature, {_edges_sql(f, bins)} as e)" for f in NUMERIC]) + """
 select feature, cast(i - 1 as integer) as cut_ix, round(e[i], 6) as cut
 from (""" + " union all ".join(f"select * from e_{f}" for f in NUMERIC) + """) x,
-     range(1, len(e) + 1) r(i)""")
-def q_m3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = feature_spec(_folded(spark, sf_dir), NUMERIC, SQL_BINS, exact=True)
+     range(1, len(e) + 1) r(i)"""
+
+
+def _cuts(spark: SparkSession, spec) -> DataFrame:
     rows = [(f, i, round(float(v), 6)) for f, e in zip(spec.names, spec.edges)
             for i, v in enumerate(e)]
     return spark.createDataFrame(rows, "feature string, cut_ix int, cut double")
 
 
+@register("m3_feature_bins", _bins_sql(SQL_BINS))
+def q_m3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cuts(spark, feature_spec(_folded(spark, sf_dir), NUMERIC, SQL_BINS))
+
+
+@register("m3_trainer_bins", _bins_sql(256))
+def q_m3_trainer(spark, sf_dir):
+    """The cut points that ``Trainer`` finds with its default of 256 bins."""
+    tr = Trainer(_folded(spark, sf_dir), "row_key", "fold", "charge", NUMERIC, [], BoostParams())
+    tr.state.close()
+    return _cuts(spark, tr.spec)
+
+
 # ---------------------------------------------------------------- M4 base score
 @register("m4_base_margin", charge_folds_sql(cols=", charge") + """
 select cast(k as integer) as holdout, round(ln(avg(charge)), 9) as base_margin
@@ -86,6 +99,7 @@ def q_m4(spark, sf_dir):
     p = BoostParams(objective="reg:gamma")
     specs = [ModelSpec(f"h{k}", "h", k, 1, early_stop=False, n_trees=1) for k in range(1, 7)]
     tr = Trainer(_folded(spark, sf_dir), "row_key", "fold", "charge", [], specs, p)
+    tr.state.close()
     return spark.createDataFrame([(m.holdout, round(b, 9)) for m, b in zip(specs, tr.base)],
                                  "holdout int, base_margin double")
 
@@ -127,42 +141,40 @@ def q_m5(spark, sf_dir):
 
 # ---------------------------------------------------------------- M6 root histogram
 def _root_hist(spark, sf_dir, dirs=None, dense_max_cells=None):
-    """Aggregated root histogram of one squared-error model (all training rows,
-    no subsampling, exact 16-bin cut points)."""
-    df = _folded(spark, sf_dir)
-    p = BoostParams(objective="reg:squarederror", subsample=1.0, colsample_bytree=1.0,
-                    max_bins=SQL_BINS)
-    tr = Trainer(df, "row_key", "fold", "charge", NUMERIC, [], p,
-                 spec=feature_spec(df, NUMERIC, SQL_BINS, exact=True))
-    mu = df.where("fold <> 6").agg(F.avg("charge")).first()[0]
-    state = tr.state.withColumn("m0", F.lit(float(mu)))
-    d = np.array([(dirs or {}).get(f, 0) for f in NUMERIC], np.int32)
-    b = Builder(0, 6, Tree.empty(1), 0, np.array([0]), np.array([-np.inf]), np.array([np.inf]),
-                np.arange(len(NUMERIC)), d)
-    plan = PassPlan("reg:squarederror", len(NUMERIC), tr.spec.max_bins + 1,
-                    np.zeros(len(NUMERIC), bool), 6, 1.0, 42, 0, {}, [], [b])
-    if dense_max_cells is not None:
-        plan.dense_max_cells = dense_max_cells
-    return aggregate(run_pass(state, plan))
+    """(cells, scales) of the first tree's root: one squared-error model, all training rows, 16 bins.  The start
+    margin is rounded, so that both engines have the very same gradients."""
+    p = BoostParams(objective="reg:squarederror", subsample=1.0, colsample_bytree=1.0, max_bins=SQL_BINS)
+    m = ModelSpec("root", "root", 6, 1, dirs or {}, early_stop=False, n_trees=1)
+    tr = Trainer(_folded(spark, sf_dir), "row_key", "fold", "charge", NUMERIC, [m], p)
+    tr.base = [round(tr.base[0], 6)]
+    tr.top = {0: tr.obj.bounds(tr.base[0], tr.low, tr.high)}
+    checkpoint_dir(spark)
+    cells = tr.root_cells(dense_max_cells).checkpoint()
+    tr.state.close()
+    return cells, tr.bits()
 
 
 _HIST_SQL = charge_folds_sql(cols=", charge, " + ", ".join(NUMERIC)) + "".join(
     [f", e_{f} as (select {_edges_sql(f)} as e)" for f in NUMERIC]) + \
-    ", mu as (select avg(charge) as mu from _folded where fold <> 6)" + \
-    ", rows_ as (select r.*, r.charge as y, (select mu from mu) - r.charge as g from _folded r where fold <> 6)" + \
+    ", mu as (select round(avg(charge) filter (where fold <> 6), 6) as mu, count(*) as n, min(charge) as low, max(charge) as high from _folded)" + \
+    ", bits as (select least(38, 61 - ceil(log2(n))) - ceil(log2(greatest(abs(mu - low), abs(mu - high)))) as b from mu)" + \
+    ", rows_ as (select r.*, cast(round_even(((select mu from mu) - r.charge) * pow(2, (select b from bits)), 0) as bigint) as q " + \
+    "from _folded r where fold <> 6)" + \
     ", hist as (" + " union all ".join(
         f"select {i} as feature, case when {f} is null then -1 else "
         f"cast(len(list_filter((select e from e_{f}), lambda x: x <= {f})) as integer) end as bin, "
-        f"sum(g) as G, cast(count(*) as double) as H, count(*) as C from rows_ group by 2"
+        f"cast(cast(sum(q) as bigint) as double) * pow(2, -(select b from bits)) as G, cast(count(*) as double) as H, "
+        f"count(*) as C from rows_ group by 2"
         for i, f in enumerate(NUMERIC)) + ")\n"
 
 
 @register("m6_root_histogram", _HIST_SQL + """
-select cast(feature as integer) as feature, cast(bin as integer) as bin, round(G, 3) as G,
-       round(H, 3) as H, C from hist""")
+select cast(feature as integer) as feature, cast(bin as integer) as bin, G, H, C from hist""")
 def q_m6(spark, sf_dir):
-    h = _root_hist(spark, sf_dir).where("feature >= 0")
-    return h.select("feature", "bin", F.round("G", 3).alias("G"), F.round("H", 3).alias("H"), "C")
+    """Exact sums: compared without rounding."""
+    cells, bits = _root_hist(spark, sf_dir)
+    g, h = (2.0 ** -b for b in bits[0])
+    return cells.where("feature >= 0").select("feature", "bin", (F.col("G") * g).alias("G"), (F.col("H") * h).alias("H"), "C")
 
 
 def _split_sql(dirs: dict) -> str:
@@ -200,9 +212,9 @@ select cast(feature as integer) as feature, cast(bin as integer) as bin, dl,
 
 
 def _best_per_feature(spark, sf_dir, dirs):
-    """The training loop's own search, one group per feature, before the features are compared."""
-    cells = _root_hist(spark, sf_dir, dirs).where("feature >= 0")
-    found = cells.groupBy("model", "node", "feature").applyInPandas(make_split_fn(1.0, 1.0), OUT_SCHEMA)
+    """The training loop's own search, before the features are compared."""
+    cells, bits = _root_hist(spark, sf_dir, dirs)
+    found = best_splits(cells, bits, [], 1.0, 1.0, ("model", "node", "feature")).where("pos is not null")
     return found.select("feature", "bin", "dl", F.round(F.col("loss_chg") / 1e6, 3).alias("loss_chg_m"),
                         F.round("wl", 3).alias("wl"), F.round("wr", 3).alias("wr"), "CL", "CR")
 
@@ -327,7 +339,6 @@ def q_m20(spark, sf_dir):
 def q_s4(spark, sf_dir):
     """K2 + S4: grid results written partitioned by dataset, read back with a
     dataset filter (partition pruning)."""
-    from ..session import scratch_path
     from ..sources.sinks import write_results
     from ..sources.text import read_results
     path = scratch_path(spark, "results")
@@ -346,7 +357,6 @@ def q_k3(spark, sf_dir):
 def q_m22(spark, sf_dir):
     """M22 over two prepared tables (charge from lineitem, sale price from
     orders), one config row each plus one that fails (unknown objective)."""
-    from ..session import scratch_path
     from . import datasets as ds
 
     def load(name):

@@ -110,7 +110,7 @@ def _cv(spark, sf_dir):
     best rounds differ and the monotone direction of quantity bites."""
     df = _noise(spark, sf_dir)
     return study.cross_validate(df, "row_key", "target", NOISE, 1, PARAMS, {"quantity": 1},
-                                spec=feature_spec(df, NOISE, SQL_BINS, exact=True))
+                                spec=feature_spec(df, NOISE, SQL_BINS))
 
 
 _CV_SQL = stumps_sql("noise", "target", NOISE, {"quantity": 1}, models="1, 2, 3, 4, 5, 6") + _curve_sql()
@@ -139,7 +139,7 @@ def q_cv(spark, sf_dir):
 
 def _charge_model(spark, sf_dir, n_trees=ROUNDS, masked=(), mask_trees=0, before=None):
     df = _folded(spark, sf_dir)
-    spec = before.features if before else feature_spec(df, CHARGE, SQL_BINS, exact=True)
+    spec = before.features if before else feature_spec(df, CHARGE, SQL_BINS)
     first = before.models[0] if before else None
     return study.fit_final(df, "row_key", "charge", CHARGE, 1, n_trees, PARAMS, masked=masked, mask_trees=mask_trees,
                            init_trees=first.trees if first else (), init_base=first.base_margin if first else None, spec=spec)

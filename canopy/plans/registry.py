@@ -47,3 +47,4 @@ def _load_all() -> None:
     from . import queries_boost  # noqa: F401
     from . import queries_select  # noqa: F401
     from . import queries_stumps  # noqa: F401
+    from . import queries_trees  # noqa: F401

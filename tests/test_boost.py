@@ -20,12 +20,12 @@ def _charge(spark, sf):
 
 def test_histogram_bins_sum_to_node_totals(spark):
     from canopy.plans.queries_boost import _root_hist
-    h = _root_hist(spark, SF_SMALL).collect()
+    h = _root_hist(spark, SF_SMALL)[0].collect()
     tot = [r for r in h if r["feature"] == -1][0]
     for f in range(4):
         cells = [r for r in h if r["feature"] == f]
         assert sum(r["C"] for r in cells) == tot["C"]
-        assert sum(r["G"] for r in cells) == pytest.approx(tot["G"], rel=1e-9, abs=1e-6)
+        assert sum(r["G"] for r in cells) == tot["G"]
 
 
 @pytest.fixture(scope="module")
@@ -149,20 +149,7 @@ def test_train_transform_touches_training_rows_only(spark):
     p = BoostParams(objective="reg:squarederror", learning_rate=0.3, max_trees=3)
     plain = fit_final(df, "row_key", "charge", FEATS, 2, 2, p).models[0]
     same = fit_final(df, "row_key", "charge", FEATS, 2, 2, p, train_transform=lambda d: d).models[0]
-    # approximate cut points may move a little with the partitioning of the input
-    assert same.mape_at(2) == pytest.approx(plain.mape_at(2), rel=1e-3)
+    assert same.mape_at(2) == plain.mape_at(2)
     zeroed = fit_final(df, "row_key", "charge", FEATS, 2, 2, p,
                        train_transform=lambda d: d.withColumn("charge", F.lit(0.0))).models[0]
     assert zeroed.mape_at(2) != pytest.approx(plain.mape_at(2), rel=1e-6)
-
-
-def test_sparse_histogram_path_equals_dense(spark):
-    from canopy.plans.queries_boost import _root_hist
-    key = ["feature", "bin"]
-    dense = {tuple(r[k] for k in key): (r["G"], r["C"]) for r in _root_hist(spark, SF_SMALL).collect()}
-    sparse = {tuple(r[k] for k in key): (r["G"], r["C"])
-              for r in _root_hist(spark, SF_SMALL, dense_max_cells=0).collect()}
-    assert dense.keys() == sparse.keys()
-    for k in dense:
-        assert dense[k][1] == sparse[k][1]
-        assert dense[k][0] == pytest.approx(sparse[k][0], rel=1e-9, abs=1e-6)

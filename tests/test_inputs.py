@@ -47,7 +47,7 @@ def test_bad_labels_and_folds_are_errors(spark):
 
 def test_booleans_split_and_nan_is_missing(spark):
     df = frame(spark)
-    spec = feature_spec(df, ["flag", "x"], 4, exact=True)
+    spec = feature_spec(df, ["flag", "x"], 4)
     assert not any(spec.is_cat) and not np.isnan(np.concatenate(spec.edges)).any()
     assert with_missing(df, ["x"]).where("x is null").count() == 9
     fitted = fit_final(df, "k", "y", ["flag", "x"], 1, 1, BoostParams(subsample=1.0, colsample_bytree=1.0, learning_rate=1.0, max_bins=4))
