@@ -179,18 +179,79 @@ def read_back(formatted: Column) -> Column:
     return let(F.split(formatted, _END, -1), lambda ps: let(F.slice(ps, 1, F.size(ps) - 1), turns))
 
 
+def masked(turns: str, spans: str) -> Column:
+    """The turns (of ``read_back``) whose texts the loss spans name, in order.
+
+    Spans and turns are sorted together, so that a span stands just before its turn; the cost follows the sort."""
+    mark = lambda x, tag, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(tag).alias("tag"), i.alias("i"))
+    both = F.array_sort(F.concat(F.transform(spans, lambda x: mark(x, 0, F.lit(-1))),
+                                 F.transform(turns, lambda x, i: mark(x, 1, i))))
+    of = let(both, lambda c: F.filter(F.transform(c, lambda x, j: F.when(
+        (x["tag"] == 1) & (F.get(c, j - 1)["tag"] == 0) & (F.get(c, j - 1)["start"] == x["start"])
+        & (F.get(c, j - 1)["end"] == x["end"]), x["i"]).otherwise(-1)), lambda i: i >= 0))
+    return F.transform(of, lambda i: F.get(turns, i))
+
+
 def records_of(rows: DataFrame) -> DataFrame:
     """(conv_id, record) from rows by turn (conv_id, turn, role, text): one JSON record a conversation.
 
-    Turns are ordered by turn, role, text; null texts and roles are empty.  A user and an assistant turn with texts are a
-    prompt and a completion, all others messages.  A conversation is one record, and so in one task: its
-    hash is of its whole text."""
+    Turns are ordered by turn, role, text; null texts and roles are empty.  Conversations are written in the layouts that
+    can hold them, dealt by a hash of their id: lists of turns hold any, pairs of fields a user and an assistant turn
+    with texts, and the layouts with a system field a system turn with text before either.  An instruction with
+    an input holds what its two parts, joined by a blank line, give back.  A conversation is one record, and so in one
+    task: its hash is of its whole text."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    t = F.col("t")
-    pair = (F.size(t) == 2) & (F.get(t, F.lit(0))["role"] == "user") & (F.get(t, F.lit(1))["role"] == "assistant") & (
-        F.get(t, F.lit(0))["content"] != "") & (F.get(t, F.lit(1))["content"] != "")
-    prompt = F.to_json(F.struct(F.get(t, F.lit(0))["content"].alias("prompt"), F.get(t, F.lit(1))["content"].alias("completion")))
-    messages = F.to_json(F.struct(F.transform(t, lambda x: F.struct(
-        x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
-    return convs.select("conv_id", F.when(pair, prompt).otherwise(messages).alias("record"))
+    head = F.get("t", F.lit(0))
+    system = (F.size("t") > 1) & (head["role"] == "system") & (head["content"] != "")
+    convs = convs.select("conv_id", F.when(system, head["content"]).alias("system"), F.when(system, F.slice("t", 2, F.size("t"))).otherwise(
+        F.col("t")).alias("rest"))
+    first, second = F.get("rest", F.lit(0)), F.get("rest", F.lit(1))
+    pair = (F.size("rest") == 2) & (first["role"] == "user") & (second["role"] == "assistant") & (
+        first["content"] != "") & (second["content"] != "")
+    # No role may stand in a list that another name stands for there.
+    plain = ~F.exists("rest", lambda x: x["role"].isin(list(ROLES)))
+    split = F.instr(first["content"], "\n\n")
+    convs = convs.withColumns({"pair": pair, "cut": F.when(pair & (split > 1) & (F.length(first["content"]) > split + 1), split)})
+    may = [F.when(_may_hold(m, plain), F.lit(m.name)) for m in MAPPINGS]
+    convs = convs.withColumn("layouts", F.filter(F.array(*may), lambda x: x.isNotNull()))
+    convs = convs.withColumn("layout", F.when(F.size("layouts") > 0, F.get("layouts", F.pmod(
+        F.xxhash64("conv_id"), F.size("layouts")).cast("int"))).when(
+        F.col("system").isNull(), "messages").otherwise("messages_system"))
+    record = F.lit(None).cast("string")
+    for m in MAPPINGS:
+        record = F.when(F.col("layout") == m.name, _written(m)).otherwise(record)
+    return convs.select("conv_id", record.alias("record"))
+
+
+def _may_hold(m: Mapping, plain: Column) -> Column:
+    held = F.col("system").isNotNull() if m.system else F.col("system").isNull()
+    if m.list_of:
+        return held & (F.size("rest") > 0) & plain
+    return held & F.col("pair") & (F.col("cut").isNotNull() if m.name.startswith("instruction_input") else F.lit(True))
+
+
+def _written(m: Mapping) -> Column:
+    """The conversation's record in a mapping's layout.  Assistants of the layouts that name them so are 'gpt' and
+    'bot', users 'human'."""
+    system = [F.col("system")] if m.system else []
+    if m.list_of:
+        top, role, text = m.list_of
+        names = {"from": {"user": "human", "assistant": "gpt"}, "speaker": {"user": "human", "assistant": "bot"}}.get(role, {})
+
+        def named(r: Column) -> Column:
+            out = r
+            for own, other in names.items():
+                out = F.when(r == own, other).otherwise(out)
+            return out
+
+        turns = F.transform("rest", lambda x: F.struct(named(x["role"]).alias(role), x["content"].alias(text)))
+        return F.to_json(F.struct(*system, turns.alias(top)))
+    fields = []
+    for (who, parts), turn in zip(m.fields, (F.get("rest", F.lit(0)), F.get("rest", F.lit(1)))):
+        if len(parts) == 1:
+            fields.append(turn["content"].alias(parts[0]))
+        else:  # the text before the first blank line, and after it
+            fields += [F.substring(turn["content"], F.lit(1), F.col("cut") - 1).alias(parts[0]),
+                       F.substring(turn["content"], F.col("cut") + 2, F.lit(2147483647)).alias(parts[1])]
+    return F.to_json(F.struct(*system, *fields))

@@ -178,7 +178,7 @@ class Adam:
             p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + F(1e-6))
 
 
-def train(p: dict, layout: Layout, symbols: np.ndarray, off: np.ndarray, rate: float, lanes: int = 256,
+def train(p: dict, layout: Layout, symbols: np.ndarray, off: np.ndarray, rate: float, lanes: int = 512,
           opt: Adam | None = None) -> Adam:
     """One pass of truncated backpropagation over the documents; ``p`` is changed in place."""
     opt = opt or Adam(p, rate)

@@ -7,10 +7,12 @@
    The number of buckets follows the traffic.
 3. The model (``gru``): the ``VOCABULARY`` most frequent words are symbols, the others are classes by
    shape, in which a word has its smoothed corpus count's share.  Class and word biases start from
-   whole-corpus counts.  Recurrent weights start from one block's training documents (whole texts, up to
-   ``START_WORDS`` words, fitted in a task), then every task learns from all training documents of all
-   its blocks, and the tasks' weights are averaged by tokens.
-4. Each block is scored with its counts; a document's state is carried over all its windows.
+   whole-corpus counts.
+4. Every training document goes to a shard by a hash of its id and text, and stands there in the order of that
+   hash; the number of shards follows the corpus.  Recurrent weights start from the first part of one shard.  In
+   ``ROUNDS`` rounds each shard then learns its next part from the weights that all share, and the shards' weights
+   are averaged as integers, so that neither partitions nor the order of tasks changes them.
+5. Each block is scored with its counts; a document's state is carried over all its windows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,12 @@ from . import text as tx
 from .store import partitions, stored
 
 VOCABULARY, CLASSES, SHAPES = 1536, 24, 32
-START_WORDS, START_PASSES = 400_000, 2
+#: Tokens of a shard, and the learning rates: of the start's passes, and of the rounds.
+SHARD_TOKENS = 2_000_000
+START_RATES, RATES = (0.006, 0.002), (0.003, 0.002, 0.001)
+ROUNDS = len(RATES)
+#: Weights are averaged in units of this.
+UNIT = 2.0 ** -40
 BLOCK = 5 << 20
 #: Texts handed to a task at once.
 BATCH_ROWS = 1600
@@ -57,6 +64,16 @@ def tokenise(data: np.ndarray, off: np.ndarray):
     return h, shape.astype(np.uint8), first
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int, kind) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     """The rows one at a time, as a block's row is large."""
     for i in range(batch.num_rows):
@@ -76,10 +93,12 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name]), pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())),
                  pa.array([part.column("held").to_pylist()], pa.list_(pa.bool_())),
+                 pa.array([part.column("mark").to_pylist()], pa.list_(pa.int64())),
                  pa.array([len(words)], pa.int64()),
-                 *(pa.array([x.tobytes()], pa.binary()) for x in (
-                     first.astype(np.int64), index.astype(np.uint32), words, shape[at], counts))],
-                ["block", "ids", "held", "distinct", "first", "index", "words", "shapes", "counts"])
+                 *(pa.array([x], pa.binary()) for x in (
+                     first.astype(np.int64).tobytes(), _packed(index.astype(np.uint32)), words.tobytes(),
+                     shape[at].tobytes(), counts.tobytes()))],
+                ["block", "ids", "held", "marks", "distinct", "first", "index", "words", "shapes", "counts"])
             name += 1
 
 
@@ -187,64 +206,128 @@ def _shaped(flat: np.ndarray, like: dict) -> dict:
     return out
 
 
-def _training_symbols(model: Model, row: dict, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and offsets of a block's training documents; with ``limit`` the first of them, whole,
-    until they have that many words."""
-    first, index = np.frombuffer(row["first"], np.int64), np.frombuffer(row["index"], np.uint32)
-    use = np.flatnonzero(~np.array(row["held"], dtype=bool))
-    if limit is not None:
-        sizes = np.diff(first)[use]
-        use = use[np.cumsum(sizes) - sizes < limit]
-    by_word = model.symbols(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["shapes"], np.uint8))
-    part = [by_word[index[first[d]:first[d + 1]]] for d in use]
-    return model.with_ends(np.concatenate([np.zeros(0, np.int64), *part]),
-                           np.concatenate([[0], np.cumsum(np.diff(first)[use])]).astype(np.int64))
+_SHARD = pa.schema([("shard", pa.int64()), ("marks", pa.binary()), ("sizes", pa.binary()), ("symbols", pa.binary())])
+_SHARD_TYPES = "shard long, marks binary, sizes binary, symbols binary"
+
+
+def _shard_row(shard: int, marks: np.ndarray, sizes: np.ndarray, symbols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([shard], pa.int64()), *(pa.array([x], pa.binary()) for x in (
+            marks.tobytes(), sizes.tobytes(), _packed(symbols)))], schema=_SHARD)
+
+
+def _read_shard(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.frombuffer(row["sizes"], np.int64)
+    return np.frombuffer(row["marks"], np.int64), sizes, _unpacked(row["symbols"], int(sizes.sum()), np.uint16)
 
 
-def _fit_start(model: Model):
-    """The start weights, from the one block that is given."""
+def _take(symbols: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The symbols of the given documents, one after the other."""
+    start = np.cumsum(sizes) - sizes
+    n = sizes[docs]
+    return symbols[np.repeat(start[docs] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
+
+def _deal(model: Model, shards: int):
+    """A block's training documents as symbols, a row per shard."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                weights, opt = {k: v.copy() for k, v in model.weights.items()}, None
-                symbols, off = _training_symbols(model, row, START_WORDS)
-                for k in range(START_PASSES):
-                    opt = gru.train(weights, model.layout, symbols, off, 0.006 / (1 + 2 * k), lanes=128, opt=opt)
-                yield pa.RecordBatch.from_arrays([pa.array([_flat(weights).tobytes()], pa.binary())], ["weights"])
+                first = np.frombuffer(row["first"], np.int64)
+                index = _unpacked(row["index"], int(first[-1]), np.uint32)
+                by_word = model.symbols(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["shapes"], np.uint8))
+                symbols, off = model.with_ends(by_word[index], first)
+                marks, sizes = np.array(row["marks"], np.int64), np.diff(off)
+                own = (marks.view(np.uint64) % np.uint64(shards)).astype(np.int64)
+                own[np.array(row["held"], dtype=bool)] = -1
+                for s in np.unique(own[own >= 0]).tolist():
+                    docs = np.flatnonzero(own == s)
+                    yield _shard_row(s, marks[docs], sizes[docs], _take(symbols, sizes, docs).astype(np.uint16))
 
     return run
 
 
-def _train_blocks(model: Model, rate: float):
-    """One row per task: its tokens and its weights times its tokens."""
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shard (rows come sorted by it), its documents in the order of their marks."""
+    held, name = [], None
+
+    def done() -> pa.RecordBatch:
+        marks, sizes, symbols = (np.concatenate(x) for x in zip(*held))
+        # Documents alike in id and text have one mark and the same symbols.
+        order = np.lexsort((sizes, marks))
+        return _shard_row(name, marks[order], sizes[order], _take(symbols, sizes, order))
 
+    for batch in batches:
+        for row in _rows(batch):
+            if name is not None and row["shard"] != name:
+                yield done()
+                held = []
+            name = row["shard"]
+            held.append(_read_shard(row))
+    if held:
+        yield done()
+
+
+def _learn(model: Model, part: int, parts: int, rates: tuple[float, ...]):
+    """Per shard its tokens of a part, and the weights that it learns from them (a pass per rate) in units."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = {k: v.copy() for k, v in model.weights.items()}
-        opt, seen = None, 0
         for batch in batches:
             for row in _rows(batch):
-                symbols, off = _training_symbols(model, row)
-                opt = gru.train(weights, model.layout, symbols, off, rate, opt=opt)
-                seen += len(symbols)
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([seen], pa.int64()), pa.array([(_flat(weights) * np.float64(seen)).tobytes()], pa.binary())],
-                ["tokens", "weights"])
+                _, sizes, symbols = _read_shard(row)
+                off = np.concatenate([[0], np.cumsum(sizes)])
+                a, b = part * len(sizes) // parts, (part + 1) * len(sizes) // parts
+                weights, opt = {k: v.copy() for k, v in model.weights.items()}, None
+                own = symbols[off[a]:off[b]].astype(np.int64)
+                for rate in rates:
+                    if opt is not None:
+                        opt.rate = rate
+                    opt = gru.train(weights, model.layout, own, off[a:b + 1] - off[a], rate, opt=opt)
+                if b > a:
+                    units = np.rint(_flat(weights).astype(np.float64) / UNIT).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([1], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([units.tobytes()], pa.binary())],
+                        ["shards", "tokens", "weights"])
 
     return run
 
 
 def _add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, total = 0, None
+    shards, tokens, total = 0, 0, 0
     for batch in batches:
-        for n, w in zip(batch.column("tokens").to_pylist(), batch.column("weights")):
-            x = np.frombuffer(w.as_buffer(), np.float64)
-            total = x.copy() if total is None else total + x
-            tokens += n
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())],
-                                         ["tokens", "weights"])
+        for k, n, w in zip(batch.column("shards").to_pylist(), batch.column("tokens").to_pylist(), batch.column("weights")):
+            total = total + np.frombuffer(w.as_buffer(), np.int64)
+            shards, tokens = shards + k, tokens + n
+    if shards:
+        yield pa.RecordBatch.from_arrays([pa.array([shards], pa.int64()), pa.array([tokens], pa.int64()),
+                                          pa.array([total.tobytes()], pa.binary())], ["shards", "tokens", "weights"])
+
+
+_WEIGHTS = "shards long, tokens long, weights binary"
+
+
+def _fitted(model: Model, blocks: DataFrame, train_tokens: int) -> dict:
+    """The weights learned from all training documents."""
+    spark = blocks.sparkSession
+    shards = max(1, -(-train_tokens // SHARD_TOKENS))
+    dealt = blocks.select("held", "marks", "first", "index", "words", "shapes").mapInArrow(_deal(model, shards), _SHARD_TYPES)
+    table = stored(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_gather, _SHARD_TYPES), "shards")
+
+    def averaged(learned: DataFrame) -> tuple[int, dict]:
+        """Tokens learned and the mean of the shards' weights; sums of integers, in any order."""
+        sums = learned.repartition(max(1, min(shards, int(partitions(spark) ** 0.5)))).mapInArrow(_add_weights, _WEIGHTS).collect()
+        total = sum(np.frombuffer(r["weights"], np.int64).astype(object) for r in sums)
+        mean = (total / sum(r["shards"] for r in sums)).astype(np.float64) * UNIT
+        return sum(r["tokens"] for r in sums), _shaped(mean, model.weights)
+
+    first = table.agg(F.min("shard")).first()[0]
+    _, model.weights = averaged(table.where(F.col("shard") == first).mapInArrow(_learn(model, 0, ROUNDS, START_RATES), _WEIGHTS))
+    seen = 0
+    for part, rate in enumerate(RATES):
+        tokens, model.weights = averaged(table.mapInArrow(_learn(model, part, ROUNDS, (rate,)), _WEIGHTS))
+        seen += tokens
+    if seen != train_tokens:
+        raise RuntimeError(f"learned from {seen} tokens of {train_tokens}")
+    return model.weights
 
 
 def _score_blocks(model: Model, types: int, train_tokens: int):
@@ -254,7 +337,8 @@ def _score_blocks(model: Model, types: int, train_tokens: int):
         for batch in batches:
             for row in _rows(batch):
                 words, shapes = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["shapes"], np.uint8)
-                first, index = np.frombuffer(row["first"], np.int64), np.frombuffer(row["index"], np.uint32)
+                first = np.frombuffer(row["first"], np.int64)
+                index = _unpacked(row["index"], int(first[-1]), np.uint32)
                 count = np.zeros(len(words), np.int64)
                 own = words % np.uint64(row["buckets"])
                 for a in row["answers"] or ():
@@ -287,14 +371,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Learns from rows with crc32(id as text) mod 10 not 0 (a null id counts as the empty string).  Null
     and empty texts are just the end mark; repeated rows are counted and returned each; with no
     training rows the model scores with its smoothed start; an empty table gives no rows; other columns
-    are not read."""
+    are not read.  Scores don't depend on how the rows are partitioned, beyond the last digits of single-precision
+    products."""
     spark = docs.sparkSession
     base = docs.select(
         F.col(id_col).cast("long").alias("id"),
         (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held"),
-        F.col(text_col).alias("text"))
+        F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("mark"), F.col(text_col).alias("text"))
     blocks = stored(base.mapInArrow(
-        _block_batches, "block long, ids array<long>, held array<boolean>, distinct long, first binary, "
+        _block_batches, "block long, ids array<long>, held array<boolean>, marks array<long>, distinct long, first binary, "
         "index binary, words binary, shapes binary, counts binary"), "blocks", BATCH_ROWS)
     traffic, documents = blocks.agg(
         F.sum("distinct"), F.sum(F.size(F.filter("held", lambda x: ~x)).cast("long"))).first()
@@ -316,20 +401,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = Model([(r["word"], r["n"], r["shape"]) for r in top], shape_tokens, shape_types, documents)
 
     if documents:
-        texts = blocks.select("block", "held", "first", "index", "words", "shapes")
-        start = blocks.where(F.exists("held", lambda x: ~x)).agg(F.min_by("block", F.xxhash64("block"))).first()[0]
-        model.weights = _shaped(np.frombuffer(texts.where(F.col("block") == start).drop("block").mapInArrow(
-            _fit_start(model), "weights binary").first()[0], np.float32), model.weights)
-        learned = (texts.drop("block").mapInArrow(_train_blocks(model, 0.001), "tokens long, weights binary")
-                   .repartition(max(4, int(partitions(spark) ** 0.5)))
-                   .mapInArrow(_add_weights, "tokens long, weights binary").collect())
-        seen = sum(r["tokens"] for r in learned)
-        if seen != train_tokens:
-            raise RuntimeError(f"learned from {seen} tokens of {train_tokens}")
-        model.weights = _shaped(sum(np.frombuffer(r["weights"], np.float64) for r in learned) / seen, model.weights)
+        model.weights = _fitted(model, blocks, train_tokens)
     reply = answers.where("block is not null").groupBy("block").agg(
         F.collect_list(F.struct("bucket", "counts")).alias("answers"))
-    full = blocks.drop("counts", "distinct").join(reply, "block", "left").withColumn(
+    full = blocks.drop("counts", "distinct", "marks").join(reply, "block", "left").withColumn(
         "buckets", F.lit(buckets).cast("long")).withColumn("documents", F.lit(documents).cast("long"))
     return full.drop("block").mapInArrow(
         _score_blocks(model, types, train_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, "

@@ -4,7 +4,8 @@ A source's target is its weight's share of all words, stopped at ``MAX_REPEAT``
 excess going to the others by weight.  The target is a number of words; in integers it is
 numerator / denominator, so that engines and reruns agree.
 
-Documents of a source stand in a fixed random order (md5 of seed and id).  Whole passes over the source are taken
+Documents of a source stand in a fixed random order (md5 of seed, id and the text's md5, so that rows without an
+id, or that share one, are spread as well).  Whole passes over the source are taken
 first, and of the last pass the documents whose middle is within what is left.  The words taken
 are the source's demand.  Its weight over training time t in [0, 1] is proportional to
 1 + slope * (2 t - 1); integrated, that is F(t) = (1 - slope) t + slope t^2.  A copy of a document whose
@@ -85,13 +86,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_REP
     cumulative demand), source_taken, slope.
 
     Null and empty texts have size 0: they are taken with the passes they stand in, at 0 words.  A null
-    source ranks last; null ids stand by the hash of an empty id; rows alike in id and text
+    source ranks last; null ids count as empty ones; rows alike in id and text
     are interchangeable.  An empty table gives no rows; other columns are not read."""
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), F.xxhash64("text").alias("key"),
+        F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"),
         F.when(F.col("text").isNull(), 0).otherwise(word_count(F.col("text"))).cast("long").alias("size"))
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    base = stored(base.withColumn("order", order), "sizes")
+    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "digest"))
+    base = stored(base.withColumn("order", order).drop("digest"), "sizes")
     rows = base.count()
     # Hexadecimal digits of the order that name a bucket.
     digits = max(1, next(d for d in range(1, 13) if rows / 16 ** d <= BUCKET_ROWS))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import connected_components
-from .store import partitions, perhaps_in, stored
+from .store import partitions, perhaps_in, stored, with_columns_free
 
 BANDS, ROWS = 60, 4
 NODE_SETS, NODE_SHINGLES = 2000, 3_000_000
@@ -59,7 +59,7 @@ def band_keys(s: np.ndarray) -> np.ndarray:
 
 
 def _describe(k: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()),
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()),
                         ("key_b", pa.int64()), ("keys", pa.list_(pa.int64()))])
     second = np.uint64(0xD6E8FEB86659FD93)
 
@@ -76,7 +76,7 @@ def _describe(k: int):
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n), pa.array(a.view(np.int64)),
+                    [part.column("row"), part.column("id"), pa.array(n), pa.array(a.view(np.int64)),
                      pa.array(b.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)],
                     schema=schema)
 
@@ -215,6 +215,9 @@ def _link_nodes(k: int, percent: int):
 
     def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(rows)
+        # Rows alike in id and text come once each; one of them stands for all.
+        _, once = np.unique(table.column("id").to_numpy(), return_index=True)
+        table = table.take(pa.array(np.sort(once)))
         ids, side, known = (table.column(c).to_numpy() for c in ("id", "side", "known"))
         sets = []
         for part in table.to_batches():
@@ -248,30 +251,24 @@ def _link_nodes(k: int, percent: int):
     return run
 
 
-def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                             k: int = 5, percent: int = 75) -> DataFrame:
-    """(``id_col``, n_shingles, component_id), one row for each distinct non-null id.
+def _row_key(id_col: str, text_col: str):
+    """A row's key: a hash of its id and its text, so that rows that repeat an id, or have none, are told apart."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.xxhash64(text_col))
 
-    Words are A-Z lower-cased; sets are distinct ``k``-word shingles (a shorter text is one
-    shingle); texts link at 100 * intersection >= percent * union.  component_id is the smallest
-    id reachable by links.  Null and wordless texts have no shingles and stand alone.  Rows with a
-    null id take no part.  Of rows that repeat an id the one with the greatest text counts.  An
-    empty table gives no rows; other columns are not read."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(
-        "id is not null")
-    told = stored(base.mapInArrow(_describe(k), "id long, n long, key_a long, key_b long, keys array<long>"),
+
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(row, id, n, component) per row of ``docs``: component is one number per component of rows with words, null
+    for rows without."""
+    base = docs.select(_row_key(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"),
+                       F.col(text_col).alias("text"))
+    told = stored(base.mapInArrow(_describe(k), "row long, id long, n long, key_a long, key_b long, keys array<long>"),
                   "sets")
-    # Repeated ids: their classes are told apart by the key; the greatest key counts.
-    repeated = told.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    twice = repeated.limit(1).count() > 0
-    if twice:
-        base = base.groupBy("id").agg(F.max("text").alias("text"))
-        told = stored(base.mapInArrow(_describe(k), told.schema), "sets")
-    classes = stored(told.where("n > 0").groupBy("n", "key_a", "key_b").agg(F.min("id").alias("rep")),
+    texts = base.select(F.col("row").alias("id"), "text")
+    # A class of equal sets is named by the smallest key of its rows.
+    classes = stored(told.where("n > 0").groupBy("n", "key_a", "key_b").agg(F.min("row").alias("rep")),
                      "classes")
     # Joins on tables that grow with the input are sort-merge joins at every size.
-    reps = stored(told.select("id", "keys").hint("merge").join(
+    reps = stored(told.select(F.col("row").alias("id"), "keys").hint("merge").join(
         classes.select(F.col("rep").alias("id")), "id", "left_semi"), "reps")
     postings = reps.select("id", F.explode("keys").alias("key"))
     first = stored(postings.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("x")).where(
@@ -299,9 +296,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     else:
         own_all = own.select("id", "node")
 
+    spark = docs.sparkSession
+
     def linked(members: DataFrame) -> DataFrame:
         """members: id, node, side, known."""
-        rows = members.hint("merge").join(perhaps_in(base, "id", members), "id").select("node", "id", "side", "known", "text")
+        rows = members.hint("merge").join(perhaps_in(texts, "id", members), "id").select("node", "id", "side", "known", "text")
         dealt = rows.repartition(max(partitions(spark), 12), "node").sortWithinPartitions("node")
         return stored(dealt.mapInArrow(_link_nodes(k, percent), "u long, v long"), "links")
 
@@ -328,17 +327,37 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         labels = links.select(F.col("u").alias("rep"), F.col("v").alias("component"))
     named = classes.join(labels, "rep", "left").select(
         "n", "key_a", "key_b", F.coalesce("component", "rep").alias("component"))
-    out = told.select("id", "n", "key_a", "key_b").hint("merge").join(named, ["n", "key_a", "key_b"], "left")
+    return told.select("row", "id", "n", "key_a", "key_b").hint("merge").join(named, ["n", "key_a", "key_b"], "left").select(
+        "row", "id", "n", "component")
+
+
+def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                             k: int = 5, percent: int = 75) -> DataFrame:
+    """(``id_col``, n_shingles, component_id), one row for each row of ``docs``.
+
+    Words are A-Z lower-cased; sets are distinct ``k``-word shingles (a shorter text is one
+    shingle); texts link at 100 * intersection >= percent * union.  component_id is the smallest
+    id reachable by links.  Null and wordless texts have no shingles and stand alone.  Rows with a null id
+    take part and are returned; a component of null ids alone has a null component_id.  Rows that repeat an id
+    are judged each by its own text.  An empty table gives no rows; other columns are not read."""
+    found = stored(_components(docs, id_col, text_col, k, percent), "rows")
+    least = found.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    out = found.hint("merge").join(least, "component", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.coalesce("component", "id").alias("component_id"))
+                      F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest id, with the columns of ``docs``.  Rows with
-    a null id are kept; of rows that repeat an id one is kept."""
-    first = ngram_jaccard_components(docs).where("doc_id = component_id").select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns)
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    """Of each component the document with the smallest id (null last, then by a hash of the text), with the
+    columns of ``docs``; rows without words are all kept.  Rows alike in id and text are one document."""
+    p = with_columns_free(docs, "row", "once")
+    found = stored(_components(docs, "doc_id", "text", 5, 75), "rows")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    first = found.where("component is not null").groupBy("component").agg(F.min(place).alias("p")).select(
+        F.col("p.row").alias(p + "row"), F.lit(True).alias(p + "once"))
+    wordless = found.where("component is null").select(F.col("row").alias(p + "row"), F.lit(False).alias(p + "once")).distinct()
+    kept = docs.withColumn(p + "row", _row_key("doc_id", "text")).join(first.unionByName(wordless), p + "row")
+    again = found.where("component is not null").groupBy("row").agg(F.count("*").alias("c")).where("c > 1")
     if again.limit(1).count() > 0:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+        kept = kept.where(p + "once").dropDuplicates([p + "row"]).unionByName(kept.where(f"not {p}once"))
+    return kept.select(docs.columns)

@@ -15,14 +15,14 @@ the last match's end, where the leftmost match must begin.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .exprs import let, sums_before
+from .exprs import clusters, cut_text, let, sums_before
 from .store import with_columns_free
 
 KINDS = ("email", "ip", "card", "phone")
@@ -190,6 +190,25 @@ def fit(spark: SparkSession) -> tuple[list, dict[str, float]]:
     return _fitted(tuple(rows))
 
 
+def _meets(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def _kept(cluster: Column) -> Column:
+    """Of a cluster the base spans (without a score), and those proposals that meet no base span and no better proposal
+    that meets none."""
+    better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (
+        (a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"]))))
+
+    def chosen(cl: Column) -> Column:
+        base = F.filter(cl, lambda c: c["score"].isNull())
+        return let(base, lambda bs: let(
+            F.filter(cl, lambda c: c["score"].isNotNull() & ~F.exists(bs, lambda b: _meets(b, c))), lambda new: F.concat(
+                bs, F.filter(new, lambda c: ~F.exists(new, lambda o: _meets(o, c) & better(o, c))))))
+
+    return F.when(F.size(cluster) == 1, cluster).otherwise(let(cluster, chosen))
+
+
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns base and spans added: array<struct<start, kind, end>> (kind 0-3 in the
     order of ``KINDS``) by start, then kind.  Without shuffle.
@@ -215,16 +234,16 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for k, kind in enumerate(KINDS):
         chosen = F.filter(F.transform(matches(text, GENERATORS[kind]), _scored(k, trees)), _above(limits[kind]))
         out = out.withColumn(p + kind, F.when(may[kind], chosen.cast(scored_span)).otherwise(F.array().cast(scored_span)))
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    proposed = F.concat(*[F.col(p + kind) for kind in KINDS])
-    out = out.withColumn(p + "new", F.when(F.size(proposed) > 0, F.filter(
-        proposed, lambda c: ~F.exists(F.col(p + "base"), lambda b: meets(b, c)))).otherwise(F.array().cast(scored_span)))
-    better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (
-        (a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"]))))
-    best = F.filter(F.col(p + "new"), lambda c: ~F.exists(F.col(p + "new"), lambda o: meets(o, c) & better(o, c)))
+    # Base spans and proposals in order, cut into clusters that don't meet each other: only within one are they compared.
+    both = F.array_sort(F.concat(
+        F.transform(F.col(p + "base"), lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"),
+                                                          F.lit(None).cast("double").alias("score"))),
+        *[F.transform(F.col(p + kind), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"),
+                                                          c["score"].alias("score"))) for kind in KINDS]))
+    kept = F.flatten(F.transform(clusters(both), _kept))
     out = out.withColumn("base", F.col(p + "base")).withColumn("spans", F.when(
-        F.size(p + "new") > 0, F.array_sort(F.concat(F.col(p + "base"), F.transform(best, lambda c: F.struct(
-            c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))))).otherwise(F.col(p + "base")))
+        reduce(lambda a, b: a | b, [F.size(p + kind) > 0 for kind in KINDS]), F.array_sort(F.transform(kept, lambda c: F.struct(
+            c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))))).otherwise(F.col(p + "base")))
     return out.select(*[c for c in docs.columns if c not in ("base", "spans")], "base", "spans")
 
 
@@ -242,19 +261,14 @@ def redact(docs: DataFrame) -> DataFrame:
     kept = docs.select("*", *[F.col(c).alias(f"{p}own_{c}") for c in held]).drop(*held)
     found = find_pii(kept).withColumnRenamed("spans", p + "spans").drop("base")
     # Cuts: the spans, with overlapping ones joined.
-    joined = F.aggregate(F.slice(p + "spans", 2, F.greatest(F.size(p + "spans") - 1, F.lit(0))),
-                         F.slice(p + "spans", 1, 1), lambda acc, s: F.when(
-        s["start"] < F.element_at(acc, -1)["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            F.element_at(acc, -1)["start"].alias("start"), F.element_at(acc, -1)["kind"].alias("kind"),
-            F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))))
+    joined = F.transform(clusters(F.col(p + "spans")), lambda cl: F.struct(
+        F.get(cl, F.lit(0))["start"].alias("start"), F.get(cl, F.lit(0))["kind"].alias("kind"),
+        F.array_max(F.transform(cl, lambda s: s["end"])).alias("end")))
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     found = found.withColumn(p + "cuts", F.when(F.size(p + "spans") > 0, joined))
     cuts = F.col(p + "cuts")
-    begin = lambda i: F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0))
-    pieces = F.transform(cuts, lambda s, i: F.concat(
-        F.substring("text", begin(i).cast("int") + 1, (s["start"] - begin(i)).cast("int")), F.get(name, s["kind"])))
-    rest = F.substring(F.col("text"), F.element_at(cuts, -1)["end"].cast("int") + 1, F.lit(2147483647))
-    found = found.withColumn("text", F.when(cuts.isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text")))
+    found = found.withColumn("text", F.when(cuts.isNotNull(), cut_text(
+        F.col("text"), cuts, lambda s: F.get(name, s["kind"]))).otherwise(F.col("text")))
     found = found.withColumn("n_chars", F.when(cuts.isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(
         docs.schema["n_chars"].dataType))
     return found.select(*[F.col(f"{p}own_{c}").alias(c) if c in held else c for c in docs.columns])

@@ -68,9 +68,7 @@ def op9_chat_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     formatted = chat.format_turns(chat.canonical_turns(chat.records_of(rows.unionByName(more)))).select(
         "conv_id", "formatted", "loss_spans")
     read = formatted.withColumn("read", chat.read_back(F.col("formatted")))
-    # The text under the loss mask: turns whose texts the mask names.
-    learnt = F.filter("read", lambda t: F.array_contains("loss_spans", F.struct(t["start"].alias("start"), t["end"].alias("end"))))
-    read = read.withColumn("learnt", F.array_join(F.transform(learnt, lambda t: t["text"]), ""))
+    read = read.withColumn("learnt", F.array_join(F.transform(chat.masked("read", "loss_spans"), lambda t: t["text"]), ""))
     whole = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
@@ -138,7 +136,7 @@ FROM f"""
 
 _OP6 = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
-                  md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS o, text FROM documents),
+                  md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS o, text FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
              row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS k FROM d GROUP BY source),
 q AS (SELECT *, [5, 2, 1][k % 3 + 1] AS weight, [{', '.join(f'{x}::DOUBLE' for x in mixing.SLOPES)}][k % 3 + 1] AS slope FROM s),
