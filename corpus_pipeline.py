@@ -34,8 +34,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's pieces stand in the training sequences."""
-    return packing.best_fit_pack(docs)
+    """Where each document's pieces stand in the training sequences, which follow the order of ``docs``."""
+    return packing.best_fit_pack(docs, in_order=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("personal_data", personal_data),
