@@ -73,7 +73,9 @@ class ModelSpec:
     models, or after ``n_trees`` trees when that is given.
     ``init_trees`` and ``init_base`` (its ``base_margin``) are a model to
     continue.  ``masked`` features are not offered for the first ``mask_trees`` trees
-    (warm-up); early stopping looks only at rounds after them.
+    (warm-up); early stopping looks only at rounds after them.  In a column sample they
+    still take their places, as a masked column does; with ``drop_masked`` those trees
+    sample from the other features alone.
     """
     name: str
     group: str
@@ -82,6 +84,7 @@ class ModelSpec:
     constraints: dict = field(default_factory=dict)
     masked: list = field(default_factory=list)
     mask_trees: int = 0
+    drop_masked: bool = False
     early_stop: bool = True
     n_trees: int | None = None
     init_trees: list = field(default_factory=list)
@@ -200,12 +203,20 @@ class Trainer:
             raise ValueError(f"count:poisson needs labels of at least 0, found {low}")
         if low is not None and self.params.objective == "reg:gamma" and low <= 0:
             raise ValueError(f"reg:gamma needs labels above 0, found {low}")
+        # Margins of a log link are cut there, so such labels could not be reached.
+        high = max((r["high"] for r in seen.values()), default=0.0)
+        if self.obj.log_link and high > math.exp(objectives.MARGIN_CLIP):
+            raise ValueError(f"labels of a log link go up to e^{objectives.MARGIN_CLIP:g}, found {high}")
+        if self.params.objective == "reg:gamma" and low is not None and low < math.exp(-objectives.MARGIN_CLIP):
+            raise ValueError(f"labels of a log link go down to e^-{objectives.MARGIN_CLIP:g}, found {low}")
 
     # ---------------------------------------------------------------- passes
     def plan(self, t: int, **more) -> PassPlan:
         p = self.params
         return PassPlan(objective=p.objective, width=self.spec.max_bins + 1, test_fold=p.test_fold, subsample=p.subsample,
-                        seed=p.seed, tree_index=t, bases=self.base, pending=self.pending, **more)
+                        seed=p.seed, tree_index=t, bases=self.base,
+                        pending={j: [x.routing() for x in trees] for j, trees in self.pending.items() if j in self.active and trees},
+                        **more)
 
     def bits(self) -> list[tuple[int, int]]:
         return [tuple(exact.scale_bits(v, self.rows) for v in self.top[j]) for j in range(len(self.models))]
@@ -252,19 +263,20 @@ class Trainer:
         tops = [(j, m.holdout) for j, m in enumerate(self.models)]
         self._read_metrics(level_cells(run_pass(self.state, self.plan(0, tops=tops))), 0)
 
-    def _colsample(self, t: int) -> np.ndarray:
-        """The features that come first by md5("seed:tree:name")."""
+    def _colsample(self, t: int, dropped: np.ndarray = ()) -> np.ndarray:
+        """The features (but for the dropped ones) that come first by md5("seed:tree:name")."""
         p = self.params
-        if p.colsample_bytree >= 1.0 or self.nf == 0:
-            return np.arange(self.nf)
-        k = max(1, int(math.floor(p.colsample_bytree * self.nf)))
-        rank = sorted(range(self.nf), key=lambda i: (hashlib.md5(f"{p.seed}:{t}:{self.spec.names[i]}".encode()).hexdigest(), i))
-        return np.sort(np.array(rank[:k]))
+        some = [i for i in range(self.nf) if i not in set(dropped)]
+        if p.colsample_bytree < 1.0 and some:
+            k = max(1, int(math.floor(p.colsample_bytree * len(some))))
+            some.sort(key=lambda i: (hashlib.md5(f"{p.seed}:{t}:{self.spec.names[i]}".encode()).hexdigest(), i))
+            some = some[:k]
+        return np.sort(np.array(some, np.int64))
 
     def _refresh(self):
         if not any(self.pending[j] for j in self.active):
             return
-        bases, pending = self.base, self.pending
+        bases, pending = self.base, {j: [x.routing() for x in trees] for j, trees in self.pending.items() if trees}
         self.state.refresh(lambda block, j: margin_of(block, j, bases, pending))
         self.pending = {j: [] for j in range(len(self.models))}
 
@@ -328,7 +340,7 @@ class Trainer:
                 m = self.models[j]
                 a = allowed_all
                 if len(self.masked[j]) and t - len(m.init_trees) < m.mask_trees:
-                    a = np.setdiff1d(a, self.masked[j])
+                    a = self._colsample(t, self.masked[j]) if m.drop_masked else np.setdiff1d(a, self.masked[j])
                 allowed[j] = a
                 cur[j] = Tree.empty(m.depth)
                 cur[j].lower[0], cur[j].upper[0] = -math.inf, math.inf

@@ -1,8 +1,8 @@
 """Model table (one row per tree node) and scoring.
 
-Scoring is an Arrow-batched ``mapInPandas``: the fitted trees travel with the
-task closure (their size is bounded by trees x nodes, never by data), each
-batch is binned with the training cut points and routed through every tree.
+Scoring is an Arrow-batched ``mapInPandas``: the fields of the fitted trees that
+route rows go to the executors once, as a broadcast variable (their size is
+bounded by trees x nodes, never by data); each batch is binned with the training cut points and routed through every tree.
 ``case_when_sql`` renders a small model as SQL text, a second scoring path
 used to check the first.
 """
@@ -79,10 +79,11 @@ def predict(df: DataFrame, spec: FeatureSpec, trees: list, base_margin: float, o
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
                        + [f"`{out}` double"])
     fcols = [f"f{i}" for i in range(len(feats))]
+    told = df.sparkSession.sparkContext.broadcast([t.routing() for t in trees])
 
     def fn(it):
         for pdf in it:
-            p = predict_frame(pdf, spec, fcols, trees, base_margin, objective)
+            p = predict_frame(pdf, spec, fcols, told.value, base_margin, objective)
             res = pd.DataFrame({c: pdf[f"k{i}"] for i, c in enumerate(keep)})
             res[out] = p
             yield res
@@ -114,4 +115,6 @@ def case_when_sql(trees: list, spec: FeatureSpec, base_margin: float, objective:
         return f"(case when {c} is null then (case when {miss} then {left} else {right} end) " \
                f"when {test} then {left} else {right} end)"
     margin = " + ".join([repr(float(base_margin))] + [node_sql(t, 0) for t in trees])
-    return f"exp({margin})" if objectives.get(objective).log_link else f"({margin})"
+    if not objectives.get(objective).log_link:
+        return f"({margin})"
+    return f"exp(least(greatest({margin}, {-objectives.MARGIN_CLIP!r}), {objectives.MARGIN_CLIP!r}))"

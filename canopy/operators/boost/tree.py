@@ -74,3 +74,44 @@ class Tree:
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
         return self.value[self.route(bins)]
+
+    def routing(self) -> "Tree":
+        """What routes and scores rows, without the rest, in narrow types: the form that travels to tasks."""
+        last = int(np.flatnonzero(self.used).max(initial=0)) + 1 if self.used is not None else len(self.feature)
+        last = max(last, 1 + int(np.flatnonzero(self.feature >= 0).max(initial=-1)))
+        end = min(len(self.feature), 2 * last + 1)     # children of the last split are there
+        return Tree(depth=self.depth, feature=self.feature[:end].astype(np.int32), split_bin=self.split_bin[:end],
+                    default_left=self.default_left[:end], is_cat=self.is_cat[:end], value=self.value[:end],
+                    cat_left={n: c for n, c in self.cat_left.items() if n < end})
+
+    def _goes_left(self, node: int, b: np.ndarray) -> np.ndarray:
+        left = np.isin(b, self.cat_left.get(node, ())) if self.is_cat[node] else b <= self.split_bin[node]
+        return np.where(b < 0, self.default_left[node], left)
+
+    def reach(self, bins: np.ndarray, free: int, counts: np.ndarray) -> None:
+        """Adds to ``counts`` the rows at each leaf when splits on feature ``free`` let a row through to both sides."""
+        todo = [(0, np.arange(len(bins)))]
+        while todo:
+            node, rows = todo.pop()
+            f = int(self.feature[node])
+            if f < 0:
+                counts[node] += len(rows)
+            elif f == free:
+                todo += [(2 * node + 1, rows), (2 * node + 2, rows)]
+            else:
+                left = self._goes_left(node, bins[rows, f])
+                todo += [(2 * node + 1, rows[left]), (2 * node + 2, rows[~left])]
+
+    def leaves_by_bin(self, free: int, bins: list[int]) -> list[tuple[int, list[int]]]:
+        """Each leaf with those of ``bins`` that meet the splits on feature ``free`` above it."""
+        out, todo = [], [(0, np.array(bins, np.int64))]
+        while todo:
+            node, met = todo.pop()
+            f = int(self.feature[node])
+            if f < 0:
+                out.append((node, met.tolist()))
+                continue
+            left = self._goes_left(node, met) if f == free else np.ones(len(met), bool)
+            right = ~left if f == free else left
+            todo += [(2 * node + 1, met[left]), (2 * node + 2, met[right])]
+        return out

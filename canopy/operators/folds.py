@@ -6,12 +6,11 @@ over the strata laid end to end, so every stratum and the whole table are
 balanced to within one row.
 
 Scale: the rank is computed in two levels so that no single task ever holds a
-whole stratum.  The hash prefix (``bucket_bits`` bits, chosen from the row
-count so that a group stays under MAX_GROUP_ROWS even if one stratum held
-every row) splits every stratum into buckets; rows are ranked inside
-(stratum, bucket), and the offset of each bucket comes from a small table of
-bucket counts.  A stratum holding a third of the table is therefore spread
-over 2**bucket_bits groups instead of one window partition.
+whole stratum.  The hash prefix (``bucket_bits`` bits) splits every stratum into
+buckets; rows are ranked inside (stratum, bucket), and the offset of each
+bucket comes from a small table of bucket counts.  A stratum holding a third of
+the table is therefore spread over 2**bucket_bits groups instead of one
+window partition.
 """
 
 from __future__ import annotations
@@ -23,9 +22,6 @@ from pyspark.sql.types import NumericType
 from ..functions.scalar import col, digitize, strata_bin_count
 from ..session import scratch_path
 
-# Largest (stratum, hash bucket) group one window task sorts.
-MAX_GROUP_ROWS = 2_000_000
-
 
 def _value_ranks(df: DataFrame, x: Column, by: list[Column]) -> DataFrame:
     """Distinct values with their counts, range-partitioned and written once:
@@ -41,8 +37,9 @@ def _value_ranks(df: DataFrame, x: Column, by: list[Column]) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def percentiles_by(df: DataFrame, c: str, probs: list[float], by: list[str]) -> DataFrame:
-    """A4 within groups: (by..., p, value), linear interpolation (NumPy's default rule).
+def percentiles_by(df: DataFrame, c: str, probs: list[float], by: list[str], count: bool = False) -> DataFrame:
+    """A4 within groups: (by..., p, value), linear interpolation (NumPy's default rule); with ``count`` the
+    group's number of values (``total``), too.
 
     Exact at every size and for any partitioning, and no task holds all values:
     values are counted map-side, the distinct ones range-partitioned, the
@@ -66,11 +63,57 @@ def percentiles_by(df: DataFrame, c: str, probs: list[float], by: list[str]) ->
     hits = placed.join(want, [*names, "part"]).withColumn("start", at).where(
         ((F.col("start") <= low) & (low < F.col("start") + F.col("n")))
         | ((F.col("start") <= high) & (high < F.col("start") + F.col("n"))))
-    got = hits.groupBy(*names, "p", "at").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    # NumPy's lerp: from the nearer end, so that both ends are exact.
+    got = hits.groupBy(*names, "p", "at", "total").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    return got.select(*[F.col(n).alias(b) for n, b in zip(names, by)], "p", _between().alias("value"), *["total"] * count)
+
+
+def percentiles_of_subsets(df: DataFrame, c: str, probs: list[float], subsets: dict[str, Column]) -> DataFrame:
+    """A4 of overlapping subsets of the rows: (subset, p, value).  ``subsets``: name -> condition.
+
+    The rows are not copied to their subsets: a distinct value carries how many rows of each subset have it, one
+    table of values is range-partitioned, and each subset's ranks are sums along it.  Exact and the same for any
+    partitioning, as ``percentiles_by``."""
+    spark, names = df.sparkSession, list(subsets)
+    counts = (df.select(F.nanvl(col(c).cast("double"), F.lit(None)).alias("x"),
+                        *[F.coalesce(s, F.lit(False)).cast("long").alias(f"n{i}") for i, s in enumerate(subsets.values())])
+              .where(F.col("x").isNotNull()).groupBy("x").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))]))
+    path = scratch_path(spark, "ranks")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts.repartitionByRange(n_parts, "x").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranks = spark.read.parquet(path)
+    # One row per part; its sums place the part's first rank.
+    sums = sorted(ranks.groupBy("part").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))]).collect(),
+                  key=lambda r: r["part"])
+    targets, first = [], {r["part"]: [0] * len(names) for r in sums}
+    for i in range(len(names)):
+        run = 0
+        for r in sums:
+            first[r["part"]][i] = run
+            run += r[f"n{i}"]
+        targets += [(i, float(p), (run - 1) * float(p)) for p in sorted(set(map(float, probs))) if run]
+    out = "subset string, p double, value double"
+    if not targets:
+        return spark.createDataFrame([], out)
+    starts = spark.createDataFrame([(part, f) for part, f in first.items()], "part int, first array<long>")
+    inner = Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranks.join(F.broadcast(starts), "part").withColumns(
+        {f"b{i}": F.coalesce(F.sum(f"n{i}").over(inner), F.lit(0)) for i in range(len(names))})
+    placed = placed.select("x", F.explode(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.col(f"n{i}").alias("n"), (F.col("first")[i] + F.col(f"b{i}")).alias("start"))
+        for i in range(len(names))])).alias("s"))
+    placed = placed.select("x", "s.*").where("n > 0")
+    want = spark.createDataFrame(targets, "i int, p double, at double")      # a row per subset and percentile
+    hits = placed.join(F.broadcast(want), "i").where(
+        "start <= ceil(at) and floor(at) < start + n and (floor(at) >= start or ceil(at) < start + n)")
+    got = hits.groupBy("i", "p", "at").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    return got.select(F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("subset"), "p", _between().alias("value"))
+
+
+def _between() -> Column:
+    """NumPy's interpolation between the order statistics a and b around the rank ``at``: from the nearer
+    end, so that both ends are exact."""
     t, d = F.col("at") - F.floor("at"), F.col("b") - F.col("a")
-    value = F.when(t < 0.5, F.col("a") + d * t).otherwise(F.col("b") - d * (1 - t))
-    return got.select(*[F.col(n).alias(b) for n, b in zip(names, by)], "p", value.alias("value"))
+    return F.when(t < 0.5, F.col("a") + d * t).otherwise(F.col("b") - d * (1 - t))
 
 
 def percentiles(df: DataFrame, c: str, probs: list[float]) -> list[float]:
@@ -101,25 +144,23 @@ def stratum_column(df: DataFrame, c: str, n_folds: int) -> Column:
     field = df.schema[c]
     if not isinstance(field.dataType, NumericType):
         return F.coalesce(col(c).cast("string"), F.lit(""))
-    stats = df.agg(F.count(col(c)).alias("n")).first()
-    n = int(stats["n"])
-    n_bins = strata_bin_count(n, n_folds)
-    edges = distinct_edges(percentiles(df, c, [i / n_bins for i in range(n_bins + 1)]))
+    # One pass gives the count and the percentiles of every number of bins that the count may ask for.
+    most = range(strata_bin_count(0, n_folds), strata_bin_count(1 << 60, n_folds) + 1)
+    rows = percentiles_by(df.withColumn("_all", F.lit(0)), c, sorted({i / k for k in most for i in range(k + 1)} | {0.5}), ["_all"],
+                          count=True).collect()
+    found = {r["p"]: float(r["value"]) for r in rows}
+    n_bins = strata_bin_count(rows[0]["total"] if rows else 0, n_folds)
+    edges = distinct_edges([found[i / n_bins] for i in range(n_bins + 1)]) if found else []
     if len(edges) <= 2:
-        med = median(df, c)
-        s = (col(c) > F.lit(med)).cast("int")
+        s = (col(c) > F.lit(found.get(0.5))).cast("int")
     else:
         s = digitize(c, edges[1:-1])
     return F.coalesce(s, F.lit(-1))
 
 
-def bucket_bits_for(n_rows: int, max_group_rows: int = MAX_GROUP_ROWS) -> int:
-    """Hash-bucket bits so that even a stratum holding every row is split into
-    window groups of at most ``max_group_rows`` rows."""
-    bits = 0
-    while bits < 24 and n_rows > max_group_rows * (1 << bits):
-        bits += 1
-    return bits
+def bucket_bits_for(partitions: int) -> int:
+    """Hash-bucket bits that spread even a stratum holding every row over four groups a partition."""
+    return min(24, max(0, (4 * partitions - 1).bit_length()))
 
 
 def assign_folds(df: DataFrame, key: str, n_folds: int = 6, seed: int = 42,
@@ -129,12 +170,12 @@ def assign_folds(df: DataFrame, key: str, n_folds: int = 6, seed: int = 42,
 
     ``stratum`` overrides the stratum expression; with neither ``stratum``
     nor ``stratify_col`` all rows form one stratum (W4).  ``bucket_bits``
-    defaults to what the row count needs (``bucket_bits_for``).
+    (layout only, folds don't depend on it) follows the session's shuffle partitions.
     """
     if stratum is None:
         stratum = stratum_column(df, stratify_col, n_folds) if stratify_col else F.lit(0)
     if bucket_bits is None:
-        bucket_bits = bucket_bits_for(df.count())
+        bucket_bits = bucket_bits_for(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     h = F.md5(F.concat(F.lit(f"{seed}:"), col(key).cast("string")))
     base = df.withColumn("_s", stratum).withColumn("_h", h)
     if bucket_bits == 0:

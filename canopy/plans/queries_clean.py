@@ -23,7 +23,6 @@ from ..operators.folds import fold_sql, percentiles_by
 L1 = tables.fixture_sql("charge")
 L3 = tables.fixture_sql("messy_part")
 L4 = tables.fixture_sql("ordinal_orders")
-RARE_THRESHOLD_L3 = 240   # bites at sf0.01 (about 220 rows per first word)
 MPG_MAP_L3 = {**datasets.MANUFACTURER_MAP, "redd": "red"}
 CALIFORNIA_CAP_ORDERS = 400000.0
 
@@ -74,24 +73,35 @@ def q_a1(spark, sf_dir):
     return clean.value_counts(q_j2(spark, sf_dir), "manufacturer")
 
 
+#: The stand-in's words are about equally frequent: "rare" is what has fewer rows than the mean, at any size.
+_MEAN_SQL = "(select count(*) // count(distinct manufacturer) from {} where manufacturer is not null)".format
+
+
+def _mean_count(words) -> int:
+    r = words.where("manufacturer is not null").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("manufacturer").alias("d")).first()
+    return r["n"] // max(r["d"], 1)
+
+
 @register("a2_rare_values",
           f"select manufacturer, count(*) as n from ({_MANU_SQL}) m where manufacturer is not null "
-          f"group by manufacturer having count(*) < {RARE_THRESHOLD_L3}")
+          f"group by manufacturer having count(*) < {_MEAN_SQL(f'({_MANU_SQL})')}")
 def q_a2(spark, sf_dir):
-    return clean.rare_values(q_j2(spark, sf_dir), "manufacturer", RARE_THRESHOLD_L3)
+    words = q_j2(spark, sf_dir)
+    return clean.rare_values(words, "manufacturer", _mean_count(words))
 
 
 _RARE_SQL = f"""
 with m as ({_MANU_SQL}),
 c as (select manufacturer, count(*) as n from m where manufacturer is not null group by 1)
-select m.p_partkey, case when c.n < {RARE_THRESHOLD_L3} then 'other' else m.manufacturer end
+select m.p_partkey, case when c.n < {_MEAN_SQL('m')} then 'other' else m.manufacturer end
        as manufacturer
 from m left join c on m.manufacturer = c.manufacturer"""
 
 
 @register("j1_rare_to_other", _RARE_SQL)
 def q_j1(spark, sf_dir):
-    return clean.replace_rare(q_j2(spark, sf_dir), "manufacturer", RARE_THRESHOLD_L3)
+    words = q_j2(spark, sf_dir)
+    return clean.replace_rare(words, "manufacturer", _mean_count(words))
 
 
 _D2_SQL = f"""
@@ -99,7 +109,7 @@ with m as (select p_partkey, {_case_map(F1_SQL, MPG_MAP_L3, True)} as manufactur
                   try_cast(horsepower as double) as horsepower, mpg from ({L3}) t),
 c as (select manufacturer, count(*) as n from m where manufacturer is not null group by 1),
 r as (select m.p_partkey, m.horsepower, m.mpg,
-             case when c.n < {RARE_THRESHOLD_L3} then 'other' else m.manufacturer end as manufacturer
+             case when c.n < {_MEAN_SQL('m')} then 'other' else m.manufacturer end as manufacturer
       from m left join c on m.manufacturer = c.manufacturer)
 """ + "select * from (" + fold_sql("select * from r", "p_partkey", "coalesce(manufacturer, '')",
                                     extra_cols=", horsepower, mpg, manufacturer") + ") f"
@@ -107,8 +117,9 @@ r as (select m.p_partkey, m.horsepower, m.mpg,
 
 @register("d2_auto_mpg_prepare", _D2_SQL)
 def q_d2(spark, sf_dir):
-    return datasets.prepare_auto_mpg(tables.messy_parts(spark, sf_dir), "p_partkey",
-                                     name_map=MPG_MAP_L3, rare_threshold=RARE_THRESHOLD_L3)
+    parts = tables.messy_parts(spark, sf_dir)
+    words = parts.select(lookup_keep(first_token_lower("car_name"), MPG_MAP_L3).alias("manufacturer"))
+    return datasets.prepare_auto_mpg(parts, "p_partkey", name_map=MPG_MAP_L3, rare_threshold=_mean_count(words))
 
 
 @register("f3_ratio_pct", f"select o_orderkey, round_even(part_area / sale_price * 100, 2) "

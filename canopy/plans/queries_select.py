@@ -17,7 +17,7 @@ from ..functions.metrics import MAPE_EPS
 from ..functions.scalar import fold_label
 from ..operators import select
 from ..session import scratch_path
-from ..sources.sinks import format_2dp, write_processed, write_results
+from ..sources.sinks import ROWS, format_2dp, write_processed, write_results
 from ..sources.text import read_processed, read_results
 from .oracle import charge_folds_sql
 from .queries_boost import _folded
@@ -146,11 +146,14 @@ def q_2dp(spark, sf_dir):
 
 @register("k2_results_readback", _RESULTS + "select * from best where dataset = 'R'")
 def q_readback(spark, sf_dir):
-    """K2 + S4: written by dataset, one dataset's rows written again, read back with a dataset filter."""
+    """K2 + S4: committed by one run, one dataset committed again by a later run, rows of a third that never were;
+    read back with a dataset filter."""
     best = select.choose_best(mean_predictor_results(spark, sf_dir))
     path = scratch_path(spark, "results")
-    write_results(best, path)
-    write_results(best.where("dataset = 'R'"), path)      # replaces that dataset only
+    write_results(best.withColumn("cv_mape", F.lit(0.0)), path)
+    write_results(best.where("dataset = 'R'"), path)      # the later run of that dataset
+    (best.withColumn("run", F.lit("z")).withColumn("version", F.lit("z"))
+     .write.mode("append").partitionBy("dataset", "run", "version").parquet(f"{path}/{ROWS}"))
     return read_results(spark, path, ["R", "absent"])
 
 

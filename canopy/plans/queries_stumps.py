@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import MAPE_EPS
-from ..operators import explain
+from ..operators import explain, select
 from ..operators.boost.bins import feature_spec
 from ..operators.boost.fit import BoostParams
 from ..operators.boost.score import model_table, predict
 from ..operators.folds import assign_folds
+from ..session import scratch_path
 from ..sources import tables
+from ..sources.sinks import write_diagnostics
+from ..sources.text import read_diagnostics
 from . import study
 from .oracle import charge_folds_sql
 from .queries_boost import SQL_BINS, _folded, _probs
@@ -95,10 +98,10 @@ def _left(bin_: str) -> str:
     return f"case when {bin_} < 0 then b.dl when b.is_cat then list_contains(b.left_bins, {bin_}) else {bin_} <= b.bin end"
 
 
-def _curve_sql() -> str:
+def _curve_sql(rounds: int = ROUNDS) -> str:
     return ", curve as (" + " union all ".join(
         f"select k, {t} as t, avg((m - y) * (m - y)) as loss, avg(abs(y - m) / greatest(abs(y), {MAPE_EPS!r})) as mape "
-        f"from r{t} where fold = k group by k" for t in range(1, ROUNDS + 1)) + ")\n"
+        f"from r{t} where fold = k group by k" for t in range(1, rounds + 1)) + ")\n"
 
 
 def _noise(spark, sf_dir) -> DataFrame:
@@ -230,3 +233,58 @@ def q_pdp(spark, sf_dir):
     grid = [lo + i * (hi - lo) / (_GRID - 1) for i in range(_GRID)]
     out = explain.partial_dependence(test, res.features, m.trees, m.base_margin, PARAMS.objective, "price", grid)
     return out.select("grid_ix", F.round("grid_value", 6).alias("grid_value"), F.round("pdp", 4).alias("pdp"))
+
+
+_PRED_AT = "r0.m" + "".join(
+    f" + {LR} * (select case when {_left('case when b.feature = 0 then gb.bin else r0.bs[b.feature + 1] end')} "
+    f"then wl else wr end from best{t} b)" for t in range(1, ROUNDS + 1))
+_GRID_SQL = f"""
+, span as (select min(price) as lo, max(price) as hi from _folded where fold = 6),
+grid as (select i as grid_ix, lo + i * (hi - lo) / {_GRID - 1} as v from span, range(0, {_GRID}) g(i)),
+gb as (select grid_ix, v, {_bin_sql('price', 'v')} as bin from grid),
+lines as (select * from r0 where fold = 6 order by md5('42:' || row_key), row_key limit {study.ICE_LINES}),
+ice as (select r0.row_key, cast(grid_ix as integer) as grid_ix, v as grid_value, {_PRED_AT} as pred from gb, lines r0)
+"""
+
+
+@register("m24_stump_ice", _FIT_SQL + _GRID_SQL + "select row_key, grid_ix, round(grid_value, 6) as grid_value, "
+          "round(pred, 4) as pred from ice")
+def q_ice(spark, sf_dir):
+    """O4 + J6: the model's predictions of fifty sampled test rows at 25 prices."""
+    m = (res := _charge_model(spark, sf_dir)).models[0]
+    test = _folded(spark, sf_dir).where("fold = 6")
+    lo, hi = explain.min_max(test, "price")
+    grid = [lo + i * (hi - lo) / (_GRID - 1) for i in range(_GRID)]
+    out = explain.ice_curves(test, "row_key", res.features, m.trees, m.base_margin, PARAMS.objective, "price", grid,
+                             study.ICE_LINES)
+    return out.select("row_key", "grid_ix", F.round("grid_value", 6).alias("grid_value"), F.round("pred", 4).alias("pred"))
+
+
+_STEPS = "(select *, pred - lag(pred) over (partition by row_key order by grid_ix) as step from ice)"
+
+
+@register("m26_stump_diagnostics", _FIT_SQL + _GRID_SQL + f"""
+, raw as ({' union all '.join(f"select feature, loss_chg as gain from best{t}" for t in range(1, ROUNDS + 1))}),
+shares as (select names.feature, coalesce(avg(gain), 0) as gain
+           from (select unnest(['{"', '".join(CHARGE)}']) as feature, unnest(range(0, {len(CHARGE)})) as ix) names
+           left join raw on raw.feature = ix group by names.feature),
+pdp as (select cast(grid_ix as integer) as grid_ix, avg({_PRED_AT}) as pdp from gb, r0 where r0.fold = 6 group by grid_ix)
+select 'importance' as kind, feature, cast(null as varchar) as row_key, cast(null as integer) as grid_ix,
+       round(100 * gain / sum(gain) over (), 6) as value from shares
+union all select 'pdp', 'price', null, grid_ix, round(pdp, 4) from pdp
+union all select 'ice', 'price', row_key, grid_ix, round(pred, 4) from ice
+union all select 'violations', 'price', row_key, grid_ix, round(step, 4) from {_STEPS} where -1 * step < -1e-9""")
+def q_diagnostics(spark, sf_dir):
+    """Importance, partial dependence, ICE curves and steps against a (wrong) falling price, written and
+    read back."""
+    res = _charge_model(spark, sf_dir)
+    st = study.StudyResult("charge", None, [], [res], {"monotonic": (res, res.models[0])}, CHARGE, {"price": -1})
+    path = scratch_path(spark, "diagnostics")
+    write_diagnostics(study.diagnostics(spark, _folded(spark, sf_dir).where("fold = 6"), "row_key", st, _GRID), path)
+    none = {"row_key": F.lit(None).cast("string"), "grid_ix": F.lit(None).cast("int")}
+    parts = [read_diagnostics(spark, path, "importance").withColumns(none).withColumn("value", F.round("pct", 6)),
+             read_diagnostics(spark, path, "pdp").withColumn("row_key", none["row_key"]).withColumn("value", F.round("pdp", 4)),
+             read_diagnostics(spark, path, "ice").withColumn("value", F.round("pred", 4)),
+             read_diagnostics(spark, path, "violations").withColumn("value", F.round("step", 4))]
+    return select.union_all([p.select(F.lit(k).alias("kind"), "feature", "row_key", "grid_ix", "value")
+                             for k, p in zip(("importance", "pdp", "ice", "violations"), parts)])

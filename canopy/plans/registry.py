@@ -48,3 +48,4 @@ def _load_all() -> None:
     from . import queries_select  # noqa: F401
     from . import queries_stumps  # noqa: F401
     from . import queries_trees  # noqa: F401
+    from . import queries_study  # noqa: F401

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import ape
-from ..operators.folds import assign_folds, percentiles_by
+from ..operators.folds import assign_folds, percentiles_of_subsets
 from ..sources.tables import charge_rows
 
 N_FOLDS = 6  # fold 6 is the hold-out test fold
@@ -28,8 +28,9 @@ def train_fold_models(df: DataFrame, n_folds: int = N_FOLDS, fold_col: str = "fo
 
 def median_predictor_cv(df: DataFrame, y: str = "charge", n_folds: int = N_FOLDS) -> DataFrame:
     """A7 + A8: per-fold MAPE of the median of the other training folds."""
-    med = percentiles_by(train_fold_models(df.select("fold", y), n_folds), y, [0.5], ["k"]).select(
-        "k", F.col("value").alias("median_pred"))
+    train = {str(k): (F.col("fold") != n_folds) & (F.col("fold") != k) for k in range(1, n_folds)}
+    med = percentiles_of_subsets(df.select("fold", y), y, [0.5], train).select(
+        F.col("subset").cast("int").alias("k"), F.col("value").alias("median_pred"))
     val = df.where(F.col("fold") != n_folds).select(F.col("fold").alias("k"), y)
     per_fold = (val.join(F.broadcast(med), "k")
                    .groupBy("k").agg(F.count(F.lit(1)).alias("n_val"),

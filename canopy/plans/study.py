@@ -22,7 +22,7 @@ from ..operators import explain, select
 from ..operators.boost.bins import feature_spec
 from ..operators.boost.fit import BatchResult, BoostParams, ModelSpec, Trainer
 from ..operators.boost.score import model_table
-from ..sources.sinks import write_importances, write_results
+from ..sources.sinks import new_run, write_diagnostics, write_importances, write_results
 from ..sources.text import read_results
 
 # ---- Fixed values (must equal the reference's) ------------------------------
@@ -222,15 +222,16 @@ def run_all(spark: SparkSession, config: DataFrame, load: Callable[[str], tuple[
     """Every configured dataset in config order; a failure is recorded,
     not raised.  Returns (status rows, summary of chosen rows).
 
-    With ``out_path`` each dataset's result rows are written below
-    ``out_path/results`` (K2) and its importances below ``out_path/importance``
-    (K3) as soon as it is done; the summary is then made of the rows read back, in config
-    and report order, and written to ``out_path/summary`` (K4).
+    With ``out_path`` each dataset's result rows are committed below
+    ``out_path/results`` (K2) under this run's id, its importances below ``out_path/importance``
+    (K3) and its winners' curves below ``out_path/diagnostics`` (M26) as soon as it is done.  The summary is
+    made of the rows that this run committed, read back, in config and report order, and written to
+    ``out_path/summary`` (K4): what earlier runs left for a dataset that fails now stays out.
 
     ``config`` columns: dataset, target, monotonic (map feature -> direction),
     objective, lr.  ``load(dataset)`` gives (prepared DataFrame, key column).
     """
-    status, chosen = [], []
+    status, chosen, run = [], [], new_run()
     for c in config.collect():           # the config table: a handful of rows
         name = c["dataset"]
         try:
@@ -240,8 +241,10 @@ def run_all(spark: SparkSession, config: DataFrame, load: Callable[[str], tuple[
             st = run_grid_search(df, key, c["target"], name, dict(c["monotonic"] or {}),
                                  max_depths, p, phase1_pcts=phase1_pcts)
             if out_path:
-                write_results(st.results, f"{out_path}/results")
-                write_importances(select.pivot_importance(importance_table(spark, st)), f"{out_path}/importance/{name}")
+                found = diagnostics(spark, df.where(F.col("fold") == TEST_FOLD), key, st)
+                write_diagnostics(found, f"{out_path}/diagnostics/{name}")
+                write_importances(found["importance_wide"], f"{out_path}/importance/{name}")
+                write_results(st.results, f"{out_path}/results", run)
             else:
                 chosen.append(select.chosen(st.results))
             status.append((name, "ok", None))
@@ -251,7 +254,7 @@ def run_all(spark: SparkSession, config: DataFrame, load: Callable[[str], tuple[
     st_df = spark.createDataFrame(status, "dataset string, status string, error string")
     done = [name for name, state, _ in status if state == "ok"]
     if out_path and done:
-        summary = select.in_report_order(select.chosen(read_results(spark, f"{out_path}/results", done)), done)
+        summary = select.in_report_order(select.chosen(read_results(spark, f"{out_path}/results", done, run)), done)
         # a few rows per dataset, in order, as one file
         summary.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/summary")
         return st_df, spark.read.parquet(f"{out_path}/summary")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sinks import MANIFEST, ROWS
 from ..functions.scalar import constraint_direction, constraint_feature, file_stem, fold_from_label, split_list
 
 # The config defaults.
@@ -69,11 +70,28 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("monotonic", entries)
 
 
-def read_results(spark: SparkSession, path: str, datasets: Sequence[str] | None = None) -> DataFrame:
-    """The partitioned results table, filtered to ``datasets`` (partition
-    pruning; absent partitions give no rows)."""
-    df = spark.read.parquet(path)
-    return df.where(F.col("dataset").isin(list(datasets))) if datasets else df
+def read_results(spark: SparkSession, path: str, datasets: Sequence[str] | None = None, run: str | None = None) -> DataFrame:
+    """The committed rows of ``datasets`` (default: all), of one run or else of each dataset's latest
+    run.  Datasets that have none give no rows; partitions of other runs are not read."""
+    committed = spark.read.parquet(f"{path}/{MANIFEST}")
+    if datasets is not None:
+        committed = committed.where(F.col("dataset").isin(list(datasets)))
+    if run is not None:
+        committed = committed.where(F.col("run") == run)
+    latest = committed.groupBy("dataset").agg(F.max_by("version", F.struct("run", "version")).alias("version"))
+    versions = [r["version"] for r in latest.select("version").distinct().collect()]     # a version per dataset and run
+    schema = ", ".join(f"{c} string" for c in ("dataset", "run", "version"))
+    rows = spark.read.parquet(f"{path}/{ROWS}")
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in ("dataset", "version")}).drop("run").where(
+        F.col("version").isin(versions))
+    told = spark.createDataFrame(latest.collect(), "dataset string, version string") if versions else \
+        spark.createDataFrame([], schema).select("dataset", "version")
+    return rows.join(F.broadcast(told), ["dataset", "version"], "left_semi").drop("version")
+
+
+def read_diagnostics(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One table that ``write_diagnostics`` wrote."""
+    return spark.read.parquet(f"{path}/{name}")
 
 
 def read_processed(spark: SparkSession, path: str, n_folds: int = 6) -> DataFrame:
