@@ -52,26 +52,52 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def step(p: dict, h: np.ndarray, x: np.ndarray):
-    hu = h @ p["u"]
-    k = HIDDEN
-    g = _sigmoid(x[:, :2 * k] + hu[:, :2 * k])
-    r, z = g[:, :k], g[:, k:]
-    c = np.tanh(x[:, 2 * k:] + r * hu[:, 2 * k:])
-    return c + z * (h - c), r, z, c, hu[:, 2 * k:]
-
-
-def _log_sum(w: np.ndarray) -> np.ndarray:
-    """Row-wise log of the sum of exponentials; by each row's own maximum only where one for all
-    rows would lose it."""
-    top = w.max()
-    total = np.exp(w - top).sum(axis=1)
-    out = top + np.log(np.maximum(total, F(1e-30)))
-    low = total < F(1e-20)
-    if low.any():
-        m = w[low].max(axis=1)
-        out[low] = m + np.log(np.exp(w[low] - m[:, None]).sum(axis=1))
-    return out
+def gates(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The reset, update and candidate thirds of an array's last axis, each in one piece: what works on whole
+    arrays then runs over them end to end."""
+    return tuple(np.ascontiguousarray(w[..., k * HIDDEN:(k + 1) * HIDDEN]) for k in range(3))
+
+
+def step(u: tuple, h: np.ndarray, xr: np.ndarray, xz: np.ndarray, xc: np.ndarray):
+    """The next state, and reset, update, candidate and the candidate's product with the state."""
+    ur, uz, uc = u
+    r = h @ ur
+    r += xr
+    r = _sigmoid(r)
+    z = h @ uz
+    z += xz
+    z = _sigmoid(z)
+    v = h @ uc
+    c = r * v
+    c += xc
+    np.tanh(c, out=c)
+    new = h - c
+    new *= z
+    new += c
+    return new, r, z, c, v
+
+
+def _exp(w: np.ndarray) -> np.ndarray:
+    """Row-wise exponentials of scores, in place, and their sums.  Scores are shifted only where they must be: all by
+    the greatest if that is large, and a row by its own where nothing would be left of it."""
+    top = float(w.max(initial=0.0))
+    if top > 60:
+        w -= F(top)
+    low = w.max(axis=1) if top > 60 or float(w.min(initial=0.0)) < -60 else None
+    if low is not None and (low < -60).any():
+        at = low < -60
+        w[at] -= low[at][:, None]
+    np.exp(w, out=w)
+    return w.sum(axis=1)
+
+
+def _log_probs(w: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row-wise log of the softmax of ``w`` (which is used up) at ``y``."""
+    if w.size and (float(w.max()) > 60 or float(w.min()) < -60):
+        w -= w.max(axis=1, keepdims=True)
+    own = w[np.arange(len(y)), y]
+    np.exp(w, out=w)
+    return own - np.log(w.sum(axis=1))
 
 
 def log_probs(p: dict, layout: Layout, h: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -79,7 +105,7 @@ def log_probs(p: dict, layout: Layout, h: np.ndarray, y: np.ndarray) -> np.ndarr
     logit = h @ p["wc"]
     logit += p["bc"]
     cls = layout.cls[y]
-    out = logit[np.arange(len(y)), cls] - _log_sum(logit)
+    out = _log_probs(logit, cls)
     order = np.argsort(cls.astype(np.uint8) if len(layout.members) < 256 else cls, kind="stable")
     cuts = np.searchsorted(cls[order], np.arange(len(layout.members) + 1))
     for c, m in enumerate(layout.members):
@@ -88,7 +114,7 @@ def log_probs(p: dict, layout: Layout, h: np.ndarray, y: np.ndarray) -> np.ndarr
             a, b = m[0], m[-1] + 1
             w = h[i] @ p["ww"][a:b].T
             w += p["bw"][a:b]
-            out[i] += w[np.arange(len(i)), y[i] - a] - _log_sum(w)
+            out[i] += _log_probs(w, y[i] - a)
     return out
 
 
@@ -141,21 +167,23 @@ def score(p: dict, layout: Layout, symbols: np.ndarray, off: np.ndarray, lanes:
     fresh[off[:-1]] = True
     state = np.zeros((len(plan.filled), HIDDEN), F)
     into = np.zeros(len(plan.filled), np.int64)
+    u = gates(p["u"])
     for t in range(0, plan.steps, WINDOW):
         w = min(WINDOW, plan.steps - t)
         pos = plan.window(t, w)
         new_text = fresh[pos]
         some = new_text.any(axis=1)
         sym = symbols[pos]
+        xr, xz, xc = gates(p["x"][np.vstack([into[None, :sym.shape[1]], sym[:-1]])])
         held = []
         for k in range(w):
             n = int(plan.live[t + k])
-            h, *_ = step(p, state[:n], p["x"][into[:n]])
+            h, *_ = step(u, state[:n], xr[k, :n], xz[k, :n], xc[k, :n])
             if some[k]:
                 h[new_text[k, :n]] = 0
             state[:n] = h
-            into[:n] = sym[k, :n]
             held.append(h)
+        into[:n] = sym[-1, :n]
         at = pos[pos >= 0]
         out[at] = log_probs(p, layout, np.concatenate(held), symbols[at])
     return out
@@ -178,7 +206,7 @@ class Adam:
             p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + F(1e-6))
 
 
-def train(p: dict, layout: Layout, symbols: np.ndarray, off: np.ndarray, rate: float, lanes: int = 512,
+def train(p: dict, layout: Layout, symbols: np.ndarray, off: np.ndarray, rate: float, lanes: int = 256,
           opt: Adam | None = None) -> Adam:
     """One pass of truncated backpropagation over the documents; ``p`` is changed in place."""
     opt = opt or Adam(p, rate)
@@ -193,64 +221,91 @@ def train(p: dict, layout: Layout, symbols: np.ndarray, off: np.ndarray, rate: f
     for t in range(0, plan.steps, WINDOW):
         w = min(WINDOW, plan.steps - t)
         pos = plan.window(t, w)
-        tape, held, ys = [], [], []
-        for k in range(w):
-            n = int(plan.live[t + k])
-            at = pos[k, :n]
-            go = ~fresh[at] & (last[:n] >= 0)
+        # What goes in is known ahead: the symbol before, or none at a document's start.
+        lanes_now = int(plan.live[t])
+        before = np.vstack([last[None, :lanes_now], pos[:-1]])
+        goes = ~fresh[pos] & (before >= 0)
+        intos = symbols[before]
+        xr, xz, xc = gates(p["x"][intos])
+        u = gates(p["u"])
+        # Lanes end from the last one on, so the window's steps lie one after the other, each a prefix of the lanes.
+        live = [int(n) for n in plan.live[t:t + w]]
+        ends = np.cumsum(live)
+        on = np.concatenate([np.arange(n) + k * lanes_now for k, n in enumerate(live)]) if live[-1] < lanes_now else slice(None)
+        flat = lambda x: x.reshape(w * lanes_now, *x.shape[2:])[on]
+        olds, rs, zs, cs, vs, news = (np.empty((w, lanes_now, HIDDEN), F) for _ in range(6))
+        stop = ~goes
+        some = stop.any(axis=1)
+        for k, n in enumerate(live):
             old = state[:n]
-            into = symbols[last[:n]]
-            new, r, z, c, hn = step(p, old, p["x"][into])
-            h = np.where(go[:, None], new, F(0))
-            tape.append((n, into, old.copy(), r, z, c, hn, go))
-            state[:n] = h
-            last[:n] = at
-            held.append(h)
-            ys.append(at)
-        at = np.concatenate(ys)
-        y, h = symbols[at], np.concatenate(held)
+            olds[k, :n] = old
+            new, rs[k, :n], zs[k, :n], cs[k, :n], vs[k, :n] = step(u, old, xr[k, :n], xz[k, :n], xc[k, :n])
+            if some[k]:
+                new[stop[k, :n]] = 0
+            news[k, :n] = state[:n] = new
+            last[:n] = pos[k, :n]
+        at = flat(pos)
+        stop, into, old, r, z, new, v, h = map(flat, (stop, intos, olds, rs, zs, cs, vs, news))
+        y = symbols[at]
         g = {k: np.zeros_like(v) for k, v in p.items()}
         scale = F(1.0 / len(y))
-        logit = h @ p["wc"] + p["bc"]
-        logit -= logit.max(axis=1, keepdims=True)
-        e = np.exp(logit)
-        e /= e.sum(axis=1, keepdims=True)
+        e = h @ p["wc"]
+        e += p["bc"]
         cls = layout.cls[y]
-        e[np.arange(len(y)), cls] -= 1
-        e *= scale
+        e *= (scale / _exp(e))[:, None]
+        e[np.arange(len(y)), cls] -= scale
         g["wc"], g["bc"] = h.T @ e, e.sum(axis=0)
         dh = e @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.uint8) if len(layout.members) < 256 else cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(len(layout.members) + 1))
+        sorted_h, sorted_y = h[order], y[order]
+        inner = np.zeros_like(sorted_h)
         for c, m in enumerate(layout.members):
-            if len(m) > 1 and cuts[c] < cuts[c + 1]:
-                i = order[cuts[c]:cuts[c + 1]]
+            lo, hi = cuts[c], cuts[c + 1]
+            if len(m) > 1 and lo < hi:
                 a, b = m[0], m[-1] + 1
-                q = h[i] @ p["ww"][a:b].T + p["bw"][a:b]
-                q = np.exp(q - q.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(i)), y[i] - a] -= 1
-                q *= scale
-                g["ww"][a:b] += q.T @ h[i]
-                g["bw"][a:b] += q.sum(axis=0)
-                dh[i] += q @ p["ww"][a:b]
-        ends = np.cumsum([n for n, *_ in tape])
-        back = np.zeros((tape[0][0], HIDDEN), F)
-        gx, rows = [], []
+                own = sorted_h[lo:hi]
+                q = own @ p["ww"][a:b].T
+                q += p["bw"][a:b]
+                q *= (scale / _exp(q))[:, None]
+                q[np.arange(hi - lo), sorted_y[lo:hi] - a] -= scale
+                g["ww"][a:b] = q.T @ own
+                g["bw"][a:b] = q.sum(axis=0)
+                np.matmul(q, p["ww"][a:b], out=inner[lo:hi])
+        dh[order] += inner
+        # Per position what a state's gradient is worth to the gates; nothing where a document starts.
+        zero = np.flatnonzero(stop)
+        to_c = (1 - z) * (1 - new * new)
+        to_z = old - new
+        to_z *= z
+        to_z *= 1 - z
+        to_r = to_c * v
+        to_r *= r
+        to_r *= 1 - r
+        to_v = to_c * r
+        for x in (to_c, to_z, to_r, to_v, z, dh):
+            x[zero] = 0
+        back = np.zeros((live[0], HIDDEN), F)
+        ur, uz, uc = (np.ascontiguousarray(x.T) for x in u)
+        held = ~stop
         for k in range(w - 1, -1, -1):
-            n, into, old, r, z, c, hn, go = tape[k]
-            d = (dh[ends[k] - n:ends[k]] + back[:n]) * go[:, None]
-            dz = d * (old - c) * z * (1 - z)
-            dc = d * (1 - z) * (1 - c * c)
-            dr = dc * hn * r * (1 - r)
-            gate = np.concatenate([dr, dz, dc], axis=1)
-            du = np.concatenate([dr, dz, dc * r], axis=1)
-            g["u"] += old.T @ du
-            back[:n] = du @ p["u"].T + d * z
-            gx.append(gate)
-            rows.append(into)
-        into, gate = np.concatenate(rows), np.concatenate(gx)
-        order = np.argsort(into, kind="stable")
+            n, e = live[k], int(ends[k])
+            d = dh[e - n:e]
+            if some[k]:
+                d += back[:n] * held[e - n:e, None]
+            else:
+                d += back[:n]
+            to_r[e - n:e] *= d
+            to_z[e - n:e] *= d
+            to_v[e - n:e] *= d
+            back[:n] = to_r[e - n:e] @ ur
+            back[:n] += to_z[e - n:e] @ uz
+            back[:n] += to_v[e - n:e] @ uc
+            back[:n] += d * z[e - n:e]
+        to_c *= dh
+        g["u"] = np.concatenate([old.T @ to_r, old.T @ to_z, old.T @ to_v], axis=1)
+        gate = np.concatenate([to_r, to_z, to_c], axis=1)
+        order = np.argsort(into.astype(np.uint16) if layout.n < 1 << 16 else into, kind="stable")
         at = np.flatnonzero(np.concatenate([[True], into[order][1:] != into[order][:-1]]))
         g["x"][into[order][at]] = np.add.reduceat(gate[order], at, axis=0)
         opt.update(p, g)

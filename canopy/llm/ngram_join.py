@@ -217,7 +217,8 @@ def _link_nodes(k: int, percent: int):
         table = pa.Table.from_batches(rows)
         # Rows alike in id and text come once each; one of them stands for all.
         _, once = np.unique(table.column("id").to_numpy(), return_index=True)
-        table = table.take(pa.array(np.sort(once)))
+        if len(once) < table.num_rows:
+            table = table.take(pa.array(np.sort(once)))
         ids, side, known = (table.column(c).to_numpy() for c in ("id", "side", "known"))
         sets = []
         for part in table.to_batches():
