@@ -35,7 +35,9 @@ from .store import stored
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes of a block and of a portion encoded at once.
-BLOCK, PORTION = 16 << 20, 1 << 20
+BLOCK, PORTION = 8 << 20, 1 << 20
+#: Blocks handed to a task at once.
+BATCH_BLOCKS = 2
 #: Fixed value: what byte-level BPE takes for words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space in a run that the faster matcher is given at most.
@@ -274,6 +276,6 @@ def align_tokenizers(docs: DataFrame, tokenizer_a: str = TOKENIZER_A, tokenizer_
         F.collect_list(F.struct("place", "total", "best")).alias("counts"))
     answered = blocks.drop("links").hint("merge").join(counts.hint("merge"), "block", "left").select(
         "docs", *_COUNTS, "groups_sha256", "pairs", "places", "counts")
-    return answered.mapInArrow(_sum_blocks, T.StructType([
+    return stored(answered.mapInArrow(_sum_blocks, T.StructType([
         T.StructField(c, T.StringType() if c == "groups_sha256" else T.LongType())
-        for c in ("doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256")]))
+        for c in ("doc_id", *_COUNTS, "n_best", "count_sum", "groups_sha256")])), "aligned", BATCH_BLOCKS)

@@ -36,8 +36,8 @@ ROUNDS = len(RATES)
 #: Weights are averaged in units of this.
 UNIT = 2.0 ** -40
 BLOCK = 5 << 20
-#: Texts handed to a task at once.
-BATCH_ROWS = 1600
+#: Texts, and blocks of texts, handed to a task at once.
+BATCH_ROWS, BATCH_BLOCKS = 1600, 2
 BUCKET_WORDS = 1_000_000
 SMOOTH = 0.1
 
@@ -310,7 +310,7 @@ def _fitted(model: Model, blocks: DataFrame, train_tokens: int) -> dict:
     spark = blocks.sparkSession
     shards = max(1, -(-train_tokens // SHARD_TOKENS))
     dealt = blocks.select("held", "marks", "first", "index", "words", "shapes").mapInArrow(_deal(model, shards), _SHARD_TYPES)
-    table = stored(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_gather, _SHARD_TYPES), "shards")
+    table = stored(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_gather, _SHARD_TYPES), "shards", 64)
 
     def averaged(learned: DataFrame) -> tuple[int, dict]:
         """Tokens learned and the mean of the shards' weights; sums of integers, in any order."""
@@ -406,6 +406,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.collect_list(F.struct("bucket", "counts")).alias("answers"))
     full = blocks.drop("counts", "distinct", "marks").join(reply, "block", "left").withColumn(
         "buckets", F.lit(buckets).cast("long")).withColumn("documents", F.lit(documents).cast("long"))
-    return full.drop("block").mapInArrow(
+    return stored(full.drop("block").mapInArrow(
         _score_blocks(model, types, train_tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, "
-        "train_tokens long, base_score double, score double")
+        "train_tokens long, base_score double, score double"), "scores", BATCH_BLOCKS)

@@ -807,6 +807,22 @@ def test_tree_join_equals_pairs():
     assert {i: root.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in components(rows).items()}
 
 
+def test_blocks_without_article_tags(spark):
+    """With article tags taken out, word counts and link densities of the neighbours decide (README has the figure)."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    tag = re.compile(r"</?(?:article|main)\b[^>]*>", re.I)
+    both = found = wanted = 0
+    for r in rows:
+        bare = tag.sub(lambda m: "</div>" if m[0][1] == "/" else "<div>", r.html)
+        assert not any(b.article for b in pages.blocks_of(bare))
+        want, got = (Counter(x for x in pages.main_text(h).split("\n") if x) for h in (r.html, bare))
+        both += sum((want & got).values())
+        found += sum(got.values())
+        wanted += sum(want.values())
+    print(f"block F1 {2 * both / (found + wanted):.3f} of {wanted} blocks")
+    assert 2 * both / (found + wanted) > 0.94 and both / found > 0.99
+
+
 # ---- pipeline -------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark):
