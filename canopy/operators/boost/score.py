@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ...functions.scalar import col
 from . import objectives
-from .bins import FeatureSpec, with_missing
+from .bins import FeatureSpec, coded
 
 MODEL_TABLE_SCHEMA = (
     "model string, tree_id int, node_id int, depth int, feature_id int, feature string, "
@@ -39,7 +39,8 @@ def model_rows(name: str, trees: list, spec: FeatureSpec) -> list[tuple]:
                 continue
             cat = bool(t.is_cat[n])
             thr = None if cat else spec.threshold(f, int(t.split_bin[n]))
-            cats = ([spec.categories[f][c] for c in t.cat_left.get(int(n), [])] if cat else None)
+            # A dictionary table's values are not fetched: the codes stand in the tree.
+            cats = [spec.categories[f][c] for c in t.cat_left.get(int(n), [])] if cat and f not in spec.tables else None
             rows.append((name, t_id, int(n), depth, f, spec.names[f], cat,
                          None if cat else int(t.split_bin[n]), thr, cats, bool(t.default_left[n]),
                          False, float(t.gain[n]), float(t.cover[n]), int(t.count[n]),
@@ -74,7 +75,7 @@ def predict(df: DataFrame, spec: FeatureSpec, trees: list, base_margin: float, o
     """Score ``df`` (raw feature columns named as in training, or ``features``)."""
     feats = features or spec.names
     held = df.withColumns({f"_keep{i}": col(c) for i, c in enumerate(keep)}) if keep else df
-    src = with_missing(held, feats).select(*[col(f"_keep{i}").alias(f"k{i}") for i in range(len(keep))],
+    src = coded(held, spec, feats).select(*[col(f"_keep{i}").alias(f"k{i}") for i in range(len(keep))],
                                            *[col(c).alias(f"f{i}") for i, c in enumerate(feats)])
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
                        + [f"`{out}` double"])
@@ -105,6 +106,8 @@ def case_when_sql(trees: list, spec: FeatureSpec, base_margin: float, objective:
         if f < 0:
             return repr(float(t.value[n]))
         c = quote(spec.names[f])
+        if f in spec.tables:
+            raise ValueError(f"the dictionary of {spec.names[f]!r} is a table: too long for SQL text")
         if t.is_cat[n]:
             cats = [spec.categories[f][k] for k in t.cat_left.get(int(n), [])]
             test = f"{c} in ({', '.join(_sql_lit(x) for x in cats)})" if cats else "false"

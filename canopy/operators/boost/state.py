@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ...functions.scalar import col
 from ...session import scratch_path
-from .bins import FeatureSpec, with_missing
+from .bins import FeatureSpec, coded
 from .exact import BLOCK_ROWS
 
 #: Bytes of a block and of a bucket at most (a bucket holds at least one block).
@@ -66,7 +66,7 @@ class State:
         self.block_rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // width))
         least = -(-self.rows // self.block_rows)
         self.buckets = max(1, min(least, self.spark.sparkContext.defaultParallelism), -(-self.rows * width // BUCKET_BYTES))
-        rows = with_missing(df, spec.names).select(
+        rows = coded(df, spec).select(
             key_hash(key, seed).alias("_kh"), col(fold).cast("int").alias("_fold"), col(label).cast("double").alias("_y"),
             *[col(c).alias(f"f{i}") for i, c in enumerate(spec.names)])
         # Sorted, so that a task that runs again makes the same blocks.

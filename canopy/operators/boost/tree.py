@@ -28,7 +28,7 @@ class Tree:
     upper: np.ndarray = field(default=None)
     used: np.ndarray = field(default=None)          # bool, node exists
     cat_left: dict = field(default_factory=dict)    # node -> sorted int array of left codes
-    _cat_matrix: np.ndarray | None = field(default=None, repr=False)
+    _cat_matrix: tuple | None = field(default=None, repr=False)
 
     @classmethod
     def empty(cls, depth: int) -> "Tree":
@@ -40,15 +40,18 @@ class Tree:
                    count=np.zeros(h, np.int64), lower=np.full(h, -np.inf),
                    upper=np.full(h, np.inf), used=np.zeros(h, bool))
 
-    def cat_matrix(self) -> np.ndarray | None:
+    def cat_matrix(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """(row of each node, rows of left codes as flags); only categorical nodes have a row of their own."""
         if not self.cat_left:
             return None
         if self._cat_matrix is None:
             width = 1 + max((int(v.max()) if len(v) else 0) for v in self.cat_left.values())
-            m = np.zeros((len(self.feature), width), bool)
-            for node, codes in self.cat_left.items():
-                m[node, codes] = True
-            self._cat_matrix = m
+            at = np.zeros(len(self.feature), np.int64)
+            m = np.zeros((1 + len(self.cat_left), width), bool)
+            for k, (node, codes) in enumerate(self.cat_left.items(), 1):
+                at[node] = k
+                m[k, codes] = True
+            self._cat_matrix = at, m
         return self._cat_matrix
 
     def route(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
@@ -65,8 +68,9 @@ class Tree:
             b = bins[rows, np.where(internal, f, 0)]
             left = b <= self.split_bin[node]
             if catm is not None:
-                w = catm.shape[1]
-                in_set = catm[node, np.clip(b, 0, w - 1)] & (b >= 0) & (b < w)
+                at, flags = catm
+                w = flags.shape[1]
+                in_set = flags[at[node], np.clip(b, 0, w - 1)] & (b >= 0) & (b < w)
                 left = np.where(self.is_cat[node], in_set, left)
             left = np.where(b < 0, self.default_left[node], left)
             node = np.where(internal, 2 * node + 2 - left.astype(np.int64), node)
@@ -82,7 +86,7 @@ class Tree:
         end = min(len(self.feature), 2 * last + 1)     # children of the last split are there
         return Tree(depth=self.depth, feature=self.feature[:end].astype(np.int32), split_bin=self.split_bin[:end],
                     default_left=self.default_left[:end], is_cat=self.is_cat[:end], value=self.value[:end],
-                    cat_left={n: c for n, c in self.cat_left.items() if n < end})
+                    cat_left={n: c.astype(np.int32) for n, c in self.cat_left.items() if n < end})
 
     def _goes_left(self, node: int, b: np.ndarray) -> np.ndarray:
         left = np.isin(b, self.cat_left.get(node, ())) if self.is_cat[node] else b <= self.split_bin[node]

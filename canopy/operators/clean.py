@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.scalar import col
-from ..session import scratch_path
+from .folds import sums_before
 from .joins import join_small
 
 
@@ -56,24 +56,11 @@ def distinct_count(df: DataFrame, cols: Sequence[str], approx: bool = False) ->
 
 
 def dictionary(df: DataFrame, c: str) -> DataFrame:
-    """F11 dictionary: distinct non-NULL values in sorted order -> 0-based code.
-
-    The values are range-partitioned and written once; a value's code is its place in its part plus the sizes of the
-    parts before, of which one number each reaches the driver.  No task holds all values."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "dictionary")
+    """F11 dictionary: distinct non-NULL values in sorted order -> 0-based code, which is the number of values
+    before (``folds.sums_before``), so no task holds all values."""
     values = df.select(col(c).alias("value")).where(F.col("value").isNotNull()).distinct()
-    values.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "value").withColumn(
-        "part", F.spark_partition_id()).write.parquet(path)
-    parts = spark.read.parquet(path)
-    sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, run = [], 0
-    for part in range(max(sizes, default=-1) + 1):
-        before.append(run)
-        run += sizes.get(part, 0)
-    place = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
-    first = F.element_at(F.array(*map(F.lit, before)), F.col("part") + 1) if before else F.lit(0)
-    return parts.select("value", (first + place).cast("int").alias("code"))
+    return sums_before(values.withColumn("_one", F.lit(1)), "value", "_one", "code").select(
+        "value", F.col("code").cast("int").alias("code"))
 
 
 def dictionary_encode(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import col, linspace_value
 from .boost import objectives
-from .boost.bins import with_missing
+from .boost.bins import coded
 from .boost.score import bin_frame, predict_frame
 
 
@@ -85,7 +85,7 @@ def partial_dependence(df: DataFrame, spec, trees: list, base_margin: float, obj
 
 def _binned(df: DataFrame, spec) -> tuple[DataFrame, list[str]]:
     names = spec.names
-    return (with_missing(df, names).select(*[col(c).alias(f"f{i}") for i, c in enumerate(names)]),
+    return (coded(df, spec).select(*[col(c).alias(f"f{i}") for i, c in enumerate(names)]),
             [f"f{i}" for i in range(len(names))])
 
 
@@ -163,7 +163,7 @@ def ice_curves(df: DataFrame, key: str, spec, trees: list, base_margin: float, o
     fi = names.index(feature)
     trees = [t.routing() for t in trees]
     rows = sample_rows(df, key, n_lines, seed)
-    src = with_missing(rows.withColumn("_row", col(key).cast("string")), names).select(
+    src = coded(rows.withColumn("_row", col(key).cast("string")), spec).select(
                       F.col("_row").alias("row_key"), *[col(c).alias(f"f{i}") for i, c in enumerate(names)])
     cols = [f"f{i}" for i in range(len(names))]
     g = list(grid)

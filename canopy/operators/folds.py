@@ -158,6 +158,26 @@ def stratum_column(df: DataFrame, c: str, n_folds: int) -> Column:
     return F.coalesce(s, F.lit(-1))
 
 
+def sums_before(df: DataFrame, order: str, n: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``n`` over the rows before, by the distinct values of ``order``.
+
+    The rows are range-partitioned and written once; a row's sum is that of its part's rows before it and of the
+    parts before, of which one number each reaches the driver.  No task holds all rows."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "sums")
+    df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn(
+        "_part", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
+    totals = {r["_part"]: r["t"] for r in parts.groupBy("_part").agg(F.sum(n).alias("t")).collect()}
+    first, run = [], 0
+    for part in range(max(totals, default=-1) + 1):
+        first.append(run)
+        run += totals.get(part, 0)
+    before = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.element_at(F.array(*[F.lit(v).cast("long") for v in first]), F.col("_part") + 1) if first else F.lit(0)
+    return parts.withColumn(out, start + F.coalesce(F.sum(n).over(before), F.lit(0))).drop("_part")
+
+
 def bucket_bits_for(partitions: int) -> int:
     """Hash-bucket bits that spread even a stratum holding every row over four groups a partition."""
     return min(24, max(0, (4 * partitions - 1).bit_length()))
@@ -188,10 +208,7 @@ def assign_folds(df: DataFrame, key: str, n_folds: int = 6, seed: int = 42,
     # Small table: rows per (stratum, bucket) -> offset of the bucket's first row
     # in the dealt order (strata in sorted order, buckets in hash order).
     counts = base.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.groupBy("_s").agg(F.sum("_n").alias("_sn"))
-    s_off = sizes.withColumn(
-        "_so", F.coalesce(F.sum("_sn").over(Window.orderBy("_s").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))).select("_s", "_so")
+    s_off = sums_before(counts.groupBy("_s").agg(F.sum("_n").alias("_sn")), "_s", "_sn", "_so").select("_s", "_so")
     b_off = counts.withColumn(
         "_bo", F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)))

@@ -1,6 +1,6 @@
-"""Registered queries: boosting pieces (M3-M8, M10, M14 with DuckDB SQL) and
-the iterative study (M1, M2, M18-M26, W1, W2, W5, U1, U2, P9, P10, J7 -
-rows-only checks; queries_stumps.py and queries_select.py have SQL for the same operators).
+"""Registered queries: boosting pieces (M3-M8, M10, M14 with DuckDB SQL) and a
+deeper study (M21-M24, M26: rows-only checks; queries_stumps.py, queries_trees.py and
+queries_study.py have SQL for the same operators).
 
 Routine settings keep the trees few and shallow so a correctness run stays
 short; every query still reads the whole table.
@@ -16,7 +16,6 @@ from ..operators.boost import objectives
 from ..operators.boost.bins import feature_spec
 from ..operators.boost.fit import BoostParams, ModelSpec, Trainer
 from ..operators.boost.node_split import best_splits
-from ..operators.boost.score import predict
 from ..operators.folds import assign_folds
 from ..session import checkpoint_dir, scratch_path
 from ..sources import tables
@@ -42,7 +41,7 @@ def _folded(spark, sf_dir):
     as parquet in the checkpoint folder and read back by every study query -
     the preprocess -> experiment hand-off of the original, as a shared table."""
     from ..sources.sinks import write_processed
-    k = (id(spark.sparkContext), sf_dir)
+    k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _PREPARED:
         path = scratch_path(spark, "prepared-charge")
         write_processed(assign_folds(tables.charge_rows(spark, sf_dir), "row_key", 6, 42,
@@ -234,7 +233,7 @@ _CACHE: dict = {}
 
 
 def _study(spark, sf_dir):
-    k = ("grid", id(spark.sparkContext), sf_dir)
+    k = ("grid", spark.sparkContext.applicationId, sf_dir)
     if k not in _CACHE:
         # Larger warm-up fractions than the default ones, so that 10 trees give four sizes (5 to 8).
         p = BoostParams(objective="reg:gamma", learning_rate=0.1, max_trees=10, early_stopping_rounds=3)
@@ -244,55 +243,11 @@ def _study(spark, sf_dir):
     return _CACHE[k]
 
 
-@register("m2_cross_validate")
-def q_m2(spark, sf_dir):
-    p = BoostParams(objective="reg:squarederror", **ROUTINE)
-    res = study.cross_validate(_folded(spark, sf_dir), "row_key", "charge", ALL_FEATURES, 3, p)
-    g = res.groups["cv"]
-    rows = [(k + 1, int(t), float(m)) for k, (t, m) in enumerate(zip(g["cv_trees"], g["cv_mapes"]))]
-    return spark.createDataFrame(rows, "fold int, n_trees int, mape double")
-
-
-@register("m18_warmup_fit")
-def q_m18(spark, sf_dir):
-    p = BoostParams(objective="reg:squarederror", **ROUTINE)
-    res = study.fit_final(_folded(spark, sf_dir), "row_key", "charge", ALL_FEATURES, 3, 8, p,
-                          CONSTRAINTS, masked=list(CONSTRAINTS), mask_trees=3)
-    m = res.models[0]
-    rows = [(c, float(v[1] / v[2])) for c, v in sorted(m.curve.items()) if v[2]]
-    return spark.createDataFrame(rows, "n_trees int, test_mape double")
-
-
 @register("m21_grid_search")
 def q_m21(spark, sf_dir):
     return _study(spark, sf_dir).results
 
 
-@register("w1_chosen")
-def q_w1(spark, sf_dir):
-    return select.chosen(_study(spark, sf_dir).results)
-
-
-@register("w2_best_monotonic")
-def q_w2(spark, sf_dir):
-    return select.best_of(_study(spark, sf_dir).results, "monotonic")
-
-
-@register("w5_deltas")
-def q_w5(spark, sf_dir):
-    return select.deltas(_study(spark, sf_dir).results)
-
-
-@register("m25_gain_importance")
-def q_m25(spark, sf_dir):
-    return study.importance_table(spark, _study(spark, sf_dir))
-
-
-@register("j7_importance_pivot")
-def q_j7(spark, sf_dir):
-    return select.pivot_importance(study.importance_table(spark, _study(spark, sf_dir)))
-
-
 def _curves(spark, sf_dir, approach):
     st = _study(spark, sf_dir)
     test = _folded(spark, sf_dir).where("fold = 6")
@@ -326,33 +281,6 @@ def q_m24c(spark, sf_dir):
     return select.union_all(per)
 
 
-@register("m20_predict")
-def q_m20(spark, sf_dir):
-    st = _study(spark, sf_dir)
-    batch, fm = st.winners["monotonic"]
-    test = _folded(spark, sf_dir).where("fold = 6")
-    return predict(test, batch.features, fm.trees, fm.base_margin, batch.params.objective,
-                   ["row_key", "charge"])
-
-
-@register("s4_results_readback")
-def q_s4(spark, sf_dir):
-    """K2 + S4: grid results written partitioned by dataset, read back with a
-    dataset filter (partition pruning)."""
-    from ..sources.sinks import write_results
-    from ..sources.text import read_results
-    path = scratch_path(spark, "results")
-    write_results(_study(spark, sf_dir).results, path)
-    return read_results(spark, path, ["charge", "absent_dataset"])
-
-
-@register("k3_importance_2dp")
-def q_k3(spark, sf_dir):
-    from ..sources.sinks import format_2dp
-    wide = select.pivot_importance(study.importance_table(spark, _study(spark, sf_dir)))
-    return format_2dp(wide, list(select.APPROACHES))
-
-
 @register("m22_run_all")
 def q_m22(spark, sf_dir):
     """M22 over two prepared tables (charge from lineitem, sale price from

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from ..functions.scalar import warmup_trees
 from ..operators import select
 from ..operators.boost.fit import BoostParams
+from ..operators.boost.score import predict
 from ..operators.folds import assign_folds
 from ..session import scratch_path
 from ..sources import tables
-from ..sources.sinks import write_processed
-from ..sources.text import read_config, read_processed
+from ..sources.sinks import format_2dp, write_processed, write_results
+from ..sources.text import read_config, read_processed, read_results
 from . import datasets, registry, study
 from .queries_boost import _folded
 from .queries_stumps import CHARGE, NOISE, PARAMS, _curve_sql, stumps_sql
@@ -102,6 +103,108 @@ def q_run_all(spark, sf_dir):
     return _rounded(summary).join(status.drop("error"), "dataset", "full_outer")
 
 
+# ---------------------------------------------------------------- reports of one saved run
+_RUNS: dict = {}
+
+
+def saved_run(spark, sf_dir) -> str:
+    """Where the noise grid's run was saved: results, winners' importances and model table.  The first report of a
+    session trains it; all of them read what was written."""
+    k = (spark.sparkContext.applicationId, sf_dir)
+    if k not in _RUNS:
+        path = scratch_path(spark, "run")
+        st = study.run_grid_search(_noise(spark, sf_dir), "row_key", "target", "noise", {"quantity": 1}, [1], GRID,
+                                   features=NOISE, phase1_pcts=FRACTIONS)
+        batch, winner = st.winners["monotonic"]
+        predict(_noise(spark, sf_dir).where("fold = 6"), batch.features, winner.trees, winner.base_margin, GRID.objective,
+                ["row_key", "target"]).write.parquet(f"{path}/predictions")
+        study.importance_table(spark, st).write.parquet(f"{path}/importance")
+        write_results(st.results, f"{path}/results")
+        _RUNS[k] = path
+    return _RUNS[k]
+
+
+def _results(spark, sf_dir, datasets: list[str] | None = None) -> DataFrame:
+    return _rounded(read_results(spark, f"{saved_run(spark, sf_dir)}/results", datasets))
+
+
+@register("s4_results_readback", f"select * from {_NOISE_GRID}")
+def q_s4(spark, sf_dir):
+    """K2 + S4: grid results committed, read back with a dataset filter (partition pruning)."""
+    return _results(spark, sf_dir, ["noise", "absent_dataset"])
+
+
+@register("w1_chosen", f"select * from {_NOISE_GRID} where chosen")
+def q_w1(spark, sf_dir):
+    return select.chosen(_results(spark, sf_dir))
+
+
+@register("w2_best_monotonic", f"select * from {_NOISE_GRID} where approach = 'monotonic' and chosen")
+def q_w2(spark, sf_dir):
+    return select.best_of(_results(spark, sf_dir), "monotonic")
+
+
+@register("w5_deltas", f"""with ch as (select * from {_NOISE_GRID} where chosen),
+d as (select a.dataset, a.approach, a.test_mape, a.test_mape - b.test_mape as delta, 100.0 * (a.test_mape - b.test_mape) / b.test_mape as delta_pct
+      from ch a join ch b on a.dataset = b.dataset and b.approach = 'baseline' where a.approach <> 'baseline')
+select dataset, approach, test_mape, round(delta, 8) as delta, round(delta_pct, 5) as delta_pct, printf('%+.1f', delta_pct) || '%' as delta_text from d""")
+def q_w5(spark, sf_dir):
+    return select.deltas(_results(spark, sf_dir)).withColumns({"delta": F.round("delta", 8), "delta_pct": F.round("delta_pct", 5)})
+
+
+def _kept_sql(dirs: dict, warm: int, tail: str) -> str:
+    """``tail`` over the final model's rounds up to its number of trees."""
+    head, _, _ = _config_sql("noise", "target", NOISE, dirs, warm).rpartition("select cv_mape")
+    return f"{head} {tail}"
+
+
+def _gains_sql(dirs: dict, warm: int = 0) -> str:
+    return _kept_sql(dirs, warm, ", gains as (" + " union all ".join(
+        f"select {t} as t, feature, loss_chg from best{t} where k = 6" for t in range(1, ROUNDS + 1)) +
+        ") select feature, loss_chg from gains, total where t <= n_trees")
+
+
+_SHARES = f"""with {', '.join([f"base_g as ({_gains_sql({})})", f"mono_g as ({_gains_sql({'quantity': 1})})"]
+    + [f"warm{w}_g as ({_gains_sql({'quantity': 1}, w)})" for w in SIZES])},
+winner as (select num_trees_phase1 as p1 from {_NOISE_GRID} where chosen and approach = 'progressive'),
+raw as (select 'baseline' as approach, * from base_g union all select 'monotonic', * from mono_g
+        {' '.join(f"union all select 'progressive', g.* from warm{w}_g g, winner where p1 = {w}" for w in SIZES)}),
+names as (select unnest({NOISE!r}) as feature, unnest(range(0, {len(NOISE)})) as ix),
+mean as (select a.approach, names.feature, coalesce(avg(loss_chg), 0) as gain
+         from (values ('baseline'), ('monotonic'), ('progressive')) a(approach), names left join raw on raw.approach = a.approach and raw.feature = ix
+         group by all),
+shares as (select approach, feature, 100 * gain / sum(gain) over (partition by approach) as pct from mean),
+wide as (select feature, {', '.join(f"max(pct) filter (where approach = '{a}') as {a}" for a in select.APPROACHES)} from shares group by feature)
+"""
+
+
+def _importance(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{saved_run(spark, sf_dir)}/importance")
+
+
+@register("m25_gain_importance", _SHARES + "select approach, feature, round(pct, 5) as pct from shares")
+def q_m25(spark, sf_dir):
+    return _importance(spark, sf_dir).withColumn("pct", F.round("pct", 5))
+
+
+@register("j7_importance_pivot", _SHARES + "select feature, " + ", ".join(f"round({a}, 5) as {a}" for a in select.APPROACHES) + " from wide")
+def q_j7(spark, sf_dir):
+    return select.pivot_importance(_importance(spark, sf_dir)).withColumns({a: F.round(a, 5) for a in select.APPROACHES})
+
+
+@register("k3_importance_2dp", _SHARES + "select feature, " + ", ".join(f"printf('%.2f', {a}) as {a}" for a in select.APPROACHES) + " from wide")
+def q_k3(spark, sf_dir):
+    return format_2dp(select.pivot_importance(_importance(spark, sf_dir)), list(select.APPROACHES))
+
+
+@register("m20_predict", _kept_sql({"quantity": 1}, 0, ", scored as (" + " union all ".join(
+    f"select {t} as t, row_key, y, m from r{t} where k = 6 and fold = 6" for t in range(1, ROUNDS + 1)) +
+    ") select row_key, y as target, round(m, 4) as prediction from scored, total where t = n_trees"))
+def q_m20(spark, sf_dir):
+    """The monotonic winner's predictions of the test rows."""
+    return spark.read.parquet(f"{saved_run(spark, sf_dir)}/predictions").withColumn("prediction", F.round("prediction", 4))
+
+
 # ---------------------------------------------------------------- what feeds the study
 _WARMUP = "select o_orderkey, cast(o_totalprice / 1000 as integer) as n_trees, (o_orderkey % 8 + 1) * 0.025::double as pct from orders"
 

@@ -11,16 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.metrics import MAPE_EPS
+from ..operators import explain
 from ..operators.boost.fit import BoostParams, ModelSpec, Trainer
 from ..operators.boost.histogram import sample_constants
 from ..operators.boost.score import model_table
 from ..operators.boost.state import HASH_DIGITS
 from ..operators.folds import assign_folds
 from ..sources import tables
+from . import study
 from .oracle import charge_folds_sql
-from .queries_boost import SQL_BINS, _folded
+from .queries_boost import ALL_FEATURES, CONSTRAINTS, ROUTINE, SQL_BINS, _folded, _probs
 from .queries_stumps import CHARGE, NOISE, TEXT, _bin_sql, _left
-from .queries_boost import _probs
 from .registry import register
 
 DEPTH, LR = 3, 0.5
@@ -48,9 +50,10 @@ def _sampled_sql(seed: int, tree: int, share: float) -> str:
 
 def trees_sql(fixture: str, y: str, features: list[str], depth: int, rounds: int, dirs: dict | None = None,
               objective: str = "reg:squarederror", rows: float = 1.0, columns: float = 1.0, seed: int = 42,
-              models: str = "6") -> str:
-    """CTEs r0..rN (rows x models ``k`` with the margin after each round) and node1..nodeN (each round's nodes)."""
-    probs = ", ".join(repr(p) for p in _probs(SQL_BINS))
+              models: str = "6", lr: float = LR, bins: int = SQL_BINS, masked: tuple = (), mask_trees: int = 0) -> str:
+    """CTEs r0..rN (rows x models ``k`` with the margin after each round) and node1..nodeN (each round's nodes).
+    ``masked`` features are left out of the first ``mask_trees`` trees, after the columns are sampled."""
+    probs = ", ".join(repr(p) for p in _probs(bins))
     g, h, start = _SQL_OBJECTIVE[objective]
     sql = charge_folds_sql(cols=f", {y}, " + ", ".join(features), fixture=fixture, y=y)
     for f in features:
@@ -69,7 +72,10 @@ def trees_sql(fixture: str, y: str, features: list[str], depth: int, rounds: int
     clamp = "greatest(least({}, upper), lower)".format
     for t in range(1, rounds + 1):
         sampled = _sampled_sql(seed, t - 1, rows) if rows < 1 else "true"
-        allowed = f" where feature in {_allowed_sql(features, seed, t - 1, columns)}" if columns < 1 else ""
+        some = [f"feature in {_allowed_sql(features, seed, t - 1, columns)}"] if columns < 1 else []
+        if masked and t <= mask_trees:
+            some.append(f"feature not in ({', '.join(str(features.index(f)) for f in masked)})")
+        allowed = f" where {' and '.join(some)}" if some else ""
         sql += f""", x{t}_0 as materialized (
   select *, {g} as g, {h} as h, 0 as node, fold <> 6 and fold <> k and {sampled} as used from r{t - 1}),
 n{t}_0 as (select distinct k, 0 as node, '-infinity'::double as lower, 'infinity'::double as upper from r{t - 1})
@@ -123,7 +129,7 @@ node{t} as (
   select k, node, feature, dl, loss_chg, wp as w, Ct as C, lower, upper from split{t} join bounds{t} using (k, node)
   union all select k, node, null, null, null, w, C, lower, upper from leaf{t}),
 r{t} as materialized (
-  select x.row_key, x.fold, x.y, x.k, x.bs, x.kh, x.m + {LR} * w as m from x{t}_{depth} x join leaf{t} using (k, node))
+  select x.row_key, x.fold, x.y, x.k, x.bs, x.kh, x.m + {lr} * w as m from x{t}_{depth} x join leaf{t} using (k, node))
 """
     return sql
 
@@ -202,3 +208,89 @@ def q_sampled_predict(spark, sf_dir):
     test = _folded(spark, sf_dir).where("fold = 6")
     out = predict(test, res.features, m.trees, m.base_margin, p.objective, ["row_key"])
     return out.select("row_key", F.round("prediction", 4).alias("prediction"))
+
+
+# ---------------------------------------------------------------- the routine cross-validation and warm-up fit
+def _curve_sql(rounds: int) -> str:
+    return ", curve as (" + " union all ".join(
+        f"select k, {t} as t, avg((m - y) * (m - y)) as loss, avg(abs(y - m) / greatest(abs(y), {MAPE_EPS!r})) as mape "
+        f"from r{t} where fold = k group by k" for t in range(1, rounds + 1)) + ")\n"
+
+
+_TREES, _PATIENCE, _RATE = ROUTINE["max_trees"], ROUTINE["early_stopping_rounds"], ROUTINE["learning_rate"]
+_DEFAULTS = BoostParams()
+_ROUTINE_SQL = dict(rows=_DEFAULTS.subsample, columns=_DEFAULTS.colsample_bytree, lr=_RATE, bins=_DEFAULTS.max_bins)
+
+
+@register("m2_cross_validate", trees_sql("charge", "charge", ALL_FEATURES, 3, _TREES, models="1, 2, 3, 4, 5, 6", **_ROUTINE_SQL)
+          + _curve_sql(_TREES) + f"""
+, best as (select a.k, a.t, arg_min(b.t, (b.loss, b.t)) as best from curve a join curve b on a.k = b.k and b.t <= a.t
+           where a.k <= 5 group by a.k, a.t),
+stop as (select k, coalesce(min(t) filter (where t - best >= {_PATIENCE}), max(t)) as t from best group by k)
+select cast(k as integer) as fold, best as n_trees, round(curve.mape, 9) as mape
+from stop join best using (k, t) join curve on curve.k = stop.k and curve.t = best.best""")
+def q_m2(spark, sf_dir):
+    """Five fold models of depth 3 with the default sampling and bins, each stopped by its own fold."""
+    p = BoostParams(objective="reg:squarederror", **ROUTINE)
+    res = study.cross_validate(_folded(spark, sf_dir), "row_key", "charge", ALL_FEATURES, 3, p)
+    g = res.groups["cv"]
+    rows = [(k + 1, int(t), round(float(m), 9)) for k, (t, m) in enumerate(zip(g["cv_trees"], g["cv_mapes"]))]
+    return spark.createDataFrame(rows, "fold int, n_trees int, mape double")
+
+
+@register("m18_warmup_fit", trees_sql("charge", "charge", ALL_FEATURES, 3, _TREES, CONSTRAINTS, masked=tuple(CONSTRAINTS), mask_trees=3,
+                                      **_ROUTINE_SQL) + _curve_sql(_TREES) + "select t as n_trees, round(mape, 9) as test_mape from curve")
+def q_m18(spark, sf_dir):
+    p = BoostParams(objective="reg:squarederror", **ROUTINE)
+    res = study.fit_final(_folded(spark, sf_dir), "row_key", "charge", ALL_FEATURES, 3, _TREES, p,
+                          CONSTRAINTS, masked=list(CONSTRAINTS), mask_trees=3)
+    m = res.models[0]
+    rows = [(c, round(float(v[1] / v[2]), 9)) for c, v in sorted(m.curve.items()) if v[2]]
+    return spark.createDataFrame(rows, "n_trees int, test_mape double")
+
+
+# ---------------------------------------------------------------- partial dependence behind a log link
+_GRID = 12
+
+
+def _routed_sql(rounds: int, depth: int) -> str:
+    """CTE at0..: test rows at each grid value of the first feature, routed through every tree again."""
+    sql = f""", span as (select min(price) as lo, max(price) as hi from _folded where fold = 6),
+grid as (select i as grid_ix, lo + i * (hi - lo) / {_GRID - 1} as v from span, range(0, {_GRID}) g(i)),
+gb as (select grid_ix, v, {_bin_sql('price', 'v')} as bin from grid),
+at0 as materialized (select row_key, grid_ix, v, k, list_concat([bin], bs[2:]) as bs, m from r0, gb where fold = 6)
+"""
+    for t in range(1, rounds + 1):
+        sql += f", y{t}_0 as (select *, 0 as node from at{t - 1})\n"
+        for d in range(depth):
+            sql += f""", y{t}_{d + 1} as materialized (
+  select x.* exclude (node), case when b.node is null then x.node when {_left('x.bs[b.feature + 1]')} then 2 * x.node + 1
+                                  else 2 * x.node + 2 end as node
+  from y{t}_{d} x left join best{t}_{d} b on x.k = b.k and x.node = b.node)
+"""
+        sql += (f", at{t} as materialized (select x.row_key, x.grid_ix, x.v, x.k, x.bs, x.m + {LR} * w as m "
+                f"from y{t}_{depth} x join leaf{t} using (k, node))\n")
+    return sql
+
+
+@register("m23_deep_pdp", trees_sql("charge", "charge", CHARGE, DEPTH, 2, _DIRS, "reg:gamma") + _routed_sql(2, DEPTH) + """
+select cast(grid_ix as integer) as grid_ix, round(any_value(v), 6) as grid_value, round(avg(exp(m)), 4) as pdp from at2 group by grid_ix""")
+def q_deep_pdp(spark, sf_dir):
+    res = _fit(_folded(spark, sf_dir), "charge", CHARGE, _params("reg:gamma"), _DIRS)
+    m, test = res.models[0], _folded(spark, sf_dir).where("fold = 6")
+    lo, hi = explain.min_max(test, "price")
+    grid = [lo + i * (hi - lo) / (_GRID - 1) for i in range(_GRID)]
+    out = explain.partial_dependence(test, res.features, m.trees, m.base_margin, "reg:gamma", "price", grid)
+    return out.select("grid_ix", F.round("grid_value", 6).alias("grid_value"), F.round("pdp", 4).alias("pdp"))
+
+
+@register("m23_bounded_pdp", trees_sql("noise", "target", NOISE, DEPTH, 2, _UP) + _routed_sql(2, DEPTH).replace("price", "discount") + """
+select cast(grid_ix as integer) as grid_ix, round(any_value(v), 6) as grid_value, round(avg(m), 4) as pdp from at2 group by grid_ix""")
+def q_bounded_pdp(spark, sf_dir):
+    """Without a link: from the rows that can reach each leaf."""
+    res = bounded_model(spark, sf_dir)
+    m, test = res.models[0], _noise(spark, sf_dir).where("fold = 6")
+    lo, hi = explain.min_max(test, "discount")
+    grid = [lo + i * (hi - lo) / (_GRID - 1) for i in range(_GRID)]
+    out = explain.partial_dependence(test, res.features, m.trees, m.base_margin, "reg:squarederror", "discount", grid)
+    return out.select("grid_ix", F.round("grid_value", 6).alias("grid_value"), F.round("pdp", 4).alias("pdp"))

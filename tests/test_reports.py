@@ -1,6 +1,7 @@
 """Order of report tables (O2, O3), which an order-blind check can't see."""
 
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
 
 def test_pivot_is_sorted_by_the_first_approach(spark):
@@ -42,6 +43,28 @@ def test_run_all_writes_results_and_a_summary_in_config_order(spark, tmp_path):
     assert summary.count() == 6 and (tmp_path / "importance" / "zeta").is_dir()
 
 
+def test_only_committed_rows_are_read_back(spark, tmp_path):
+    from canopy.operators.select import RESULT_SCHEMA
+    from canopy.sources.sinks import ROWS, write_results
+    from canopy.sources.text import read_results
+
+    def rows(dataset, mape):
+        return spark.createDataFrame([(dataset, "baseline", 1, mape, mape, 1, None, None, True, 0)], RESULT_SCHEMA)
+
+    path = str(tmp_path / "r")
+    first = write_results(rows("a", 0.1).union(rows("b", 0.2)), path)
+    second = write_results(rows("a", 0.3), path)
+    (rows("b", 0.9).withColumn("run", F.lit("zz")).withColumn("version", F.lit("zz"))      # a run that died before its commit
+     .write.mode("append").partitionBy("dataset", "run", "version").parquet(f"{path}/{ROWS}"))
+    assert {(r.dataset, r.cv_mape) for r in read_results(spark, path).collect()} == {("a", 0.3), ("b", 0.2)}
+    assert {(r.dataset, r.cv_mape) for r in read_results(spark, path, run=first).collect()} == {("a", 0.1), ("b", 0.2)}
+    assert {(r.dataset, r.cv_mape) for r in read_results(spark, path, ["a", "b"], second).collect()} == {("a", 0.3)}
+    assert read_results(spark, path, ["none"]).count() == 0 and read_results(spark, path, []).count() == 0
+    write_results(rows("b", 0.5), path, second)
+    write_results(rows("b", 0.6), path, second)              # written twice in a run: the last rows
+    assert {(r.dataset, r.cv_mape) for r in read_results(spark, path).collect()} == {("a", 0.3), ("b", 0.6)}
+
+
 def test_cross_validation_hook_sees_training_rows_only(spark):
     from pyspark.sql import functions as F
 

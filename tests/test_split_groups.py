@@ -201,6 +201,61 @@ def test_state_keeps_one_version_of_the_margins(spark):
     assert not spark.catalog.databaseExists(state.database)
 
 
+def test_a_dictionary_table_gives_the_trees_of_an_inline_one(spark, monkeypatch):
+    from canopy.operators.boost import bins, score
+
+    df = spark.range(3000).selectExpr(
+        "id as key", "cast(id % 6 + 1 as int) as fold", "case when id % 41 > 0 then concat('c', id * 7919 % 37) end as c",
+        "cast(id % 11 as double) as x", "cast(id * 7919 % 37 * 3 + id % 11 as double) as y")
+    p = BoostParams(learning_rate=0.5, max_trees=2, colsample_bytree=1.0)
+    m = [ModelSpec("m", "m", 6, 3, early_stop=False, n_trees=2)]
+    runs = []
+    for limit in (10_000, 5):
+        monkeypatch.setattr(bins, "INLINE_CATEGORIES", limit)
+        res = Trainer(df, "key", "fold", "y", ["c", "x"], m, p).run()
+        more = df.unionByName(df.limit(1).withColumn("c", F.lit("unseen")).withColumn("key", F.lit(-1)))
+        pred = score.predict(more, res.features, res.models[0].trees, res.models[0].base_margin, p.objective, ["key"])
+        runs.append(([[t.feature.tolist(), t.value.tolist(), {n: c.tolist() for n, c in t.cat_left.items()}] for t in res.models[0].trees],
+                     sorted(map(tuple, pred.collect()))))
+        assert bool(res.features.tables) == (limit == 5)
+    assert runs[0] == runs[1] and any(t[2] for t in runs[0][0])
+
+
+def test_many_categories_train(spark):
+    """More than the 100,000 that were the limit once; even categories have twice the label."""
+    n = 150_000
+    df = spark.range(2 * n).selectExpr("id as key", "cast(id % 6 + 1 as int) as fold", f"concat('c', id % {n}) as c",
+                                       "cast(1 + id % 2 as double) as y")
+    p = BoostParams(learning_rate=1.0, max_trees=1, subsample=1.0, reg_lambda=0.0, min_child_weight=0.0)
+    t = Trainer(df, "key", "fold", "y", ["c"], [ModelSpec("m", "m", 6, 1, early_stop=False, n_trees=1)], p).run().models[0].trees[0]
+    assert t.is_cat[0] and t.count[1] + t.count[2] == t.count[0] and len(t.cat_left[0]) > 50_000
+    assert sorted(t.weight[1:3].tolist()) == pytest.approx([-0.5, 0.5], abs=0.01)
+
+
+def test_dropped_features_leave_their_places_in_the_column_sample(spark):
+    df = spark.range(600).selectExpr("id as key", "cast(id % 6 + 1 as int) as fold", "cast(id % 5 as double) as a",
+                                     "cast(id % 7 as double) as b", "cast(id % 3 as double) as c", "cast(id % 4 as double) as d",
+                                     "cast(id % 5 + id % 3 as double) as y")
+    p = BoostParams(colsample_bytree=0.5, max_trees=1)
+    tr = Trainer(df, "key", "fold", "y", list("abcd"), [ModelSpec("m", "m", 6, 2)], p)
+    tr.state.close()
+    for t in range(20):
+        assert len(tr._colsample(t)) == 2 and len(tr._colsample(t, [0, 2])) == 1
+        assert not set(tr._colsample(t, [0, 2])) & {0, 2}
+    whole = BoostParams(colsample_bytree=1.0, subsample=1.0, max_trees=2)
+    models = [ModelSpec(str(drop), str(drop), 6, 2, masked=["a"], mask_trees=2, drop_masked=drop, early_stop=False, n_trees=2)
+              for drop in (False, True)]
+    a, b = (m.trees for m in Trainer(df, "key", "fold", "y", list("abcd"), models, whole).run().models)
+    assert all((x.feature == y.feature).all() and (x.value == y.value).all() for x, y in zip(a, b))
+
+
+def test_labels_beyond_a_log_links_reach_are_errors(spark):
+    for objective, y in (("count:poisson", 1e30), ("reg:gamma", 1e30), ("reg:gamma", 1e-30)):
+        df = spark.createDataFrame([(1, 1, 1.0, y), (2, 2, 2.0, 1.0)], "key int, fold int, x double, y double")
+        with pytest.raises(ValueError):
+            Trainer(df, "key", "fold", "y", ["x"], [ModelSpec("m", "m", 6, 1)], BoostParams(objective=objective))
+
+
 def test_touched_cells_equal_dense_ones(spark, monkeypatch):
     from canopy.plans.queries_boost import _root_hist
 
