@@ -30,14 +30,15 @@ from .store import partitions, stored
 
 VOCABULARY, CLASSES, SHAPES = 1536, 24, 32
 #: Tokens of a shard, and the learning rates: of the start's passes, and of the rounds.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 8_000_000
 START_RATES, RATES = (0.006, 0.002), (0.003, 0.002, 0.001)
 ROUNDS = len(RATES)
 #: Weights are averaged in units of this.
 UNIT = 2.0 ** -40
 BLOCK = 5 << 20
-#: Texts, and blocks of texts, handed to a task at once.
-BATCH_ROWS, BATCH_BLOCKS = 1600, 2
+#: Texts, and blocks of texts, handed to a task at once.  Blocks are scored together, so that a long text's last steps
+#: stand beside more others.
+BATCH_ROWS, BATCH_BLOCKS = 1600, 6
 BUCKET_WORDS = 1_000_000
 SMOOTH = 0.1
 
@@ -333,32 +334,40 @@ def _fitted(model: Model, blocks: DataFrame, train_tokens: int) -> dict:
 def _score_blocks(model: Model, types: int, train_tokens: int):
     norm = np.log10(train_tokens + SMOOTH * (types + 1))
 
+    def told(row: dict) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """A block's columns but the score, its symbols and their offsets, and what rare words add to a score."""
+        words, shapes = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["shapes"], np.uint8)
+        first = np.frombuffer(row["first"], np.int64)
+        index = _unpacked(row["index"], int(first[-1]), np.uint32)
+        count = np.zeros(len(words), np.int64)
+        own = words % np.uint64(row["buckets"])
+        for a in row["answers"] or ():
+            count[own == a["bucket"]] = np.frombuffer(a["counts"], np.int64)
+        docs = len(first) - 1
+        lg = np.log10(count + SMOOTH)
+        by_word = model.symbols(words, shapes)
+        inner = np.where(by_word >= model.known, lg - model.norm[shapes], 0.0)
+        per = lambda x: tx.per_text_float(x[index], first)
+        sizes = np.diff(first) + 1
+        base = per(lg) + np.log10(row["documents"] + SMOOTH) - sizes * norm
+        known = tx.per_text((count > 0)[index], first) + (row["documents"] > 0)
+        columns = [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes), pa.array(known),
+                   pa.array(np.full(docs, train_tokens, np.int64)), pa.array(base)]
+        symbols, off = model.with_ends(by_word[index], first)
+        return columns, symbols, off, per(inner)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in _rows(batch):
-                words, shapes = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["shapes"], np.uint8)
-                first = np.frombuffer(row["first"], np.int64)
-                index = _unpacked(row["index"], int(first[-1]), np.uint32)
-                count = np.zeros(len(words), np.int64)
-                own = words % np.uint64(row["buckets"])
-                for a in row["answers"] or ():
-                    count[own == a["bucket"]] = np.frombuffer(a["counts"], np.int64)
-                docs = len(first) - 1
-                held = np.array(row["held"], dtype=bool)
-                lg = np.log10(count + SMOOTH)
-                by_word = model.symbols(words, shapes)
-                rare = by_word >= model.known
-                inner = np.where(rare, lg - model.norm[shapes], 0.0)
-                per = lambda x: tx.per_text_float(x[index], first)
-                sizes = np.diff(first) + 1
-                base = per(lg) + np.log10(row["documents"] + SMOOTH) - sizes * norm
-                symbols, off = model.with_ends(by_word[index], first)
-                p = gru.score(model.weights, model.layout, symbols, off).astype(np.float64)
-                total = tx.per_text_float(p, off) / np.log(10) + per(inner)
-                known = tx.per_text((count > 0)[index], first) + (row["documents"] > 0)
+            if not batch.num_rows:
+                continue
+            blocks = [told(row) for row in _rows(batch)]
+            ends = np.cumsum([0, *(len(symbols) for _, symbols, _, _ in blocks)])
+            p = gru.score(model.weights, model.layout, np.concatenate([symbols for _, symbols, _, _ in blocks]),
+                          np.concatenate([[0], *(off[1:] + e for (_, _, off, _), e in zip(blocks, ends))]))
+            for (columns, _, off, inner), a, b in zip(blocks, ends, ends[1:]):
+                total = tx.per_text_float(p[a:b].astype(np.float64), off) / np.log(10) + inner
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(held), pa.array(sizes), pa.array(known),
-                     pa.array(np.full(docs, train_tokens, np.int64)), pa.array(base), pa.array(total)],
+                    [*columns, pa.array(total)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
