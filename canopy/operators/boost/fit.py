@@ -421,7 +421,7 @@ class Trainer:
                 lo, hi = float(tree.lower[node]), float(tree.upper[node])
                 r = by.get((j, node))
                 G, H, C = (r["Gn"], r["Hn"], r["Ct"]) if r is not None else (0.0, 0.0, 0)
-                w = _clamp(-G / (H + lam), lo, hi)
+                w = _clamp(-G / (H + lam) if H + lam else 0.0, lo, hi)
                 tree.used[node] = True
                 tree.weight[node], tree.cover[node], tree.count[node] = w, H, C
                 if r is None or r["feature"] is None:
@@ -454,7 +454,7 @@ class Trainer:
                     derived.append((j, node, large))
                     continue
                 for cn, cg, ch, cc in ((left, r["GL"], r["HL"], r["CL"]), (right, r["GR"], r["HR"], r["CR"])):
-                    cw = _clamp(-cg / (ch + lam), float(tree.lower[cn]), float(tree.upper[cn]))
+                    cw = _clamp(-cg / (ch + lam) if ch + lam else 0.0, float(tree.lower[cn]), float(tree.upper[cn]))
                     tree.used[cn] = True
                     tree.weight[cn], tree.cover[cn], tree.count[cn] = cw, ch, cc
                     tree.value[cn] = lr * cw

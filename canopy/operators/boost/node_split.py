@@ -23,8 +23,9 @@ def _gain(g: Column, h: Column, w: Column, lam: float) -> Column:
     return -(2.0 * g * w + (h + lam) * w * w)
 
 
-def _clamp(w: Column) -> Column:
-    return F.greatest(F.least(w, "upper"), "lower")
+def _weight(g: str, h: str, lam: float) -> Column:
+    """A node's weight within its bounds; 0 before them where nothing is to divide by (no rows and no lambda)."""
+    return F.greatest(F.least(F.coalesce(F.try_divide(-F.col(g), F.col(h) + lam), F.lit(0.0)), "upper"), "lower")
 
 
 def _filled() -> Column:
@@ -40,7 +41,7 @@ def _scaled(cells: DataFrame, bits: list[tuple[int, int]]) -> DataFrame:
 def placed(cells: DataFrame, bits: list[tuple[int, int]], categorical: list[int], reg_lambda: float) -> DataFrame:
     """Cells of a level with totals, missing sums, place in the candidates' order and sums up to there."""
     own = _scaled(cells.where(F.col("feature") >= TOTALS), bits)
-    ratio = F.col("G") * F.col("unit_g") / (F.col("H") * F.col("unit_h") + reg_lambda)
+    ratio = F.try_divide(F.col("G") * F.col("unit_g"), F.col("H") * F.col("unit_h") + reg_lambda)
     order = F.when(F.col("bin") < 0, float("-inf")).when(F.col("feature").isin(categorical), ratio).otherwise(F.col("bin"))
     group = Window.partitionBy("model", "node", "feature")
     run = group.orderBy(order, "bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -66,9 +67,7 @@ def candidates(spots: DataFrame, reg_lambda: float, min_child_weight: float) ->
         *[(F.col(f"{c}l") * units[c]).alias(f"{c}L") for c in "GH"], F.col("Cl").alias("CL"),
         *[((F.col(f"{c}t") - F.col(f"{c}l")) * units[c]).alias(f"{c}R") for c in "GH"], (F.col("Ct") - F.col("Cl")).alias("CR"),
         (F.col("Gt") * units["G"]).alias("Gn"), (F.col("Ht") * units["H"]).alias("Hn"))
-    weighed = both.withColumns({
-        "wl": _clamp(-F.col("GL") / (F.col("HL") + lam)), "wr": _clamp(-F.col("GR") / (F.col("HR") + lam)),
-        "wp": _clamp(-F.col("Gn") / (F.col("Hn") + lam))})
+    weighed = both.withColumns({"wl": _weight("GL", "HL", lam), "wr": _weight("GR", "HR", lam), "wp": _weight("Gn", "Hn", lam)})
     loss = (_gain(F.col("GL"), F.col("HL"), F.col("wl"), lam) + _gain(F.col("GR"), F.col("HR"), F.col("wr"), lam)
             - _gain(F.col("Gn"), F.col("Hn"), F.col("wp"), lam))
     ok = ((F.col("feature") >= 0) & (F.col("HL") >= min_child_weight) & (F.col("HR") >= min_child_weight) & (F.col("CL") > 0)
