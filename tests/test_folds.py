@@ -3,9 +3,10 @@ the partitioning."""
 
 from pyspark.sql import functions as F
 
+from canopy.operators import folds
 from canopy.operators.folds import assign_folds, stratum_column
 from canopy.sources import tables
-from conftest import SF_MID
+from conftest import SF_MID, SF_SMALL
 
 
 def _sizes(df, by):
@@ -49,3 +50,14 @@ def test_median_fallback_for_two_values(spark):
     s = stratum_column(df, "y", 6)
     vals = {r[0] for r in df.select(s).collect()}
     assert vals == {0, 1}
+
+
+def test_rows_are_shuffled_once(spark, monkeypatch):
+    """The buckets are counted from the rows as shuffled; more tasks give the same folds."""
+    df = tables.charge_rows(spark, SF_SMALL)
+    a = assign_folds(df, "row_key", 6, 42, stratify_col="charge")
+    rows = {r["row_key"]: r["fold"] for r in a.collect()}
+    assert "ReusedExchange" in a._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(folds, "TASK_ROWS", 100)
+    b = assign_folds(df, "row_key", 6, 42, stratify_col="charge")
+    assert {r["row_key"]: r["fold"] for r in b.collect()} == rows
