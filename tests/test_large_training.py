@@ -1,13 +1,15 @@
 """Training on many rows: what is shuffled, written and read again, and sums taken together."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from canopy.operators.boost import histogram, state
 from canopy.operators.boost.bins import feature_spec
 from canopy.operators.boost.fit import BoostParams, ModelSpec, Trainer
-from canopy.operators.boost.histogram import BUNDLE_CELLS, bundles
-from canopy.operators.boost.state import State
+from canopy.operators.boost.histogram import BUNDLE_CELLS, Table, bundles, margin_of
+from canopy.operators.boost.state import Block, State
 from canopy.operators.boost.tree import Tree
 
 
@@ -82,3 +84,49 @@ def test_bundles_hold_every_feature_once():
     found = bundles(np.arange(7), widths)
     assert sorted(f for g in found for f in g) == list(range(7))
     assert all(len(g) == 1 or np.prod([widths[f] for f in g]) <= BUNDLE_CELLS for g in found) and len(found) < 7
+
+
+@pytest.mark.parametrize("depth, n", [(1, 9), (2, 6), (4, 3)])
+def test_pending_trees_as_one_table_equal_tree_by_tree(depth, n):
+    rng = np.random.default_rng(depth)
+    widths = [257, 9, 4, 6]
+    bins = np.stack([rng.integers(-1, w - 1, 3000) for w in widths]).astype(np.int16).T
+    trees = []
+    for _ in range(n):
+        t = Tree.empty(depth)
+        inner = (1 << depth) - 1
+        t.feature[:inner] = np.where(rng.random(inner) < 0.9, rng.integers(0, 4, inner), -1)
+        t.split_bin[:inner] = rng.integers(0, 8, inner)
+        t.default_left[:] = rng.random(len(t.feature)) < 0.5
+        for k in np.flatnonzero(t.feature == 2):
+            t.is_cat[k], t.cat_left[int(k)] = True, np.array([0, 2])
+        t.value[:] = rng.normal(size=len(t.feature))
+        t.used[:] = True
+        trees.append(t.routing())
+    block = Block(0, None, None, None, bins, None)
+    table = Table.of(trees, 0.1, widths)
+    assert len(table.values) < 1 << 16
+    found = table.margins(lambda f: bins[:, f].astype(np.intp) + 1, len(bins))
+    assert found.tolist() == margin_of(block, 0, [0.1], {0: trees}).tolist()
+
+
+def test_too_many_ways_are_no_table(monkeypatch):
+    monkeypatch.setattr(histogram, "TABLE_CELLS", 3)
+    trees = []
+    for f in (0, 1):
+        t = Tree.empty(1)
+        t.feature[0], t.split_bin[0], t.used[:] = f, 2, True
+        trees.append(t)
+    assert Table.of(trees, 0.0, [9, 9]) is None and Table.of(trees[:1], 0.0, [9, 9]) is None
+
+
+def test_blocks_lie_in_small_row_groups(spark, monkeypatch):
+    """A reader holds a row group at a time."""
+    monkeypatch.setattr(state, "GROUP_BYTES", 1 << 18)
+    df = spark.range(100_000, numPartitions=1).selectExpr("id as key", "cast(id % 6 + 1 as int) as fold", "cast(id % 97 as double) as x",
+                                                          "cast(id as double) as y")
+    made = State(df, "key", "fold", "y", feature_spec(df, ["x"], 8), 1, 42)
+    files = [f.removeprefix("file:") for f in spark.table(f"{made.database}.bins").inputFiles()]
+    groups = [pq.ParquetFile(f).metadata.num_row_groups for f in files]
+    made.close()
+    assert len(groups) == 1 and groups[0] > 2
