@@ -14,6 +14,8 @@ def spark():
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
+         # Spark's default of 1 GB ends the session in test_chat_texts_above_the_json_string_limit.
+         .config("spark.driver.memory", "6g")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
