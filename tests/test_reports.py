@@ -110,3 +110,36 @@ def test_run_all_query_trains_past_its_warm_up(spark, monkeypatch):
     assert len(sizes) == 3
     for trees, warm in sizes:
         assert len(set(warm)) > 1 and max(warm) < trees
+
+
+def test_curves_of_all_winners_look_their_rows_up_once(spark, monkeypatch):
+    from canopy.operators import explain
+    from canopy.operators.boost.fit import BoostParams
+    from canopy.plans import study
+    df = _rows(spark)
+    st = study.run_grid_search(df, "key", "y", "d", {"x": 1}, [1], BoostParams(max_trees=2, early_stopping_rounds=1), phase1_pcts=[0.5])
+    looked, ends = [], explain.min_max
+    monkeypatch.setattr(explain, "min_max", lambda d, c: looked.append(c) or ends(d, c))
+    test = df.where("fold = 6")
+    found = study.diagnostics(spark, test, "key", st, 5, 3)
+    assert looked == ["x"] and set(st.winners) == {"baseline", "monotonic", "progressive"}
+    for approach in st.winners:
+        pdp, ice = study.curves(test, "key", st, approach, "x", 5, 3)
+        for kind, alone in (("pdp", pdp), ("ice", ice)):
+            got = found[kind].where(F.col("approach") == approach).drop("approach", "feature")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, alone.select(got.columns).collect()))
+
+
+def test_orders_are_prepared_once_for_a_run(spark, monkeypatch):
+    from canopy.plans import queries_boost, study
+    seen = []
+
+    def run_all(spark, cfg, load, *more, **named):
+        df, key = load("orders")
+        seen.append(df.inputFiles())
+        return (spark.createDataFrame([("orders", "ok", None)], "dataset string, status string, error string"),
+                spark.createDataFrame([("orders",)], "dataset string"))
+
+    monkeypatch.setattr(study, "run_all", run_all)
+    queries_boost.q_m22(spark, SF_SMALL).collect()
+    assert all("prepared-orders" in f for f in seen[0]) and seen[0]
