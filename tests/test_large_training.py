@@ -130,3 +130,44 @@ def test_blocks_lie_in_small_row_groups(spark, monkeypatch):
     groups = [pq.ParquetFile(f).metadata.num_row_groups for f in files]
     made.close()
     assert len(groups) == 1 and groups[0] > 2
+
+
+def _warmups(sizes):
+    return [ModelSpec(f"{s}/{k}", str(s), k, 1, {"x": 1}, ["x"], s, early_stop=k != 6) for s in sizes for k in (1, 2, 6)]
+
+
+def test_warmups_share_trees_until_they_part(spark, monkeypatch):
+    """A tree that several sizes have in common is built once, and what comes out is what each size gives alone; sizes that
+    stop early don't take the others along."""
+    built = []
+    monkeypatch.setattr("canopy.operators.boost.fit.run_pass",
+                        lambda state, plan: built.append((plan.tree_index, len(plan.builders), len(plan.metrics))) or histogram.run_pass(state, plan))
+    df = _rows(spark)
+    p = BoostParams(max_trees=4, early_stopping_rounds=1, learning_rate=0.9, refresh_every=2, colsample_bytree=1.0)
+    together = Trainer(df, "key", "fold", "y", ["x", "c"], _warmups((1, 2)), p).run()
+    counts = {t: (b, m) for t, b, m in built}
+    assert counts[0] == (3, 0) and counts[1] == (6, 3)
+    alone = [m for s in (1, 2) for m in Trainer(df, "key", "fold", "y", ["x", "c"], _warmups((s,)), p).run().models]
+    for a, b in zip(together.models, alone, strict=True):
+        assert a.curve == b.curve and a.best_trees == b.best_trees and len(a.trees) == len(b.trees)
+        for s, t in zip(a.trees, b.trees):
+            assert (s.feature == t.feature).all() and (s.value == t.value).all() and (s.split_bin == t.split_bin).all()
+
+
+def test_blocks_go_to_python_a_few_at_a_time(spark, monkeypatch):
+    """Not all of a task's blocks as one batch; the session's own setting is there again afterwards."""
+    monkeypatch.setattr(state, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(state, "BATCH_BYTES", 2048)
+    sizes = spark.sparkContext.accumulator(0)
+    over = state._blocks
+
+    def counted(batches, *more):
+        held = list(batches)
+        sizes.add(sum(b.num_rows > 15 for b in held))
+        return over(iter(held), *more)
+
+    monkeypatch.setattr(state, "_blocks", counted)
+    before = spark.conf.get(state.BATCH_CONF, None)
+    p = BoostParams(max_trees=1, subsample=1.0, colsample_bytree=1.0)
+    Trainer(_rows(spark), "key", "fold", "y", ["x"], [ModelSpec("m", "m", 6, 1, early_stop=False, n_trees=1)], p).run()
+    assert sizes.value == 0 and spark.conf.get(state.BATCH_CONF, None) == before
